@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_topk, language_id, quality, simhash, token_counts, toxicity
+from . import bpe, exact_topk, language_id, mixing, quality, sharding, simhash, token_counts, toxicity
 from . import exact_dedup as dedup
-from .common import configure, crc_bucket
+from .common import configure, crc_bucket, scratch_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,22 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "evidence")
 
 
+def domain_labels(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(id, domain): ``low`` for documents labelled as of low quality, else the language."""
+    rows = labels.where("quality in (0, 1)").groupBy(F.col("doc_id").alias("id")).agg(F.min("quality").alias("quality"))
+    known = docs.select(F.col("doc_id").alias("id"), "lang").join(rows, "id")
+    return known.select("id", F.when(F.col("quality") == 0, "low").otherwise(F.col("lang")).alias("domain"))
+
+
+#: Target shares of all tokens.
+MIX_SHARES = {"en": 0.45, "fr": 0.2, "de": 0.2, "es": 0.14, "low": 0.01}
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return mixing.mix(docs, domain_labels(docs, table(spark, sf_dir, "labels")), shares=MIX_SHARES)
+
+
 def op3_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held_out = table(spark, sf_dir, "documents").select("doc_id", "text"), crc_bucket("doc_id", 5) == 0
     model = quality.fit(docs, table(spark, sf_dir, "labels").where(~held_out))
@@ -42,6 +58,10 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.placements(sharding.shard_table(table(spark, sf_dir, "documents"), scratch_path(spark, "shards")))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.exact_dedup(table(spark, sf_dir, "documents"), keep="max")
 
