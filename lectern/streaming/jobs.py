@@ -22,8 +22,8 @@ def current_runs(messages: DataFrame, key: str = "session", run: str = "run_id",
     return messages.withColumn("_newest", F.max(run).over(running(key, order))).where(F.col(run) == F.col("_newest")).drop("_newest")
 
 
-def current_runs_stream(messages: DataFrame, key: str = "session", run: str = "run_id", order: str = "seq", timeout: str = "1 hour") -> DataFrame:
-    """``current_runs`` over a stream: the state of a session is its newest run; idle sessions are forgotten after ``timeout``."""
+def current_runs_stream(messages: DataFrame, key: str = "session", run: str = "run_id", order: str = "seq", timeout_ms: int = 3_600_000) -> DataFrame:
+    """``current_runs`` over a stream: the state of a session is its newest run; idle sessions are forgotten after ``timeout_ms``."""
     schema = messages.schema
 
     def keep(_: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -34,7 +34,7 @@ def current_runs_stream(messages: DataFrame, key: str = "session", run: str = "r
         rows = pd.concat(list(batches)).sort_values(order, kind="stable")
         top = rows[run].cummax() if newest is None else rows[run].cummax().clip(lower=newest)
         state.update((int(top.iloc[-1]),))
-        state.setTimeoutDuration(timeout)
+        state.setTimeoutDuration(timeout_ms)
         yield rows[rows[run] == top]
 
     return messages.groupBy(key).applyInPandasWithState(keep, schema, "newest long", "append", GroupStateTimeout.ProcessingTimeTimeout)
