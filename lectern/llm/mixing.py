@@ -51,9 +51,10 @@ class DomainModel:
         for prior, mean, var in zip(self.priors, self.means, self.variances):
             constant = float(np.log(prior) - 0.5 * np.sum(np.log(var)))
             logs.append(F.lit(constant) - sum(((f[i] - F.lit(m)) * (f[i] - F.lit(m)) * F.lit(0.5 / v) for i, (m, v) in enumerate(zip(mean, var))), F.lit(0.0)))
-        joint = F.array(*logs)
-        raised = F.transform(joint, lambda x: F.exp(x - F.array_max(joint)))
-        return F.transform(raised, lambda x: x / F.aggregate(raised, F.lit(0.0), lambda a, b: a + b))
+        # one-element arrays bind what is used again, so that it is computed once
+        raised = F.transform(F.array(F.array(*logs)), lambda j: F.transform(j, lambda x: F.exp(x - F.array_max(j))))
+        total = lambda r: F.aggregate(r, F.lit(0.0), lambda a, b: a + b)
+        return F.transform(raised, lambda r: F.transform(r, lambda x: x / total(r)))[0]
 
 
 def fit_domains(docs: DataFrame, labelled: DataFrame, per_label: int = SAMPLE_PER_LABEL) -> DomainModel:
