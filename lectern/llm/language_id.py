@@ -19,7 +19,7 @@ from .linear import Adam, sample_labelled, sigmoid, trigram_buckets
 
 BITS = 13
 #: Labelled documents to fit on, over all languages.
-SAMPLE_DOCS = 2400
+SAMPLE_DOCS = 1600
 STEPS, RATE, DECAY = 200, 0.2, 1e-5
 #: A text is ambiguous if its best and second posterior differ by less.
 MARGIN = 0.2
