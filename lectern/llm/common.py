@@ -7,12 +7,13 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of one Arrow batch between the JVM and Python; long texts make larger batches costly.
 ARROW_ROWS = 512
-#: Characters of text that one Python step works on at once.
+#: Bytes of text that one Python step works on at once.
 STEP_CHARS = 1 << 22
 
 
@@ -65,16 +66,16 @@ def crc_bucket(column: str, modulus: int):
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(modulus)
 
 
-def steps(texts: list, limit: int = STEP_CHARS) -> Iterator[tuple[int, int]]:
-    """Spans of consecutive texts of about ``limit`` characters in all; a longer text stands alone."""
-    start, held = 0, 0
-    for i, text in enumerate(texts):
-        held += len(text or "")
+def steps(lengths: list[int], limit: int = STEP_CHARS) -> Iterator[tuple[int, int]]:
+    """Spans of consecutive texts of about ``limit`` bytes in all; a longer text ends its span."""
+    start = held = 0
+    for i, n in enumerate(lengths):
+        held += n
         if held >= limit:
             yield start, i + 1
             start, held = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+    if start < len(lengths):
+        yield start, len(lengths)
 
 
 def map_texts(df: DataFrame, text_col: str, make: Callable, schema: str) -> DataFrame:
@@ -84,34 +85,16 @@ def map_texts(df: DataFrame, text_col: str, make: Callable, schema: str) -> Data
     other than ``text_col`` are carried along in front.
     """
     carried = [f for f in df.schema.fields if f.name != text_col]
-    out = df.select(*[F.col(f"`{f.name}`") for f in carried]).limit(0)
-    fields = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema.fields] + [schema])
+    fields = ", ".join([f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in carried] + [schema])
     names = [f.name for f in carried]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
-            for lo, hi in steps(lengths_of(batch.column(text_col))):
+            for lo, hi in steps([n or 0 for n in pc.binary_length(batch.column(text_col)).to_pylist()]):
                 part = batch.slice(lo, hi - lo)
                 new = work(part.column(text_col).to_pylist())
                 columns = [part.column(n) for n in names] + list(new.values())
                 yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names + list(new))
 
     return df.mapInArrow(run, fields)
-
-
-class _Sized:
-    __slots__ = ("n",)
-
-    def __init__(self, n: int):
-        self.n = n
-
-    def __len__(self) -> int:
-        return self.n
-
-
-def lengths_of(column: pa.Array) -> list[_Sized]:
-    """Byte lengths of a string column, as objects that ``steps`` can measure, without making strings."""
-    import pyarrow.compute as pc
-
-    return [_Sized(n or 0) for n in pc.binary_length(column).to_pylist()]
