@@ -9,6 +9,7 @@ documents. The restored words are scored by a logistic model learned from labell
 from __future__ import annotations
 
 import unicodedata
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,8 @@ BACKOFF = 4.0
 #: Channel costs in nats: a look-alike read as a letter, a separator dropped inside a word, a separator kept, a run
 #: of three or more read as one or two letters, a doubled letter read as one, a gap in spaced letters dropped or kept.
 LOOKALIKE, DROP, KEEP, RUN_ONE, RUN_TWO, DOUBLE_ONE, GAP_DROP, GAP_KEEP = 1.0, 1.5, 4.0, 0.5, 1.0, 4.0, 0.1, 4.0
+#: What it costs more not to read a look-alike as a letter.
+NOT_A_LETTER = 4.0
 #: Letters that digits, symbols and letters of other scripts are used for.
 LOOKALIKES = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g",
@@ -32,6 +35,8 @@ LOOKALIKES = {
     "а": "a", "в": "b", "е": "e", "к": "k", "м": "m", "н": "h", "о": "o", "р": "p", "с": "c", "т": "t", "у": "y", "х": "x",
     "і": "i", "ј": "j", "ѕ": "s", "ο": "o", "α": "a", "ε": "e", "ι": "i", "ν": "v", "τ": "t", "υ": "u", "ρ": "p",
 }
+#: Longer lattices (tokens without white space, runs of single characters) are read in pieces of so many nodes.
+MOST_NODES = 256
 #: Tokens remembered per worker, and the longest that is.
 CACHE_TOKENS, CACHE_CHARS = 400_000, 40
 #: Labelled documents of each label to fit on.
@@ -40,7 +45,7 @@ SAMPLE_PER_LABEL = 3000
 #: at most so many do. Stems are the first so many letters of a word; END marks a whole word.
 LEAST_SHARE, LEAST_Z, LEAST_LIFT, MOST_WORDS = 0.01, 3.0, 8.0, 256
 STEMS, END = range(3, 9), "$"
-STEPS, RATE, DECAY = 300, 0.1, 1e-4
+STEPS, RATE, DECAY = 500, 0.1, 1e-5
 EDGE = ".,;:?\"'()[]{}<>“”‘’«»¿-–—_*#&%~^=`/\\"
 
 
@@ -115,9 +120,10 @@ class Restorer:
         out = [(x * min(n, 2), LOOKALIKE + (RUN_TWO if n > 2 else 0)) for x in LOOKALIKES.get(c, "")]
         if n > 1:
             out += [(x, LOOKALIKE + (RUN_ONE if n > 2 else DOUBLE_ONE)) for x in LOOKALIKES.get(c, "")]
+        more = NOT_A_LETTER if c in LOOKALIKES else 0.0
         if c.isalpha():
-            return out + [(c, KEEP)]
-        return out + [(" ", KEEP)] + ([] if c.isdigit() else [("", DROP)])
+            return out + [(c, KEEP + more)]
+        return out + [(" ", KEEP + more)] + ([] if c.isdigit() else [("", DROP + more)])
 
     def search(self, lattice: list[list[tuple[str, float]]]) -> str:
         """Viterbi: the cheapest reading; states are the last three symbols."""
@@ -172,7 +178,8 @@ class Restorer:
             return plain
         if not any(c.isalpha() or c in LOOKALIKES for c in core) or core.isdigit():
             return core
-        return self.search(self.lattice(core)).strip()
+        nodes = self.lattice(core)
+        return "".join(self.search(nodes[k : k + MOST_NODES]) for k in range(0, len(nodes), MOST_NODES)).strip()
 
     def spaced(self, tokens: list[str]) -> str:
         """The reading of three or more single characters in a row."""
@@ -203,9 +210,8 @@ class Restorer:
                 j += 1
             if j - i >= 2:
                 out += map(self.token, tokens[at : singles[i]])
-                # cut at white space only, a very long run is read in pieces
                 run = tokens[singles[i] : singles[j] + 1]
-                read = [self.spaced(run[k : k + 512]) for k in range(0, len(run), 512)]
+                read = [self.spaced(run[k : k + MOST_NODES]) for k in range(0, len(run), MOST_NODES)]
                 runs += [r.replace(" ", "") for r in read]
                 out += read
                 at = singles[j] + 1
@@ -278,7 +284,7 @@ class ToxicityModel:
 def choose(candidates: list[tuple[str, float]]) -> list[str]:
     """Of stems that extend one another, the one of the highest z score, the longest of nearly equal ones."""
     chosen: list[str] = []
-    for word, _ in sorted(candidates, key=lambda c: (-round(np.log(c[1]) / 0.05), -len(c[0]), c[0])):
+    for word, _ in sorted(candidates, key=lambda c: (-round(np.log(c[1]) / 0.2), -len(c[0]), c[0])):
         bare = word.rstrip(END)
         if not any(bare.startswith(o.rstrip(END)) or o.startswith(bare) for o in chosen):
             chosen.append(word)
@@ -315,21 +321,25 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col: s
 
         def work(texts: list) -> dict:
             words = [read.words(t)[0] for t in texts]
-            return {"words": pa.array([" ".join(w) for w in words]), "stems": pa.array([densities(w) for w in words], pa.list_(DENSITY))}
+            sketch = [min((zlib.crc32(w.encode()) for w in set(ws)), default=0) for ws in words]
+            return {"words": pa.array([" ".join(w) for w in words]), "sketch": pa.array(sketch, pa.int64()), "stems": pa.array([densities(w) for w in words], pa.list_(DENSITY))}
 
         return work
 
     picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id")
-    bags = durable(map_texts(picked, "text", make, "words string, stems array<struct<stem string, s double>>"), "toxicity-sample")
-    n = {r[0]: r[1] for r in bags.groupBy("label").count().collect()}
+    bags = durable(map_texts(picked, "text", make, "words string, sketch long, stems array<struct<stem string, s double>>"), "toxicity-sample")
+    # documents of one sketch (the least hash of their words) are near copies as a rule: together they weigh as one
+    alike = bags.groupBy("label", "sketch").agg(F.count("*").alias("alike"))
+    bags = bags.join(alike, ["label", "sketch"]).withColumn("weight", 1 / F.col("alike"))
+    n = {r[0]: r[1] for r in bags.groupBy("label").agg(F.sum("weight")).collect()}
     n1, n0 = n.get(1, 0), n.get(0, 0)
-    one, zero = F.col("label"), 1 - F.col("label")
-    sums = bags.select("label", F.inline("stems")).groupBy(F.col("stem").alias("word")).agg(
+    one, zero = F.col("weight") * F.col("label"), F.col("weight") * (1 - F.col("label"))
+    sums = bags.select("label", "weight", F.inline("stems")).groupBy(F.col("stem").alias("word")).agg(
         F.sum(one).alias("docs"), *[F.sum(k * F.col("s") ** power).alias(f"s{name}{power}") for name, k in ((1, one), (0, zero)) for power in (1, 2)])
     mean = {1: F.col("s11") / (n1 or 1), 0: F.col("s01") / (n0 or 1)}
     spread = (F.col("s12") / (n1 or 1) - mean[1] ** 2 + 1e-6) / (n1 or 1) + (F.col("s02") / (n0 or 1) - mean[0] ** 2 + 1e-6) / (n0 or 1)
     z = (mean[1] - mean[0]) / F.sqrt(spread)
-    good = (F.col("docs") >= LEAST_SHARE * n1) & (F.col("docs") >= 5) & (mean[1] > LEAST_LIFT * mean[0])
+    good = (F.col("docs") >= LEAST_SHARE * n1) & (F.col("docs") >= 3) & (mean[1] > LEAST_LIFT * mean[0])
     best = sums.where(good).withColumn("z", z).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "word").limit(20 * MOST_WORDS)
     lexicon = choose([(r["word"], r["z"]) for r in best.collect()])
     prior = counts[1] / sum(counts.values())
@@ -347,13 +357,16 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col: s
 
         return work
 
-    rows = map_texts(bags.select("label", "words"), "words", make_hits, "found array<string>, n_words long").collect()
+    rows = map_texts(bags.select("label", "weight", "words"), "words", make_hits, "found array<string>, n_words long").collect()
+    # reading may miss disguised words, so a document also counts as if only one of its words had been found
+    seen = [(r["label"], r["weight"], r["found"], r["n_words"]) for r in rows]
+    seen += [(r["label"], r["weight"] / len(kinds), [w], r["n_words"]) for r in rows if len(kinds := sorted(set(r["found"]))) for w in kinds]
     at = {w: i for i, w in enumerate(lexicon)}
-    x, y = np.zeros((len(rows), len(lexicon) + 2), np.float32), np.array([r["label"] for r in rows], np.float32)
-    for row, r in zip(x, rows):
-        row[[at[w] for w in r["found"]]] = 1
-        row[-2:] = draft.figures(r["found"], r["n_words"])
-    weight = np.array([counts[r["label"]] / n[r["label"]] for r in rows], np.float32)
+    x, y = np.zeros((len(seen), len(lexicon) + 2), np.float32), np.array([s[0] for s in seen], np.float32)
+    for row, (_, _, found, n_words) in zip(x, seen):
+        row[[at[w] for w in found]] = 1
+        row[-2:] = draft.figures(found, n_words)
+    weight = np.array([share * counts[label] / n[label] for label, share, _, _ in seen], np.float32)
     weight /= weight.sum()
     p = {"w": np.zeros(x.shape[1], np.float32), "b": np.array([np.log(prior / (1 - prior))], np.float32)}
     adam = Adam(p, RATE)

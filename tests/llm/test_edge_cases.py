@@ -76,6 +76,9 @@ def test_language_id(docs, crowded):
 
 @pytest.mark.parametrize("module", [quality, toxicity])
 def test_scores(docs, crowded, labels, module):
+    if module is toxicity:
+        read = toxicity.Restorer(toxicity.character_model(docs))
+        assert read.words("1!a7" * 50_000 + " " + "x y 1 " * 5_000)[0]  # no white space, and nothing but single characters
     column = "quality" if module is quality else "toxic"
     for d in (docs, crowded):
         model = module.fit(d, labels)
