@@ -8,6 +8,7 @@ documents. The restored words are scored by a logistic model learned from labell
 
 from __future__ import annotations
 
+import re
 import unicodedata
 import zlib
 
@@ -112,6 +113,7 @@ class Restorer:
     def __init__(self, log_probs: np.ndarray):
         self.lp = (-log_probs).tolist()
         self.known: dict[str, str] = {}
+        self.hits: dict[int, dict] = {}  # what models find in words, kept as long as the readings
 
     def options(self, c: str, n: int) -> list[tuple[str, float]]:
         """What a run of ``n`` equal characters inside a token may stand for, with costs."""
@@ -171,10 +173,10 @@ class Restorer:
         for c in "$!|+@":  # a run of three or more at an edge is ornament
             if core.endswith(c * 3) or core.startswith(c * 3):
                 core = core.strip(c).strip(EDGE)
-        if core.isascii() and core.isalpha() and all(a != b for a, b in zip(core, core[1:])):
+        if core.isascii() and core.isalpha() and not DOUBLED.search(core):
             return core
         plain = core.rstrip("!")
-        if plain.isalpha() and not any(c in LOOKALIKES for c in plain) and all(a != b for a, b in zip(plain, plain[1:])):
+        if plain.isalpha() and not any(c in LOOKALIKES for c in plain) and not DOUBLED.search(plain):
             return plain
         if not any(c.isalpha() or c in LOOKALIKES for c in core) or core.isdigit():
             return core
@@ -231,6 +233,7 @@ def stems(word: str) -> list[str]:
     return [word[:n] for n in STEMS if n <= len(word)] + [word + END]
 
 
+DOUBLED = re.compile(r"(.)\1", re.DOTALL)
 DENSITY = pa.struct([("stem", pa.string()), ("s", pa.float64())])
 
 
@@ -255,7 +258,7 @@ class ToxicityModel:
         hit = memory.get(word)
         if hit is None:
             hit = tuple(s for s in stems(word) if s in self.weights)
-            if not hit and (bare := plain_form(word)) != word:
+            if not hit and (not word.isascii() or DOUBLED.search(word)) and (bare := plain_form(word)) != word:
                 hit = tuple(v for k, v in self.plain.items() if (bare == k if v.endswith(END) else bare.startswith(k) and len(k) > 5))
             if len(memory) >= CACHE_TOKENS:
                 memory.clear()
@@ -388,7 +391,8 @@ def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text", with_re
 
     def make():
         model = shipped.value
-        read, memory = restorer(model.log_probs), {}
+        read = restorer(model.log_probs)
+        memory = read.hits.setdefault(hash(tuple(model.weights)), {})
 
         def work(texts: list) -> dict:
             scores, found, whole = [], [], []

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import struct
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -104,8 +105,11 @@ def test_supersession_batch_and_stream_agree(spark, tmp_path):
     batch.where("seq < 3 or seq = 9").coalesce(1).write.parquet(str(tmp_path / "in/a"))
     batch.where("seq >= 3 and seq < 9").coalesce(1).write.parquet(str(tmp_path / "in/b"))
     stream = spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
-    q = jobs.current_runs_stream(stream).writeStream.format("memory").queryName("kept").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
+    q = jobs.current_runs_stream(stream).writeStream.format("memory").queryName("kept").option("checkpointLocation", str(tmp_path / "c")).start()
+    until = time.time() + 90  # a query with timers never idles, so wait for the rows
+    while time.time() < until and spark.table("kept").count() < len(want):
+        time.sleep(0.5)
+    q.stop()
     assert sorted((r["session"], r["seq"]) for r in spark.table("kept").collect()) == want
 
 
