@@ -173,20 +173,30 @@ def vtt_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return export.export(_named(spark, sf_dir), "vtt")
 
 
-@query(f"""with {RUNS}, joined as (select transcript_id, cast(run as bigint) run, min(pos) p0, string_agg(text, ' ' order by pos) as text from runs group by 1, 2), {clean_sql('joined', 'transcript_id, run')},
-u as (select transcript_id, run, c, string_split(c, '') l from cleaned),
-v as (select transcript_id, run, array_to_string(list_transform(range(1, len(l) + 1), lambda i: case when l[i] >= 'a' and l[i] <= 'z' and length(l[i]) = 1 and ascii(l[i]) < 128 and (i = 1 or (i > 2 and l[i-1] = ' ' and l[i-2] in ('.', '!', '?'))) then upper(l[i]) else l[i] end), '') t from u)
-select transcript_id, run, case when t = '' or regexp_matches(t, '[.!?。！？…]["''”’)\\]]*$') then t else t || '.' end prose from v""")
+PROSE = f"""{RUNS}, joined as (select transcript_id, cast(run as bigint) run, min(pos) p0, any_value(speaker_id) speaker_id, string_agg(text, ' ' order by pos) as text from runs group by 1, 2), {clean_sql('joined', 'transcript_id, run, p0, speaker_id')},
+u as (select transcript_id, run, p0, speaker_id, string_split(c, '') l from cleaned),
+v as (select transcript_id, run, p0, speaker_id, array_to_string(list_transform(range(1, len(l) + 1), lambda i: case when l[i] >= 'a' and l[i] <= 'z' and length(l[i]) = 1 and ascii(l[i]) < 128 and (i = 1 or (i > 2 and l[i-1] = ' ' and l[i-2] in ('.', '!', '?'))) then upper(l[i]) else l[i] end), '') t from u),
+turn as (select transcript_id, run, p0, speaker_id, case when t = '' or regexp_matches(t, '[.!?。！？…]["''”’)\\]]*$') then t else t || '.' end prose from v)"""
+
+
+@query(f"with {PROSE} select transcript_id, run, prose from turn")
 def turn_prose(spark: SparkSession, sf_dir: str) -> DataFrame:
     return export.turn_prose(D.seconds(D.segments_ms(spark, sf_dir))).select("transcript_id", "run", "prose")
 
 
-@query()
+@query(f"""with {PROSE}, {D.NAMES} select transcript_id, string_agg('[' || regexp_replace(coalesce(display_name, 'SPEAKER_0' || speaker_id), '[\\x00-\\x1f\\x7f]', '', 'g') || ']: ' || prose, chr(10) || chr(10) order by p0) as document
+  from turn left join names on speaker = 'SPEAKER_0' || speaker_id where prose <> '' group by 1""")
 def txt_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return export.export(_named(spark, sf_dir), "txt")
 
 
-@query()
+def _plain(ms: str) -> str:
+    return f"case when {ms} % 1000 = 0 then cast({ms} // 1000 as varchar) else cast({ms} / 1000.0::double as varchar) end"
+
+
+@query(f"""with {D.SEG}, item as (select transcript_id, pos, '    {{' || chr(10) || '      "start": ' || {_plain('start_ms')} || ',' || chr(10) || '      "end": ' || {_plain('end_ms')} || ',' || chr(10)
+  || '      "text": ' || cast(to_json(text) as varchar) || ',' || chr(10) || '      "speaker": "SPEAKER_0' || speaker_id || '"' || chr(10) || '    }}' t from seg where trim(text, ' ' || chr(10)) <> '')
+select transcript_id, '{{' || chr(10) || '  "segments": [' || chr(10) || string_agg(t, ',' || chr(10) order by pos) || chr(10) || '  ],' || chr(10) || '  "speakerNames": {{}}' || chr(10) || '}}' as document from item group by 1""")
 def json_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return export.export(_named(spark, sf_dir), "json")
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import config, text as T, timing as C
-from ..operators import align, store, tokens
+from ..operators import align, cues, store, tokens
 from ..sources import readers
 from ..streaming import jobs
 from . import derived as D
@@ -144,3 +144,65 @@ def overlap_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = D.segments_ms(spark, sf_dir).where(T.trim_space("text") != "")
     before = F.lag("end_ms").over(tokens.win())
     return s.select("transcript_id", "pos", F.coalesce(F.col("start_ms") + 300 < before + 600, F.lit(False)).alias("overlaps"))
+
+
+@query(f"""with {D.SEG}, f as (select *, replace(text, chr(10), ' ') flat, regexp_extract(text, '^[^A-Za-z]*', 0) head, lead(pos) over w is null final, lag(replace(text, chr(10), ' ')) over w before from seg window w as (partition by transcript_id order by pos)),
+g as (select *, '[.!?。！？…]["''”’)\\]]*$' ends from f)
+select transcript_id, pos, case when before is null or regexp_matches(before, ends) then head || upper(substr(text, length(head) + 1, 1)) || substr(text, length(head) + 2) else text end || case when final and not regexp_matches(flat, ends) then '.' else '' end as text from g""")
+def cue_casing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cues.sentence_case(D.seconds(D.segments_ms(spark, sf_dir))).select("transcript_id", "pos", "text")
+
+
+@query("""with w as (select user_id, event_id, 'w' || event_id t, event_id % 3 <> 0 or event_id = min(event_id) over (partition by user_id) opens, event_id * 0.5::double s, event_id * 0.5::double + value e from events),
+i as (select *, sum(opens::int) over (partition by user_id order by event_id rows unbounded preceding) island from w)
+select user_id transcript_id, min(event_id) pos, string_agg(t, '' order by event_id) as text, min(s) as start, max(e) as "end" from i group by user_id, island""")
+def folded_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("event_id")
+    text = F.concat(F.when(i % 3 != 0, " ").otherwise(""), F.lit("w"), i.cast("string"))
+    words = D.read(spark, sf_dir, "events").select(F.col("user_id").alias("transcript_id"), i.alias("pos"), text.alias("text"), (i * 0.5).alias("start"), (i * 0.5 + F.col("value")).alias("end"), F.lit(None).cast("string").alias("speaker"))
+    return tokens.fold_continuations(words).drop("_island", "speaker")
+
+
+@query(f"with {D.SEG} select transcript_id, cast(row_number() over w - 1 as bigint) pos, text, start_ms / 1000.0::double as start, coalesce(raw_end_ms / 1000.0::double, lead(start_ms / 1000.0::double) over w, start_ms / 1000.0::double + 2) as \"end\" from seg window w as (partition by transcript_id order by pos)")
+def worker_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = D.segments_ms(spark, sf_dir)
+    chunk = F.struct("pos", "text", F.array(F.col("start_ms") / 1000, F.col("raw_end_ms") / 1000).alias("timestamp"))
+    results = s.groupBy("transcript_id").agg(F.sort_array(F.collect_list(chunk)).alias("c"))
+    results = results.select("transcript_id", F.transform("c", lambda x: F.struct(x["text"].alias("text"), x["timestamp"].alias("timestamp"))).alias("chunks"))
+    return tokens.chunk_segments(readers.explode_chunks(results))
+
+
+@query(f"with {D.SEG} select transcript_id, cast(row_number() over (partition by transcript_id order by pos) - 1 as integer) idx, cast(cast(start_ms / 1000.0::double as float) as double) as start, cast(cast(end_ms / 1000.0::double as float) as double) as \"end\", speaker_id speaker from seg")
+def engine_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turn = F.struct("pos", (F.col("start_ms") / 1000).alias("start"), (F.col("end_ms") / 1000).alias("end"), F.col("speaker_id").alias("speaker"))
+    answers = D.segments_ms(spark, sf_dir).groupBy("transcript_id").agg(F.to_json(F.struct(F.transform(F.sort_array(F.collect_list(turn)), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["speaker"].alias("speaker"))).alias("turns"))).alias("answer"))
+    return readers.explode_turns(answers.select("transcript_id", readers.parse_turns("answer").alias("turns")))
+
+
+@query("""select event_id, case when event_id % 11 = 0 then 0 else 1 + event_id % 2 end::integer channels, case when event_id % 11 = 0 then 0 when event_id % 3 = 0 then 44100 else 16000 end::integer sample_rate, case when event_id % 11 = 0 then 0 when event_id % 5 = 0 then 24 else 16 end::integer bits,
+  case when event_id % 11 = 0 then 'not a WAVE file' when event_id % 7 = 0 then 'not PCM' when event_id % 5 = 0 then 'not 16 bits' end error from events""")
+def wave_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("event_id")
+
+    def little(x, n: int):
+        x = x if not isinstance(x, int) else F.lit(x)
+        return F.concat(*[F.lpad(F.hex(F.shiftright(x.cast("long"), 8 * k).bitwiseAND(F.lit(255))), 2, "0") for k in range(n)])
+
+    letters = lambda s: F.lit(s.encode().hex())
+    channels, rate, bits = 1 + i % 2, F.when(i % 3 == 0, 44100).otherwise(16000), F.when(i % 5 == 0, 24).otherwise(16)
+    form = F.concat(letters("fmt "), little(16, 4), little(F.when(i % 7 == 0, 3).otherwise(1), 2), little(channels, 2), little(rate, 4), little(rate * 2, 4), little(2, 2), little(bits, 2))
+    odd = F.when(i % 4 == 0, F.concat(letters("LIST"), little(3, 4), letters("abc"), F.lit("00"))).otherwise(F.lit(""))
+    content = F.unhex(F.concat(F.when(i % 11 == 0, letters("RIFX")).otherwise(letters("RIFF")), little(100, 4), letters("WAVE"), odd, form, letters("data"), little(0, 4)))
+    return D.read(spark, sf_dir, "events").select("event_id", readers.wav_header(content).alias("h")).select("event_id", "h.*")
+
+
+@query(f"with {D.SOURCES} select id, case when audio_path is null then 'no audio' when id % 4 <> 0 then 'audio file is missing' end error from src")
+def audio_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = D.sources(spark, sf_dir).select("id", "audio_path")
+    return readers.prepared_audio(s, s.where("id % 4 = 0").select(F.col("audio_path").alias("path"))).select("id", "error")
+
+
+@query("select 'm-' || lower(n_name) model_id from nation where n_nationkey > 0")
+def configured_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entry = F.concat(F.lit('{ id: "p'), "n_nationkey", F.lit('", modelId: "'), F.when(F.col("n_nationkey") == 0, "__auto__").otherwise(F.concat(F.lit("m-"), F.lower("n_name"))), F.lit('" },'))
+    return readers.model_list(D.read(spark, sf_dir, "nation").agg(F.array_join(F.sort_array(F.collect_list(entry)), "\n").alias("value")))
