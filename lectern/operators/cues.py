@@ -1,7 +1,7 @@
 """Captions from tokens: overlap removal, greedy segmentation, merging, casing and line breaks.
 
-Removal, segmentation and merging depend on everything before them in a transcript, so they are folds inside one
-grouped map per transcript; all else is columns and windows.
+Removal, segmentation and merging depend on what came before them in a transcript, so they are folds over its rows in
+order, which remember a few words or one cue; all else is columns and windows.
 """
 
 from __future__ import annotations
@@ -16,23 +16,14 @@ from ..functions import scalar as S
 from ..functions import text as T
 from ..functions.timing import LEAST_WORD, NOMINAL_WORD, EPSILON, LEAST_CUE
 from . import align, tokens
+from .fold import fold_rows
 
 # Fixed values of the caption format.
 MAX_CHARS, MAX_SECONDS, MAX_MERGED_SECONDS, LEAST_WORDS, MEMORY_WORDS = 78, 6.5, 8.0, 3, 16
 #: From these lengths on, a cue may end when it gets long, or at a clause after so many seconds.
 LONG_CHARS, CLAUSE_CHARS, CLAUSE_SECONDS = 24, 56, 4.5
-TOKEN = "transcript_id {key}, pos long, text string, start double, end double, speaker string"
-
-
-def _rows(table: pa.Table) -> list[dict]:
-    return sorted(table.to_pylist(), key=lambda r: r["pos"])
-
-
-def _out(rows: list[tuple], like: pa.Table) -> pa.Table:
-    names = ["transcript_id", "pos", "text", "start", "end", "speaker"]
-    kinds = [like.schema.field("transcript_id").type, pa.int64(), pa.string(), pa.float64(), pa.float64(), pa.string()]
-    columns = list(zip(*rows)) if rows else [()] * len(names)
-    return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+#: What the folds give for each token or cue.
+TOKEN = [("text", "string", pa.string()), ("start", "double", pa.float64()), ("end", "double", pa.float64()), ("speaker", "string", pa.string())]
 
 
 def repeated_head(memory: list[str], words: list[str], least: int) -> int:
@@ -45,17 +36,28 @@ def repeated_head(memory: list[str], words: list[str], least: int) -> int:
     return 0
 
 
-def segment_tokens(rows: list[dict]) -> Iterator[tuple]:
+def with_next(rows: Iterator[dict]) -> Iterator[tuple[dict, dict | None]]:
+    """Each row and the one after it."""
+    before = None
+    for row in rows:
+        if before is not None:
+            yield before, row
+        before = row
+    if before is not None:
+        yield before, None
+
+
+def segment_tokens(rows: Iterator[dict]) -> Iterator[tuple]:
     """Words of raw segments, without what overlapping segments repeat, with times shared out by characters."""
     memory: list[str] = []
     before_end = said_until = None
-    for i, seg in enumerate(rows):
+    for seg, following in with_next(rows):
         words = S.words(seg["text"])
         if not words:
             continue
         start, end = seg["start"], seg["end"]
         if end <= start:
-            after = rows[i + 1]["start"] if i + 1 < len(rows) else start
+            after = following["start"] if following else start
             end = after if after > start else start + max(len(words) * NOMINAL_WORD, LEAST_CUE)
         cut = repeated_head(memory, words, 1 if before_end is not None and start < before_end else LEAST_WORDS)
         before_end = end
@@ -76,16 +78,11 @@ def segment_tokens(rows: list[dict]) -> Iterator[tuple]:
 
 
 def tokens_from_segments(segments: DataFrame) -> DataFrame:
-    """Tokens of segments (transcript_id, pos, text, start, end, speaker), one grouped map per transcript."""
-
-    def fold(table: pa.Table) -> pa.Table:
-        rows = _rows(table)
-        return _out([(rows[0]["transcript_id"], i, *t) for i, t in enumerate(segment_tokens(rows))], table)
-
-    return segments.groupBy("transcript_id").applyInArrow(fold, TOKEN.format(key=segments.schema["transcript_id"].dataType.simpleString()))
+    """Tokens of segments (transcript_id, pos, text, start, end, speaker)."""
+    return fold_rows(segments, segment_tokens, TOKEN)
 
 
-def cut_cues(rows: list[dict]) -> Iterator[list]:
+def cut_cues(rows: Iterator[dict]) -> Iterator[list]:
     """Greedy cues [start, end, text, speaker]; a token opens a new cue when the running one is full or complete."""
     run: list[dict] = []
     joined = ""
@@ -115,29 +112,31 @@ def _cue(run: list[dict], joined: str) -> list:
     return [whole(run[0]["start"]), whole(run[-1]["end"]), S.wrap(S.clean(joined)), run[0]["speaker"]]
 
 
-def merge_cues(cues: Iterator[list]) -> list[list]:
+def merge_cues(cues: Iterator[list]) -> Iterator[list]:
     """Cues of few words or little time join the cue in front, if speaker, length and span allow."""
-    out: list[list] = []
+    held: list | None = None
     for cue in cues:
         start, end, text, speaker = cue
-        if out and (S.word_count(text) < LEAST_WORDS or end - start < LEAST_CUE) and out[-1][3] == speaker:
-            both = S.clean(S.join_pair(out[-1][2], text))
-            if S.length(both) <= MAX_CHARS and end - out[-1][0] <= MAX_MERGED_SECONDS:
-                out[-1] = [out[-1][0], end, S.wrap(both), speaker]
+        if held and (S.word_count(text) < LEAST_WORDS or end - start < LEAST_CUE) and held[3] == speaker:
+            both = S.clean(S.join_pair(held[2], text))
+            if S.length(both) <= MAX_CHARS and end - held[0] <= MAX_MERGED_SECONDS:
+                held = [held[0], end, S.wrap(both), speaker]
                 continue
-        out.append(cue)
-    return out
+        if held:
+            yield held
+        held = cue
+    if held:
+        yield held
 
 
 def cues_from_tokens(words: DataFrame) -> DataFrame:
     """Cues (transcript_id, pos, text, start, end, speaker) of tokens in time order, with sentence casing and a final stop."""
 
-    def fold(table: pa.Table) -> pa.Table:
-        rows = _rows(table)
-        return _out([(rows[0]["transcript_id"], i, text, start, end, speaker) for i, (start, end, text, speaker) in enumerate(merge_cues(cut_cues(rows)))], table)
+    def fold(rows: Iterator[dict]) -> Iterator[tuple]:
+        for start, end, text, speaker in merge_cues(cut_cues(rows)):
+            yield text, start, end, speaker
 
-    raw = words.select("transcript_id", "pos", "text", "start", "end", "speaker").groupBy("transcript_id").applyInArrow(fold, TOKEN.format(key=words.schema["transcript_id"].dataType.simpleString()))
-    return sentence_case(raw)
+    return sentence_case(fold_rows(words.select("transcript_id", "pos", "text", "start", "end", "speaker"), fold, TOKEN))
 
 
 def sentence_case(cues: DataFrame) -> DataFrame:

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.timing import PROGRESS_STEP
+from ..operators.fold import in_order
 from ..operators.store import NEXT, TERMINAL, latest
 
 
@@ -44,18 +47,21 @@ def last_state(events: DataFrame, key: str = "job_id", order: str = "seq") -> Da
     return latest(events, [key], order)
 
 
+def _settled(events: DataFrame, key: str, order: str) -> DataFrame:
+    """``events`` with settled, the place of the first terminal one of their job: an aggregate and a join, so that no job has to fit a task."""
+    first = events.where(F.col("status").isin(*TERMINAL)).groupBy(F.col(key).alias("_key")).agg(F.min(order).alias("settled"))
+    return events.join(first, F.col(key).eqNullSafe(F.col("_key")), "left").drop("_key")
+
+
 def terminal_states(events: DataFrame, key: str = "job_id", order: str = "seq") -> DataFrame:
     """For each job the first terminal event, if any, and how many events come up to it."""
-    first = F.min(F.when(F.col("status").isin(*TERMINAL), F.col(order))).over(Window.partitionBy(key))
-    rows = events.withColumn("settled", first)
     seen = F.count_if(F.col("settled").isNull() | (F.col(order) <= F.col("settled")))
-    return rows.groupBy(key).agg(F.first("settled").alias("settled"), F.max(F.when(F.col(order) == F.col("settled"), F.col("status"))).alias("status"), seen.alias("events"))
+    return _settled(events, key, order).groupBy(key).agg(F.first("settled").alias("settled"), F.max(F.when(F.col(order) == F.col("settled"), F.col("status"))).alias("status"), seen.alias("events"))
 
 
 def until_terminal(events: DataFrame, key: str = "job_id", order: str = "seq") -> DataFrame:
     """Events up to the first terminal one of their job: what a subscriber sees."""
-    first = F.min(F.when(F.col("status").isin(*TERMINAL), F.col(order))).over(Window.partitionBy(key))
-    return events.withColumn("_settled", first).where(F.col("_settled").isNull() | (F.col(order) <= F.col("_settled"))).drop("_settled")
+    return _settled(events, key, order).where(F.col("settled").isNull() | (F.col(order) <= F.col("settled"))).drop("settled")
 
 
 def bad_transitions(events: DataFrame, key: str = "job_id", order: str = "seq") -> DataFrame:
@@ -72,22 +78,21 @@ def throttle(events: DataFrame, key: str = "job_id", order: str = "seq", value:
 
     A value passed on raises the bar, so progress between resets is a staircase: per job at most 1 / ``step`` rows.
     """
-    schema = events.schema
-
-    def keep(rows: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
 
-        rows = rows.sort_values(order, kind="stable")
-        last, kept = np.float32(0), []
-        for v in rows[value].astype("float32"):
-            passed = bool(v - last >= np.float32(step))
-            last = v if passed else last
-            kept.append(passed)
-        return rows[kept]
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        job, last = object(), np.float32(0)
+        for batch in batches:
+            passed = []
+            for k, v in zip(batch.column(key).to_pylist(), batch.column(value).to_numpy(zero_copy_only=False).astype(np.float32)):
+                if k != job:
+                    job, last = k, np.float32(0)
+                passed.append(bool(v - last >= np.float32(step)))
+                last = v if passed[-1] else last
+            yield batch.filter(pa.array(passed, pa.bool_()))
 
     # what does not exceed all before it can never pass, so only new maxima reach the fold
     rising = events.withColumn("_top", F.max(value).over(Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)))
-    return rising.where(F.col("_top").isNull() | (F.col(value) > F.col("_top"))).drop("_top").groupBy(key).applyInPandas(keep, schema)
+    return in_order(rising.where(F.col("_top").isNull() | (F.col(value) > F.col("_top"))).drop("_top"), key, order).mapInArrow(keep, events.schema)
 
 
 def open_window_text(chunks: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lectern.operators import cues, export, tokens
+from lectern.streaming import jobs
 
 SEG = "transcript_id long, pos long, text string, start double, end double, speaker string"
 WORD = SEG
@@ -97,3 +98,20 @@ def test_files(spark, two):
 def test_runs_treat_null_as_equal(spark):
     rows = spark.createDataFrame([(1, i, s) for i, s in enumerate([None, None, "A", "A", None])], "transcript_id long, pos long, speaker string")
     assert [r["run"] for r in tokens.speaker_runs(rows).orderBy("pos").collect()] == [1, 1, 2, 2, 3]
+
+
+def test_folds_go_on_from_batch_to_batch(spark):
+    """Whatever the size of the batches, and with keys that are null or numbers, the folds give the same."""
+    rows = [(k, i, f"word{i % 7} and more of it", float(i), i + 0.9, None) for k in (None, 1, 2) for i in range(40)]
+    segments = spark.createDataFrame(rows, "transcript_id long, pos long, text string, start double, end double, speaker string")
+    want = sorted(map(repr, cues.consolidate(segments).collect()))
+    steps = spark.createDataFrame([(k, i, (i * 37 % 101) / 101) for k in (None, 1, 2) for i in range(100)], "job_id long, seq long, progress double")
+    passed = sorted(map(repr, jobs.throttle(steps).collect()))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        assert want and sorted(map(repr, cues.consolidate(segments).collect())) == want
+        assert passed and sorted(map(repr, jobs.throttle(steps).collect())) == passed
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert cues.consolidate(segments.limit(0)).count() == 0 and jobs.throttle(steps.limit(0)).count() == 0
