@@ -133,6 +133,7 @@ def placements(store: ShardStore, id_col: str = "doc_id") -> DataFrame:
     version = store.versions()[-1]
     docs = store.read(version)
     info = store.manifest(version).select("path", F.col("min_id").alias("shard"), F.col("rows").alias("shard_rows"), F.col("bytes").alias("shard_bytes"), "tier")
-    if not docs.inputFiles():
-        return docs.select(id_col).crossJoin(info.drop("path").limit(0)).withColumn("version", F.lit(version))
+    if not docs.inputFiles():  # an empty table has no shards
+        none = [F.lit(None).cast(f.dataType).alias(f.name) for f in info.schema.fields if f.name != "path"]
+        return docs.select(id_col, *none, F.lit(version).alias("version"))
     return docs.select(id_col, F.col("_metadata.file_path").alias("path")).join(info, "path").drop("path").withColumn("version", F.lit(version))
