@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import bpe, exact_dedup, language_id, mixing, simhash
+from lectern.llm import bpe, exact_dedup, language_id, mixing, simhash, similar
 from lectern.llm.common import configure, durable
 from lectern.llm.queries import domain_labels, tokenizer_path
 
@@ -33,6 +33,12 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return simhash.drop_near_copies(docs)
 
 
+def drop_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents connected by five-word shingle sets of similarity 0.8 or more, the smallest doc_id stays."""
+    configure(spark)
+    return similar.drop_similar(docs)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents by fitted rates: low quality is cut to a share of its tokens, all other domains keep theirs."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -50,6 +56,7 @@ STAGES = [
     ("language ID", identify_language),
     ("exact dedup", drop_copies),
     ("SimHash near-dedup", drop_near_copies),
+    ("near-dedup by word sets", drop_similar),
     ("mixing to target weights", mix_sources),
     ("BPE encoding and decoding", encode),
 ]
