@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import re
 import unicodedata
-import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +17,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import durable, free_name, map_texts
+from .components import components
 from .linear import Adam, sample_labelled, sigmoid
+from .similar import links
 
 #: Symbols of the character model: 0 ends a word, 1 to 26 are a to z without accents, 27 is any other letter.
 SYMBOLS = 28
@@ -306,6 +307,16 @@ def restorer(log_probs: np.ndarray) -> Restorer:
     return _restorers[key]
 
 
+def weighted(bags: DataFrame) -> DataFrame:
+    """``bags`` (id, label, words, ...) with a weight: near copies of one label weigh as one together, all others 1 each.
+
+    Near copies are what five-word shingle sets of similarity 0.8 or more connect.
+    """
+    group = components(links(bags.select("id", F.col("words").alias("text")))).select(F.col("node").alias("id"), "component")
+    bags = bags.join(group, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    return bags.join(bags.groupBy("label", "component").agg(F.count("*").alias("alike")), ["label", "component"]).withColumn("weight", 1 / F.col("alike"))
+
+
 def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col: str = "toxic", id_col: str = "doc_id", per_label: int = SAMPLE_PER_LABEL) -> ToxicityModel:
     """Count the character model over all of ``docs`` and learn word weights from a bounded sample of ``labels``.
 
@@ -324,16 +335,13 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col: s
 
         def work(texts: list) -> dict:
             words = [read.words(t)[0] for t in texts]
-            sketch = [min((zlib.crc32(w.encode()) for w in set(ws)), default=0) for ws in words]
-            return {"words": pa.array([" ".join(w) for w in words]), "sketch": pa.array(sketch, pa.int64()), "stems": pa.array([densities(w) for w in words], pa.list_(DENSITY))}
+            return {"words": pa.array([" ".join(w) for w in words]), "stems": pa.array([densities(w) for w in words], pa.list_(DENSITY))}
 
         return work
 
     picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id")
-    bags = durable(map_texts(picked, "text", make, "words string, sketch long, stems array<struct<stem string, s double>>"), "toxicity-sample")
-    # documents of one sketch (the least hash of their words) are near copies as a rule: together they weigh as one
-    alike = bags.groupBy("label", "sketch").agg(F.count("*").alias("alike"))
-    bags = bags.join(alike, ["label", "sketch"]).withColumn("weight", 1 / F.col("alike"))
+    bags = durable(map_texts(picked, "text", make, "words string, stems array<struct<stem string, s double>>"), "toxicity-sample")
+    bags = durable(weighted(bags), "toxicity-weights")
     n = {r[0]: r[1] for r in bags.groupBy("label").agg(F.sum("weight")).collect()}
     n1, n0 = n.get(1, 0), n.get(0, 0)
     one, zero = F.col("weight") * F.col("label"), F.col("weight") * (1 - F.col("label"))
