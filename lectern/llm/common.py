@@ -25,10 +25,13 @@ def configure(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share; ``spark.checkpoint.dir`` names it.
 
-    Only where the setting is absent (tests, a laptop) a temporary folder of this machine is used.
+    Only where the setting is absent and everything runs on this machine (tests, a laptop) a temporary folder is used; on
+    a cluster, where no executor would see the files of another, that is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="lectern-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

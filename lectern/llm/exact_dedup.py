@@ -1,10 +1,11 @@
 """Exact deduplication with a log-structured merge index of text digests.
 
-Arrivals are flushed as *runs*: a Parquet table sorted by digest whose files carry min/max statistics and
-Bloom filters on the digest column, so a lookup skips files that cannot hold it. Compaction merges runs of
-a level into one run of the next level, one row per digest with the identifier to keep (the smallest by
-default) and the number of copies. A lookup is an equi-join on the digest; every hit is then verified byte
-by byte against the text of the document that stays, so equal digests alone never drop a document.
+Arrivals are flushed as *runs*: Parquet tables whose files are sorted by digest and carry min/max statistics and Bloom
+filters on it. Compaction merges the runs of a level into one run of the next level, one row per digest with the
+identifier to keep (the smallest by default) and the number of copies. ``lookup`` asks for given digests: Parquet then skips
+the row groups whose statistics or filter rule all of them out. Where every document is looked up, as in ``exact_dedup``, no
+row group could be skipped; that is an equi-join with the index, narrowed to the digests of several rows. Every hit is then
+verified byte by byte against the text of the document that stays, so equal digests alone never drop a document.
 """
 
 from __future__ import annotations
@@ -69,55 +70,73 @@ class DigestIndex:
         self.levels[level + 1].append(self._write(self._merge(self.spark.read.parquet(*runs)), level + 1))
         self.levels[level] = []
 
+    def lookup(self, digests: list[bytes]) -> DataFrame:
+        """(digest, keep_id, copies) of those of some ``digests`` that the index holds."""
+        return self._merge(self._runs().where(F.col("digest").isin(digests)))
+
+    def _runs(self) -> DataFrame:
+        runs = [r for level in self.levels for r in level]
+        rows = self.spark.read.schema("digest binary, keep_id long, copies long")
+        return rows.parquet(*runs) if runs else self.spark.createDataFrame([], "digest binary, keep_id long, copies long")
+
     def table(self) -> DataFrame:
         """One row per digest over all runs; a single run needs no merge."""
-        runs = [r for level in self.levels for r in level]
-        rows = self.spark.read.schema("digest binary, keep_id long, copies long").parquet(*runs)
-        return rows if len(runs) == 1 else self._merge(rows)
+        return self._runs() if sum(map(len, self.levels)) == 1 else self._merge(self._runs())
+
+
+def text_key(text: Column) -> Column:
+    """Tells the texts of rows that repeat an id apart."""
+    return F.xxhash64(text, F.lit(29))
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min", digest=sha256_digest, index: DigestIndex | None = None) -> DataFrame:
     """(id, keep_id, group_size, kept, text_sha256) for every row of ``docs``.
 
     Texts are equal if identical after lower-casing A-Z; null counts as empty. Of equal texts the row with the
-    smallest (``keep='min'``) or largest id stays. Ids are expected unique; rows that repeat an id and a text are
-    one document counted as often as it occurs, and each row comes back. A null id is never dropped: it stands
-    for itself with group_size 1. Other columns are ignored. An empty table gives no rows.
+    smallest (``keep='min'``) or largest id stays. Rows that repeat an id and a text are one document counted as often as it
+    occurs, and each row comes back; rows that repeat an id with other texts go with the groups of their own texts. A null
+    id is never dropped: it stands for itself with group_size 1. Other columns are ignored. An empty table gives no rows.
     """
+    found = _grouped(docs, id_col, text_col, keep, digest, index)
+    alone = F.col("id").isNull()
+    return found.select(
+        F.col("id").alias(id_col), F.when(~alone, F.col("keep")).alias("keep_id"), F.when(alone, F.lit(1)).otherwise(F.col("size")).cast("long").alias("group_size"),
+        (alone | (F.col("keep") == F.col("id"))).alias("kept"), F.col("sha").alias("text_sha256"))
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str, keep: str, digest, index: DigestIndex | None) -> DataFrame:
+    """(id, key, sha, keep, size) of every row, where key tells apart the texts of an id that repeats."""
     spark = docs.sparkSession
     raw = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("raw"))
     norm = normalised(F.col("raw"))
-    rows = durable(raw.select("id", F.sha2(norm.cast("binary"), 256).alias("sha"), digest(norm).alias("digest")), "digests")
+    rows = durable(raw.select("id", text_key(F.col("raw")).alias("key"), F.sha2(norm.cast("binary"), 256).alias("sha"), digest(norm).alias("digest")), "digests")
     index = index or DigestIndex(spark, keep=keep)
     for batch in range(MEMTABLES):
         index.flush(rows.where("id is not null").where(F.pmod(F.xxhash64("id"), F.lit(MEMTABLES)) == batch).select("digest", "id"))
-    found = rows.join(index.table(), "digest", "left")
+    found = rows.join(index.table().where("copies > 1"), "digest", "left")
 
-    copies = found.where("copies > 1 and keep_id <> id").select("id", "keep_id", "digest", F.ceil(F.col("copies") / COPIES_PER_REPLICA).cast("int").alias("replicas")).distinct()
-    keepers = copies.groupBy("keep_id").agg(F.max("replicas").alias("replicas")).select(F.col("keep_id").alias("id"), "keep_id", F.lit(None).cast("binary").alias("digest"), "replicas")
+    copies = found.where("copies > 1 and keep_id <> id").select("id", "digest", "keep_id", F.ceil(F.col("copies") / COPIES_PER_REPLICA).cast("int").alias("replicas")).distinct()
+    keepers = copies.groupBy("keep_id", "digest").agg(F.max("replicas").alias("replicas")).select(F.col("keep_id").alias("id"), "digest", F.lit(None).cast("long").alias("keep_id"), "replicas")
     # every text that takes part crosses once by its id, spread evenly; only those then meet the text that stays
-    texts = copies.unionByName(keepers).join(raw, "id").withColumn("norm", norm)
-    left = texts.where("digest is not null").select("digest", "keep_id", F.pmod(F.xxhash64("id"), F.col("replicas")).cast("int").alias("slice"), "norm")
-    right = texts.where("digest is null").select("keep_id", F.explode(F.sequence(F.lit(0), F.col("replicas") - 1)).alias("slice"), F.col("norm").alias("kept_norm"))
-    wrong = durable(left.join(right, ["keep_id", "slice"]).where("norm <> kept_norm").select("digest").distinct(), "collisions")
+    texts = copies.unionByName(keepers).join(raw, "id").withColumn("norm", norm).where(digest(F.col("norm")) == F.col("digest"))
+    left = texts.where("keep_id is not null").select("digest", F.pmod(F.xxhash64("id"), F.col("replicas")).cast("int").alias("slice"), "norm")
+    right = texts.where("keep_id is null").select("digest", F.explode(F.sequence(F.lit(0), F.col("replicas") - 1)).alias("slice"), F.col("norm").alias("kept_norm"))
+    wrong = durable(left.join(right, ["digest", "slice"]).where("norm <> kept_norm").select("digest").distinct(), "collisions")
 
     if not wrong.isEmpty():  # different texts under one digest: their groups are formed by the texts themselves
         ids = rows.join(wrong, "digest", "left_semi").where("id is not null").select("id").distinct()
-        apart = raw.join(ids, "id", "left_semi").select("id", norm.alias("norm"))
+        apart = raw.join(ids, "id", "left_semi").select("id", text_key(F.col("raw")).alias("key"), norm.alias("norm"))
+        apart = apart.join(wrong, digest(F.col("norm")) == wrong["digest"], "left_semi")
         pick = F.min if keep == "min" else F.max
         true = apart.join(apart.groupBy("norm").agg(pick("id").alias("true_keep"), F.count("*").alias("true_copies")), "norm")
-        found = found.join(true.select("id", "true_keep", "true_copies").distinct(), "id", "left")
+        found = found.join(true.select("id", "key", "true_keep", "true_copies").distinct(), ["id", "key"], "left")
     else:
         found = found.withColumns({"true_keep": F.lit(None).cast("long"), "true_copies": F.lit(None).cast("long")})
-    keep_id, size = F.coalesce("true_keep", "keep_id", "id"), F.coalesce("true_copies", "copies", F.lit(1))
-    alone = F.col("id").isNull()
-    return found.select(
-        F.col("id").alias(id_col), F.when(~alone, keep_id).alias("keep_id"), F.when(alone, F.lit(1)).otherwise(size).cast("long").alias("group_size"),
-        (alone | (keep_id == F.col("id"))).alias("kept"), F.col("sha").alias("text_sha256"))
+    return found.select("id", "key", "sha", F.coalesce("true_keep", "keep_id", "id").alias("keep"), F.coalesce("true_copies", "copies", F.lit(1)).alias("size"))
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max") -> DataFrame:
-    """The rows of ``docs`` that stay, with their columns."""
-    spare = free_name(docs.columns, "drop_id")
-    gone = exact_dedup(docs, id_col, text_col, keep).where("not kept").select(F.col(id_col).alias(spare)).distinct()
-    return docs.join(gone, docs[id_col] == gone[spare], "left_anti")
+    """The rows of ``docs`` that stay, with their columns. A row goes for its own text: what else is stored under its id stays."""
+    gone_id, gone_key = free_name(docs.columns, "drop_id"), free_name(docs.columns, "drop_key")
+    gone = _grouped(docs, id_col, text_col, keep, sha256_digest, None).where("id is not null and keep <> id").select(F.col("id").alias(gone_id), F.col("key").alias(gone_key)).distinct()
+    return docs.join(gone, (docs[id_col] == gone[gone_id]) & (text_key(docs[text_col]) == gone[gone_key]), "left_anti")

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, free_name
+from .common import durable
 from .components import components
 from .exact_dedup import normalised
 
@@ -89,29 +89,18 @@ def links(rows: DataFrame) -> DataFrame:
     connected, all with all. A large group of near copies so makes about as many pairs as it has members.
     """
     kept = durable(prefixes(rows, frequent(rows)), "prefixes")
-    postings = kept.select(F.explode("prefix").alias("s"), "id", "n")
+    postings = kept.select(F.posexplode("prefix").alias("at", "s"), "id", "n")
     shared = durable(postings.groupBy("s").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("held")).where("low <> high"), "shared")
     members = durable(postings.join(shared.where("held > 2").select("s", "low"), "s"), "members")
     star = members.where("id <> low").select(F.col("id").alias("u"), F.col("low").alias("v"))
     first = verified(star.unionByName(shared.where("held = 2").select(F.col("high").alias("u"), F.col("low").alias("v"))), kept, rows)
 
-    placed = members.where("id <> low").join(components(first), members.id == F.col("node"), "left").select("s", "id", "n", F.coalesce("component", "id").alias("part"))
-    apart = placed.groupBy("s").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.collect_list(F.struct("id", "n", "part")).alias("m")).where("p <> q")
-
-    def fits(a: Column, b: Column) -> Column:
-        return (a.id > b.id) & (a.part != b.part) & (F.least(a.n, b.n) * SIMILAR[1] >= F.greatest(a.n, b.n) * SIMILAR[0])
-
-    pairs = F.flatten(F.transform("m", lambda a: F.transform(F.filter("m", lambda b: fits(a, b)), lambda b: F.struct(a.id.alias("u"), b.id.alias("v")))))
-    return first.unionByName(verified(apart.select(F.inline(pairs)), kept, rows))
-
-
-def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, one document of each group (the smallest id), with their columns.
-
-    Documents link if the Jaccard similarity of their sets of five-word shingles is 0.8 or more; groups are what links
-    connect. Texts without words are equal. Rows with a null id stay; rows that repeat an id stay or go together.
-    """
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    spare = free_name(docs.columns, "drop_id")
-    gone = components(links(rows)).where("component <> node").select(F.col("node").alias(spare)).distinct()
-    return docs.join(gone, docs[id_col] == gone[spare], "left_anti")
+    placed = members.where("id <> low").join(components(first), members.id == F.col("node"), "left").select("s", "at", "id", "n", F.coalesce("component", "id").alias("part"))
+    apart = placed.groupBy("s").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("s")
+    live = durable(placed.join(apart, "s"), "apart")
+    a, b = (live.select("s", *[F.col(c).alias(f"{c}_{side}") for c in ("at", "id", "n", "part")]) for side in "ab")
+    # a pair is met at the first shingle that both have: from there on they share no more than either has left
+    left = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
+    fits = (F.col("id_a") > F.col("id_b")) & (F.col("part_a") != F.col("part_b")) & (left * sum(SIMILAR) >= (F.col("n_a") + F.col("n_b")) * SIMILAR[0])
+    pairs = a.join(b, "s").where(fits).select(F.col("id_a").alias("u"), F.col("id_b").alias("v"))
+    return first.unionByName(verified(pairs, kept, rows))

@@ -1,15 +1,19 @@
 """Toxicity of texts that may be disguised: noisy-channel decoding of character lattices, then a word model.
 
-Each token (and each run of single characters, as in ``i d i o t``) becomes a lattice of what its characters may stand
-for: look-alike digits and symbols, repeated letters, and separators inside words. A Viterbi search over the
-lattice finds the cheapest reading under channel costs plus a character 4-gram model that is counted over all
-documents. The restored words are scored by a logistic model learned from labelled documents.
+Each token becomes a lattice of what its characters may stand for: look-alike digits and symbols, repeated letters, and
+separators inside words. Short tokens in a row (``i d i o t``, ``st u pid``) share one lattice in which the gaps between them
+may be dropped. A Viterbi search over the whole lattice, however long, finds the cheapest reading under channel costs plus a
+character 4-gram model that is counted over all documents. The restored words are scored by a logistic model learned from
+labelled documents.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterable, Iterator
+from itertools import chain, groupby
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +30,11 @@ SYMBOLS = 28
 #: Weight of the shorter history in each step of the interpolated model.
 BACKOFF = 4.0
 #: Channel costs in nats: a look-alike read as a letter, a separator dropped inside a word, a separator kept, a run
-#: of three or more read as one or two letters, a doubled letter read as one, a gap in spaced letters dropped or kept.
-LOOKALIKE, DROP, KEEP, RUN_ONE, RUN_TWO, DOUBLE_ONE, GAP_DROP, GAP_KEEP = 1.0, 1.5, 4.0, 0.5, 1.0, 4.0, 0.1, 4.0
+#: of three or more read as one or two letters, a doubled letter read as one, a gap in spaced letters dropped or kept, a gap
+#: between short pieces of words dropped.
+LOOKALIKE, DROP, KEEP, RUN_ONE, RUN_TWO, DOUBLE_ONE, GAP_DROP, GAP_KEEP, SPLIT_DROP = 1.0, 1.5, 4.0, 0.5, 1.0, 4.0, 0.1, 4.0, 3.0
+#: Tokens of so many characters may be pieces of a word.
+PIECE = 3
 #: What it costs more not to read a look-alike as a letter.
 NOT_A_LETTER = 4.0
 #: Letters that digits, symbols and letters of other scripts are used for.
@@ -37,10 +44,11 @@ LOOKALIKES = {
     "а": "a", "в": "b", "е": "e", "к": "k", "м": "m", "н": "h", "о": "o", "р": "p", "с": "c", "т": "t", "у": "y", "х": "x",
     "і": "i", "ј": "j", "ѕ": "s", "ο": "o", "α": "a", "ε": "e", "ι": "i", "ν": "v", "τ": "t", "υ": "u", "ρ": "p",
 }
-#: Longer lattices (tokens without white space, runs of single characters) are read in pieces of so many nodes.
-MOST_NODES = 256
-#: Tokens remembered per worker, and the longest that is.
-CACHE_TOKENS, CACHE_CHARS = 400_000, 40
+#: Steps of a search after which its settled part is first given out, and characters that are split into tokens at once:
+#: neither changes a reading, both bound the memory that very long texts take.
+WINDOW, BLOCK_CHARS = 512, 1 << 18
+#: Tokens and stretches of short ones remembered per worker, and the longest of either that is.
+CACHE_TOKENS, CACHE_CHARS, CACHE_PIECES = 400_000, 40, 6
 #: Labelled documents of each label to fit on.
 SAMPLE_PER_LABEL = 3000
 #: A word or stem enters the model if so large a share of the toxic sample has it, with this z score and this lift;
@@ -48,6 +56,7 @@ SAMPLE_PER_LABEL = 3000
 LEAST_SHARE, LEAST_Z, LEAST_LIFT, MOST_WORDS = 0.01, 3.0, 8.0, 256
 STEMS, END = range(3, 9), "$"
 STEPS, RATE, DECAY = 500, 0.1, 1e-5
+ORNAMENTS = ("$$$", "!!!", "|||", "+++", "@@@")
 EDGE = ".,;:?\"'()[]{}<>“”‘’«»¿-–—_*#&%~^=`/\\"
 
 
@@ -65,8 +74,58 @@ def _symbol_table() -> np.ndarray:
 TABLE = _symbol_table()
 
 
-def symbol(c: str) -> int:
-    return int(TABLE[min(ord(c), 0x250)]) if c.isalpha() else 0
+class Symbols(dict):
+    """From character to symbol, filled as characters occur."""
+
+    def __missing__(self, c: str) -> int:
+        found = self[c] = int(TABLE[min(ord(c), 0x250)]) if c.isalpha() else 0
+        return found
+
+
+symbol = Symbols().__getitem__
+
+
+def coded(options: list[tuple[str, float]]) -> list[tuple[str, float, list[int]]]:
+    """Options of a node with their symbols."""
+    return [(o, cost, [symbol(c) for c in o]) for o, cost in options]
+
+
+def follow(back: list[dict[int, tuple[int, str]]], state: int) -> list[str]:
+    """The options on the path that ends in ``state``."""
+    out = []
+    for came in reversed(back):
+        state, o = came[state]
+        out.append(o)
+    return out[::-1]
+
+
+def with_last(items: Iterable) -> Iterator[tuple[bool, object]]:
+    """Each item, with whether it is the last."""
+    before: list = []
+    for item in items:
+        if before:
+            yield False, before[0]
+        before = [item]
+    if before:
+        yield True, before[0]
+
+
+#: Nodes that stand between characters: the end of a word, the gap between spaced letters, the one between pieces of
+#: words, and exclamation marks at the end of a token.
+WORD_END = [("", 0.0, [0])]
+SPACED_GAP, PIECE_GAP = coded([("", GAP_DROP), (" ", GAP_KEEP)]), coded([(" ", 0.0), ("", SPLIT_DROP)])
+ORNAMENT = coded([("", 0.0), *((x, LOOKALIKE) for x in LOOKALIKES["!"])])
+GAP, DOUBLED = re.compile(r"\s"), re.compile(r"(.)\1", re.DOTALL)
+
+
+def blocks(text: str) -> Iterator[str]:
+    """A text in stretches of about ``BLOCK_CHARS`` characters, cut at white space alone."""
+    at = 0
+    while at < len(text):
+        gap = GAP.search(text, at + BLOCK_CHARS)
+        end = gap.start() if gap else len(text)
+        yield text[at:end]
+        at = end
 
 
 def fourgrams(texts: list) -> np.ndarray:
@@ -90,9 +149,13 @@ def character_model(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     def count(batches):
         total = np.zeros(size, np.int64)
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for lo in range(0, len(texts), 256):
-                total += np.bincount(fourgrams(texts[lo : lo + 256]), minlength=size)
+            held: list[str] = []
+            for part in chain.from_iterable(blocks(t) for t in batch.column(0).to_pylist() if t):
+                held.append(part)
+                if sum(map(len, held)) >= BLOCK_CHARS:
+                    total += np.bincount(fourgrams(held), minlength=size)
+                    held = []
+            total += np.bincount(fourgrams(held), minlength=size)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["at", "n"])
 
@@ -114,6 +177,9 @@ class Restorer:
     def __init__(self, log_probs: np.ndarray):
         self.lp = (-log_probs).tolist()
         self.known: dict[str, str] = {}
+        self.stretches: dict[tuple, list[str]] = {}
+        self.choices: dict[tuple[str, int], list] = {}
+        self.edges: dict[str, tuple] = {}
         self.hits: dict[int, dict] = {}  # what models find in words, kept as long as the readings
 
     def options(self, c: str, n: int) -> list[tuple[str, float]]:
@@ -128,34 +194,48 @@ class Restorer:
             return out + [(c, KEEP + more)]
         return out + [(" ", KEEP + more)] + ([] if c.isdigit() else [("", DROP + more)])
 
-    def search(self, lattice: list[list[tuple[str, float]]]) -> str:
-        """Viterbi: the cheapest reading; states are the last three symbols."""
+    def nodes(self, characters: Iterable[str]) -> Iterator[list]:
+        """The nodes of a lattice: one for each run of equal characters, its options with their symbols."""
+        for c, run in groupby(characters):
+            n = min(sum(1 for _ in run), 3)
+            if (found := self.choices.get((c, n))) is None:
+                found = self.choices[c, n] = coded(self.options(c, n))
+            yield found
+
+    def search(self, lattice: Iterable[list]) -> str:
+        """Viterbi: the cheapest reading of all nodes; states are the last three symbols.
+
+        Steps point back to the state they came from. Now and then the paths of all states are followed back to where
+        they meet; what lies before is settled, whatever comes, and is given out.
+        """
         lp, size, cut = self.lp, SYMBOLS, SYMBOLS**2
-        states: dict[int, tuple[float, str]] = {0: (0.0, "")}
-        coded = [[(o, cost, [symbol(c) for c in o]) for o, cost in options] for options in lattice]
-        for options in [*coded, [("", 0.0, [0])]]:
-            new: dict[int, tuple[float, str]] = {}
-            for h, (cost, read) in states.items():
+        costs: dict[int, float] = {0: 0.0}
+        back: list[dict[int, tuple[int, str]]] = []
+        settled: list[str] = []
+        due = WINDOW
+        for options in chain(lattice, (WORD_END,)):
+            new: dict[int, float] = {}
+            came: dict[int, tuple[int, str]] = {}
+            for h, cost in costs.items():
                 for o, extra, codes in options:
                     total, g = cost + extra, h
                     for s in codes:
                         if s or g % size:  # a word end after a word end says nothing
                             total += lp[g * size + s]
                         g = (g % cut) * size + s if s else 0
-                    if g not in new or (total, read + o) < new[g]:
-                        new[g] = (total, read + o)
-            states = new
-        return min(states.values())[1]
-
-    def lattice(self, token: str) -> list[list[tuple[str, float]]]:
-        out, i = [], 0
-        while i < len(token):
-            j = i
-            while j < len(token) and token[j] == token[i]:
-                j += 1
-            out.append(self.options(token[i], j - i))
-            i = j
-        return out
+                    if g not in new or total < new[g]:
+                        new[g], came[g] = total, (h, o)
+            costs = new
+            back.append(came)
+            if len(back) >= due:
+                t, at = len(back), set(costs)
+                while t and len(at) > 1:
+                    t -= 1
+                    at = {back[t][h][0] for h in at}
+                settled += follow(back[:t], at.pop()) if len(at) == 1 else []
+                back = back[t:]
+                due = WINDOW + 2 * len(back)
+        return "".join(settled + follow(back, min(costs, key=costs.__getitem__)))
 
     def token(self, token: str) -> str:
         """The reading of one token without white space; plain words come back as they are."""
@@ -171,56 +251,123 @@ class Restorer:
     def _token(self, token: str) -> str:
         t = token if token.isascii() else "".join(c for c in unicodedata.normalize("NFKC", token) if unicodedata.category(c) not in ("Cf", "Mn"))
         core = t.strip(EDGE)
-        for c in "$!|+@":  # a run of three or more at an edge is ornament
-            if core.endswith(c * 3) or core.startswith(c * 3):
-                core = core.strip(c).strip(EDGE)
+        for edge in (core[-3:], core[:3]):
+            if edge in ORNAMENTS:  # a run of three or more at an edge
+                core = core.strip(edge[0]).strip(EDGE)
         if core.isascii() and core.isalpha() and not DOUBLED.search(core):
             return core
-        plain = core.rstrip("!")
+        plain = core.rstrip("!")  # after letters alone, exclamation marks are what they are
         if plain.isalpha() and not any(c in LOOKALIKES for c in plain) and not DOUBLED.search(plain):
             return plain
         if not any(c.isalpha() or c in LOOKALIKES for c in core) or core.isdigit():
             return core
-        nodes = self.lattice(core)
-        return "".join(self.search(nodes[k : k + MOST_NODES]) for k in range(0, len(nodes), MOST_NODES)).strip()
+        ending = [ORNAMENT] if plain != core else []  # at the end of other tokens they may also stand for letters
+        return self.search(chain(self.nodes(plain), ending)).strip()
 
     def spaced(self, tokens: list[str]) -> str:
         """The reading of three or more single characters in a row."""
-        out: list[list[tuple[str, float]]] = []
-        i = 0
-        while i < len(tokens):
+
+        def lattice():
+            first = True
+            for c, run in groupby(tokens):
+                if c.isalnum() or c in LOOKALIKES:
+                    if not first:
+                        yield SPACED_GAP
+                    yield from self.nodes(run)
+                    first = False
+
+        return self.search(lattice()).strip()
+
+    def ends(self, piece: str) -> tuple[int, float, list[int], float]:
+        """What joining a piece to its neighbours needs: the history and the cost at its end, its first three symbols and their cost at the start of a word."""
+        found = self.edges.get(piece)
+        if found is None:
+            lp, codes = self.lp, [*map(symbol, piece)]
+            g, head = 0, 0.0
+            for i, s in enumerate([*codes, 0]):
+                cost = lp[g * SYMBOLS + s]
+                head += cost if i < 3 else 0.0
+                g, last = g % SYMBOLS**2 * SYMBOLS + s, g
+            if len(self.edges) >= CACHE_TOKENS:
+                self.edges.clear()
+            found = self.edges[piece] = last, cost, [*codes, 0][:3], head
+        return found
+
+    def torn(self, a: str, b: str) -> bool:
+        """Whether two pieces are likelier to be one word."""
+        if not (a.isalpha() and b.isalpha()):
+            return False
+        g, end, _, _ = self.ends(a)
+        _, _, codes, head = self.ends(b)
+        joined = SPLIT_DROP
+        for s in codes:
+            joined += self.lp[g * SYMBOLS + s]
+            g = g % SYMBOLS**2 * SYMBOLS + s
+        return joined < end + head
+
+    def pieces(self, tokens: list[str]) -> list[str]:
+        """The reading of two or more short tokens in a row: gaps fall where the whole is then cheaper."""
+        key = tuple(tokens) if len(tokens) <= CACHE_PIECES else None
+        found = self.stretches.get(key)
+        if found is None:
+            found = list(map(self.token, tokens))
+            if any(map(self.torn, found, found[1:])):
+                gaps = chain.from_iterable(([] if i == 0 else [PIECE_GAP], self.nodes(w)) for i, w in enumerate(filter(None, found)))
+                found = self.search(chain.from_iterable(gaps)).split()
+            if key:
+                if len(self.stretches) >= CACHE_TOKENS:
+                    self.stretches.clear()
+                self.stretches[key] = found
+        return found
+
+    def short(self, tokens: list[str], runs: list[str]) -> Iterator[str]:
+        """Readings of short tokens in a row; those of three or more single characters also go to ``runs`` without gaps."""
+        at = i = 0
+        while i < len(tokens) - 2:
             j = i
-            while j < len(tokens) and tokens[j] == tokens[i]:
+            while j < len(tokens) and len(tokens[j]) == 1:
                 j += 1
-            c = tokens[i]
-            if c.isalnum() or c in LOOKALIKES:
-                if out:
-                    out.append([("", GAP_DROP), (" ", GAP_KEEP)])
-                out.append(self.options(c, j - i))
-            i = j
-        return self.search(out).strip() if out else ""
+            if j - i >= 3:
+                yield from self.pieces(tokens[at:i]) if i - at > 1 else map(self.token, tokens[at:i])
+                read = self.spaced(tokens[i:j])
+                runs.append(read.replace(" ", ""))
+                yield read
+                at = j
+            i = max(j, i + 1)
+        yield from self.pieces(tokens[at:]) if len(tokens) - at > 1 else map(self.token, tokens[at:])
+
+    def readings(self, text: str | None) -> Iterator[tuple[list[str], list[str]]]:
+        """Block by block the restored words of a text, in order, and the readings of its spaced runs without their gaps."""
+        held: list[str] = []
+        for last, block in with_last(blocks(text or "")):
+            tokens = block.lower().split()
+            end = len(tokens)
+            while not last and end and len(tokens[end - 1]) <= PIECE:
+                end -= 1  # short tokens may go on in the next block
+            if not end and not last:
+                held += tokens
+                continue
+            now, held = held + tokens[:end], tokens[end:]
+            out: list[str] = []
+            runs: list[str] = []
+            brief = [len(t) <= PIECE for t in now]
+            at = end = 0
+            for i in [i for i, both in enumerate(map(and_, brief, brief[1:])) if both]:
+                if i < end:
+                    continue
+                end = i + 2
+                while end < len(now) and brief[end]:
+                    end += 1
+                out += map(self.token, now[at:i])
+                out += self.short(now[i:end], runs)
+                at = end
+            out += map(self.token, now[at:])
+            yield " ".join(out).split(), runs
 
     def words(self, text: str | None) -> tuple[list[str], list[str]]:
-        """The restored words of a text, in order, and the readings of its spaced runs without their gaps."""
-        if not text:
-            return [], []
-        tokens = text.lower().split()
-        singles = [i for i, t in enumerate(tokens) if len(t) == 1]
-        out, runs, at, i = [], [], 0, 0
-        while i < len(singles):
-            j = i
-            while j + 1 < len(singles) and singles[j + 1] == singles[j] + 1:
-                j += 1
-            if j - i >= 2:
-                out += map(self.token, tokens[at : singles[i]])
-                run = tokens[singles[i] : singles[j] + 1]
-                read = [self.spaced(run[k : k + MOST_NODES]) for k in range(0, len(run), MOST_NODES)]
-                runs += [r.replace(" ", "") for r in read]
-                out += read
-                at = singles[j] + 1
-            i = j + 1
-        out += map(self.token, tokens[at:])
-        return " ".join(out).split(), runs
+        """All ``readings`` of a text at once."""
+        every = list(self.readings(text))
+        return [w for words, _ in every for w in words], [r for _, runs in every for r in runs]
 
 
 def plain_form(word: str) -> str:
@@ -234,7 +381,6 @@ def stems(word: str) -> list[str]:
     return [word[:n] for n in STEMS if n <= len(word)] + [word + END]
 
 
-DOUBLED = re.compile(r"(.)\1", re.DOTALL)
 DENSITY = pa.struct([("stem", pa.string()), ("s", pa.float64())])
 
 
@@ -266,16 +412,24 @@ class ToxicityModel:
             memory[word] = hit
         return hit
 
-    def evidence(self, words: list[str], runs: list[str], memory: dict) -> list[str]:
-        """Words and stems of the model in a restored text, as often as they occur; in runs of spaced letters they may stand anywhere."""
-        found = [h for w in words if (hit := self.hits(w, memory)) for h in hit]
+    def evidence(self, words: list[str], memory: dict, known: int = 0) -> list[str]:
+        """Words and stems of the model in a restored text, as often as they occur.
+
+        The first ``known`` words were looked at before and only begin words that are cut in two.
+        """
+        found = [h for w in words[known:] if (hit := self.hits(w, memory)) for h in hit]
         for i in [i for i, w in enumerate(words[:-1]) if w in self.openings]:  # a word cut in two
             if (both := words[i] + words[i + 1] + END) in self.weights:
                 found.append(both)
-        for run in map(plain_form, runs):
-            found += [v for k, v in self.plain.items() if k in run and v not in found]
         return found
 
+    def inside(self, runs: list[str], found: list[str]) -> list[str]:
+        """What the runs of spaced letters of a text hold, wherever it stands in them, beyond what is ``found``."""
+        more: list[str] = []
+        for run in map(plain_form, runs):
+            more += [v for k, v in self.plain.items() if k in run and v not in found and v not in more]
+        return more
+
     @staticmethod
     def figures(found: list[str], n_words: int) -> tuple[float, float]:
         return float(np.log1p(len(found))), float(np.log1p(100 * len(found) / (n_words + 10)))
@@ -321,7 +475,7 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col: s
     """Count the character model over all of ``docs`` and learn word weights from a bounded sample of ``labels``.
 
     Rows with a null or other label are left out. Labels are weighted back to their shares. Without rows of both
-    labels there are no word weights and every text gets the share of label 1.
+    labels there are no word weights and every text gets one and the same score: near 1 if all are of label 1, else near 0.
     """
     log_probs = character_model(docs, text_col)
     rows = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).dropDuplicates(["id"])
@@ -364,7 +518,7 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col: s
 
         def work(texts: list) -> dict:
             split = [t.split() for t in texts]
-            return {"found": pa.array([model.evidence(w, [], memory) for w in split], pa.list_(pa.string())), "n_words": pa.array([len(w) for w in split], pa.int64())}
+            return {"found": pa.array([model.evidence(w, memory) for w in split], pa.list_(pa.string())), "n_words": pa.array([len(w) for w in split], pa.int64())}
 
         return work
 
@@ -405,12 +559,18 @@ def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text", with_re
         def work(texts: list) -> dict:
             scores, found, whole = [], [], []
             for t in texts:
-                words, runs = read.words(t)
-                seen = model.evidence(words, runs, memory)
-                scores.append(model.score(seen, len(words)))
+                seen: list[str] = []
+                n_words, kept, before, spaced = 0, [], [], []
+                for words, runs in read.readings(t):
+                    seen += model.evidence(before + words, memory, len(before))
+                    n_words, before = n_words + len(words), words[-1:] or before
+                    spaced += runs
+                    if with_restored:
+                        kept.append(" ".join(words))
+                seen += model.inside(spaced, seen)
+                scores.append(model.score(seen, n_words))
                 found.append(sorted(set(seen)))
-                if with_restored:
-                    whole.append(" ".join(words))
+                whole.append(" ".join(filter(None, kept)))
             new = {score_col: pa.array(scores, pa.float64()), evidence: pa.array(found, pa.list_(pa.string()))}
             return new | ({restored: pa.array(whole, pa.string())} if with_restored else {})
 

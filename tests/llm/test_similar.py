@@ -2,42 +2,10 @@
 
 import random
 
-import corpus_pipeline
 import pytest
-from lectern.llm import similar
-from lectern.llm.common import durable
+from test_brute_force import one_of_each
 
-SF = "/root/testdata/sf0.01"
-
-
-def word_set(text):
-    words = (text or "").encode().lower().split()
-    return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))}
-
-
-def smallest(texts):
-    """The smallest id of each group that pairs of similarity 0.8 or more connect, and the number of such pairs."""
-    sets, group, n = {i: word_set(t) for i, t in texts.items()}, {i: i for i in texts}, 0
-    for a in sorted(sets):
-        for b in sets:
-            if a < b and min(len(sets[a]), len(sets[b])) * 5 >= max(len(sets[a]), len(sets[b])) * 4:
-                c = len(sets[a] & sets[b])
-                if c * 5 >= 4 * (len(sets[a]) + len(sets[b]) - c):
-                    n += 1
-                    x, y = sorted((group[a], group[b]))
-                    group = {i: x if g == y else g for i, g in group.items()}
-    return sorted(set(group.values())), n
-
-
-def test_pipeline_drops_every_pair_of_similar_word_sets(spark):
-    at = spark.read.parquet(f"{SF}/documents.parquet")
-    for name, stage in corpus_pipeline.STAGES:
-        if name == "mixing to target weights":
-            break
-        before, at = at, durable(stage(spark, at, SF), "test-stage")
-    want, found = smallest({r["doc_id"]: r["text"] for r in before.collect()})
-    assert found > 0 and sorted(r["doc_id"] for r in at.collect()) == want
-    assert smallest({r["doc_id"]: r["text"] for r in at.collect()})[1] == 0
+from lectern.llm import simhash
 
 
 @pytest.mark.parametrize("line", ["", "one common line that opens every single text of this table. "])
@@ -53,6 +21,6 @@ def test_crowds_chains_and_odd_texts(spark, line):
             texts[i] = line + " ".join(copy)
             if i % 3 == 0:
                 base = copy
-    got = similar.drop_similar(spark.createDataFrame([*texts.items(), (None, "two words")], "doc_id long, text string"))
-    assert sorted(r["doc_id"] for r in got.where("doc_id is not null").collect()) == smallest(texts)[0]
-    assert got.where("doc_id is null").count() == 1 and similar.drop_similar(got.limit(0)).count() == 0
+    got = simhash.drop_similar_copies(spark.createDataFrame([*texts.items(), (None, "two words")], "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in got.where("doc_id is not null").collect()) == one_of_each(texts)
+    assert got.where("doc_id is null").count() == 1 and simhash.drop_similar_copies(got.limit(0)).count() == 0
