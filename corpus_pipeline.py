@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import bpe, exact_dedup, language_id, mixing, simhash, similar
+from lectern.llm import bpe, exact_dedup, language_id, mixing, simhash
 from lectern.llm.common import configure, durable
 from lectern.llm.queries import domain_labels, tokenizer_path
 
@@ -28,15 +28,10 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents connected by fingerprints within two bits, the smallest doc_id stays."""
+    """Of documents connected by fingerprints within two bits, or by five-word shingle sets of similarity 0.8 or more,
+    the smallest doc_id stays."""
     configure(spark)
-    return simhash.drop_near_copies(docs)
-
-
-def drop_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents connected by five-word shingle sets of similarity 0.8 or more, the smallest doc_id stays."""
-    configure(spark)
-    return similar.drop_similar(docs)
+    return simhash.drop_similar_copies(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,7 +51,6 @@ STAGES = [
     ("language ID", identify_language),
     ("exact dedup", drop_copies),
     ("SimHash near-dedup", drop_near_copies),
-    ("near-dedup by word sets", drop_similar),
     ("mixing to target weights", mix_sources),
     ("BPE encoding and decoding", encode),
 ]
