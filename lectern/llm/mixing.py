@@ -114,10 +114,11 @@ def unit(id_col: Column) -> Column:
 
 
 def mix(docs: DataFrame, labelled: DataFrame, shares: dict[str, float] | None = None, factors: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, n_tokens, domain, posterior, rate, copies) of every row of ``docs``.
+    """(id_col, n_tokens, domain, posterior, rate, copies, targets_met) of every row of ``docs``.
 
-    ``shares`` are target shares of all tokens for each domain (rescaled to 1); or ``factors`` multiply the tokens a
-    domain has now, 1 where absent. ``domain`` is the likeliest and ``posterior`` its posterior. ``copies`` realises the
+    ``shares`` are target shares of all tokens for each domain; a domain without one keeps its tokens, and the shares are
+    rescaled to divide all others. Or ``factors`` multiply the tokens a domain has now, 1 where absent. ``targets_met`` tells
+    whether all expected tokens came within ``TOLERANCE`` of the targets, which is not so where no rates can do it. ``domain`` is the likeliest and ``posterior`` its posterior. ``copies`` realises the
     rate: its whole part, and one more with the chance of the rest, decided by the id. Null texts count as empty;
     they have no tokens, so their rate stays 1. Without labelled rows all is one domain.
     """
@@ -126,17 +127,18 @@ def mix(docs: DataFrame, labelled: DataFrame, shares: dict[str, float] | None =
     members = soft_members(rows, model)
     d = len(model.domains)
     have = [float(x or 0) for x in members.agg(*[F.sum(F.col("posterior")[i] * F.col("n_tokens")) for i in range(d)]).first()]
+    targets = dict(zip(model.domains, have))
     if shares:
-        known = {k: v for k, v in shares.items() if k in model.domains}
-        total, whole = sum(have), sum(known.values()) or 1.0
-        targets = {k: total * v / whole for k, v in known.items()} | {k: 0.0 for k in model.domains if k not in known}
-        targets = targets if known else {}
+        known = {k: v for k, v in shares.items() if k in targets}
+        divided, whole = sum(targets[k] for k in known), sum(known.values()) or 1.0
+        targets |= {k: divided * v / whole for k, v in known.items()}
     else:
-        targets = {k: h * (factors or {}).get(k, 1.0) for k, h in zip(model.domains, have)}
-    rated, _ = fit_rates(members, model.domains, targets)
+        targets = {k: h * (factors or {}).get(k, 1.0) for k, h in targets.items()}
+    rated, reached = fit_rates(members, model.domains, targets)
+    met = max(abs(reached[k] - t) for k, t in targets.items()) <= TOLERANCE * max(sum(targets.values()), 1.0)
     best = F.array_max("posterior")
     copies = F.floor(F.col("rate") + unit(F.col("id"))).cast("int")
-    return rated.select(F.col("id").alias(id_col), "n_tokens", F.element_at(F.array(*map(F.lit, model.domains)), F.array_position("posterior", best).cast("int")).alias("domain"), best.alias("posterior"), "rate", copies.alias("copies"))
+    return rated.select(F.col("id").alias(id_col), "n_tokens", F.element_at(F.array(*map(F.lit, model.domains)), F.array_position("posterior", best).cast("int")).alias("domain"), best.alias("posterior"), "rate", copies.alias("copies"), F.lit(met).alias("targets_met"))
 
 
 def apply_mix(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", full: float = 0.95) -> DataFrame:

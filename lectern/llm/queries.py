@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import bpe, exact_topk, language_id, mixing, quality, sharding, simhash, token_counts, toxicity
 from . import exact_dedup as dedup
-from .common import configure, crc_bucket, scratch_path
+from .common import configure, crc_bucket, durable, scratch_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -85,7 +85,8 @@ def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
-    counted = token_counts.token_counts(docs, tokenizer_path())
+    stored = durable(token_counts.prefix_steps(docs, tokenizer_path()), "prefix-steps")
+    counted = token_counts.within_budget(stored, token_counts.LIMIT)
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > token_counts.LIMIT).alias("over_limit"), "fit_chars")
 
 

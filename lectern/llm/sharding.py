@@ -1,21 +1,25 @@
 """Immutable shards with size-tiered compaction and a versioned manifest.
 
-An append writes small Parquet shards; compaction merges shards of about one size into files of the target size. A
-version is a manifest table (one row a shard) plus a small pointer file whose creation commits it: readers see the
-old or the new version whole. Shards are never changed; old ones go when no kept version names them.
+An append writes its shards as one *run*, a folder of Parquet files; compaction merges runs of about one size into a run of
+files of the target size. A version is a manifest table (one row a shard) plus a small pointer file, which names the
+runs; creating it commits the version: readers see the old or the new one whole. Runs are never changed; old ones go when no
+kept version names them. Tiers keep the runs below the target few (``fanout`` a tier), so the driver handles the names
+of runs, never those of shards.
 """
 
 from __future__ import annotations
 
 import json
+import math
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 TARGET_BYTES = 128 << 20
-#: So many shards of a tier are merged; a tier holds shards within this factor of size, from ``BASE_BYTES`` up.
+#: So many runs of a tier are merged; a tier holds runs within this factor of size, from ``BASE_BYTES`` up.
 FANOUT, BASE_BYTES = 4, 1 << 20
 
 
@@ -30,90 +34,118 @@ class ShardStore:
         return self.spark._jvm.org.apache.hadoop.fs.Path(p)
 
     def versions(self) -> list[int]:
+        """Committed versions; a pointer without content is one whose writer is at work or has died."""
+        return [v for v, size in self._pointers() if size]
+
+    def _pointers(self) -> list[tuple[int, int]]:
         folder = self._path(f"{self.root}/versions")
         if not self.fs.exists(folder):
             return []
-        names = [s.getPath().getName() for s in self.fs.listStatus(folder)]
-        return sorted(int(n) for n in names if n.isdigit())
+        found = [(s.getPath().getName(), s.getLen()) for s in self.fs.listStatus(folder)]
+        return sorted((int(n), size) for n, size in found if n.isdigit())
 
     def _pointer(self, version: int) -> dict:
         lines = self.spark.read.text(f"{self.root}/versions/{version:010d}").collect()
         return json.loads("".join(r[0] for r in lines))
 
     def manifest(self, version: int | None = None) -> DataFrame | None:
-        """(path, rows, bytes, min_id, max_id, tier) of a version, by default the last."""
+        """(path, rows, bytes, min_id, max_id, run) of the shards of a version, by default the last; None without any."""
         found = self.versions()
         if not found:
             return None
         return self.spark.read.parquet(self._pointer(found[-1] if version is None else version)["manifest"])
 
-    def _commit(self, entries: DataFrame, schema: StructType, base: int) -> int:
-        """Write the manifest, then publish it by renaming its pointer; fails if another writer was first."""
+    def _commit(self, entries: DataFrame, schema: StructType, base: int, runs: list[dict]) -> int:
+        """Write the manifest, then publish it by creating its pointer, which fails if another writer was first."""
         version = base + 1
         path = f"{self.root}/manifests/{version:010d}-{uuid.uuid4().hex}"
         entries.write.parquet(path)
-        pending, final = self._path(f"{self.root}/pending/{uuid.uuid4().hex}"), self._path(f"{self.root}/versions/{version:010d}")
-        out = self.fs.create(pending, False)
-        out.write(bytearray(json.dumps({"manifest": path, "schema": json.loads(schema.json())}).encode()))
+        try:
+            out = self.fs.create(self._path(f"{self.root}/versions/{version:010d}"), False)
+        except Py4JJavaError as e:
+            raise RuntimeError(f"version {version} was committed by another writer") from e
+        out.write(bytearray(json.dumps({"manifest": path, "runs": runs, "schema": json.loads(schema.json())}).encode()))
         out.close()
-        self.fs.mkdirs(final.getParent())
-        if self.fs.exists(final) or not self.fs.rename(pending, final):
-            raise RuntimeError(f"version {version} was committed by another writer")
         return version
 
     def _entries(self, folder: str, schema: StructType, id_col: str) -> DataFrame:
-        """One row for each shard file of ``folder`` that has rows; the tier follows from the size."""
+        """One row for each shard file of ``folder`` that has rows, with the run it is in."""
         meta = F.col("_metadata")
         rows = self.spark.read.schema(schema).parquet(folder).groupBy(meta.file_path.alias("path")).agg(
             F.count("*").alias("rows"), F.max(meta.file_size).alias("bytes"), F.min(id_col).cast("long").alias("min_id"), F.max(id_col).cast("long").alias("max_id"))
-        tier = F.greatest(F.lit(0), F.floor(F.log(F.col("bytes") / BASE_BYTES) / F.log(F.lit(float(self.fanout))))).cast("int")
-        return rows.withColumn("tier", tier)
+        return rows.withColumn("run", F.lit(folder))
+
+    def _run(self, folder: str, entries: DataFrame, least_tier: int = 0) -> list[dict]:
+        """What the pointer says of a run: its size and tier; nothing of a run without rows."""
+        size, shards = entries.agg(F.sum("bytes"), F.count("*")).first()
+        if not shards:
+            return []
+        tier = max(least_tier, int(math.log(max(size / BASE_BYTES, 1), self.fanout) + 1e-9))
+        return [{"path": folder, "bytes": size, "shards": shards, "tier": tier}]
 
     def append(self, docs: DataFrame, id_col: str = "doc_id") -> int:
-        """Write ``docs`` as new shards, one for each of its partitions, and commit; returns the version."""
+        """Write ``docs`` as the shards of a new run, one for each of its partitions, and commit; returns the version."""
         found = self.versions()
         folder = f"{self.root}/data/{uuid.uuid4().hex}"
         docs.write.parquet(folder)
         new, old = self._entries(folder, docs.schema, id_col), self.manifest()
-        return self._commit(new if old is None else old.unionByName(new), docs.schema, found[-1] if found else 0)
+        runs = self._pointer(found[-1])["runs"] if found else []
+        return self._commit(new if old is None else old.unionByName(new), docs.schema, found[-1] if found else 0, runs + self._run(folder, new))
 
     def compact(self, id_col: str = "doc_id") -> int:
-        """Merge tier by tier until none below the target has ``fanout`` shards; each round commits a version."""
+        """Merge tier by tier until none has ``fanout`` runs of shards below the target; each round commits a version.
+
+        Runs whose shards are of half the target or more on average are done. A store without a version stays so (0).
+        """
         while True:
-            version = self.versions()[-1]
-            entries, pointer = self.manifest(version), self._pointer(version)
+            found = self.versions()
+            if not found:
+                return 0
+            pointer = self._pointer(found[-1])
             schema = StructType.fromJson(pointer["schema"])
-            small = entries.where(F.col("bytes") < self.target // 2)
-            due = small.groupBy("tier").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")).where(F.col("n") >= self.fanout).orderBy("tier").first()
+            tiers: dict[int, list[dict]] = {}
+            for run in pointer["runs"]:
+                if run["bytes"] / run["shards"] < self.target / 2:
+                    tiers.setdefault(run["tier"], []).append(run)
+            due = min((t for t, runs in tiers.items() if len(runs) >= self.fanout or len(runs) > 1 and sum(r["bytes"] for r in runs) >= self.target), default=None)
             if due is None:
-                return version
-            paths = [r[0] for r in small.where(F.col("tier") == due["tier"]).orderBy("min_id", "path").select("path").collect()]
-            files = max(1, -(-due["bytes"] // self.target))
+                return found[-1]
+            merged = [r["path"] for r in tiers[due]]
+            files = max(1, -(-sum(r["bytes"] for r in tiers[due]) // self.target))
             folder = f"{self.root}/data/{uuid.uuid4().hex}"
-            self.spark.read.schema(schema).parquet(*paths).coalesce(files).write.parquet(folder)
-            kept = entries.join(small.where(F.col("tier") == due["tier"]).select("path"), "path", "left_anti").select(entries.columns)
-            merged = self._entries(folder, schema, id_col)
+            self.spark.read.schema(schema).parquet(*merged).coalesce(files).write.parquet(folder)
+            new = self._entries(folder, schema, id_col)
+            kept = self.manifest(found[-1]).where(~F.col("run").isin(merged))
             # a merged run counts as one tier up at least, so every round makes progress
-            merged = merged.withColumn("tier", F.greatest("tier", F.lit(due["tier"] + 1)))
-            self._commit(kept.unionByName(merged), schema, version)
+            runs = [r for r in pointer["runs"] if r["path"] not in merged] + self._run(folder, new, due + 1)
+            self._commit(kept.unionByName(new), schema, found[-1], runs)
 
-    def read(self, version: int | None = None) -> DataFrame:
-        """The documents of a version."""
+    def read(self, version: int | None = None) -> DataFrame | None:
+        """The documents of a version, by default the last; None without any."""
         found = self.versions()
+        if not found:
+            return None
         pointer = self._pointer(found[-1] if version is None else version)
         schema = StructType.fromJson(pointer["schema"])
-        paths = [r[0] for r in self.spark.read.parquet(pointer["manifest"]).select("path").collect()]
+        paths = [r["path"] for r in pointer["runs"]]
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
     def vacuum(self, keep: int = 1) -> int:
-        """Forget all but the last ``keep`` versions and delete the shards that no kept version names."""
+        """Forget all but the last ``keep`` versions and delete the runs that no kept version names; returns how many.
+
+        To be run while nobody commits: pointers that dead writers left empty go as well.
+        """
+        for v, size in self._pointers():
+            if not size:
+                self.fs.delete(self._path(f"{self.root}/versions/{v:010d}"), False)
         found = self.versions()
-        named = {r[0] for v in found[-keep:] for r in self.manifest(v).select("path").collect()}
-        gone = {r[0] for v in found[:-keep] for r in self.manifest(v).select("path").collect()} - named
-        for v in found[:-keep]:
+        kept, old = found[-keep:], found[:-keep]
+        runs = lambda versions: {r["path"] for v in versions for r in self._pointer(v)["runs"]}
+        gone = runs(old) - runs(kept)
+        for v in old:
             self.fs.delete(self._path(f"{self.root}/versions/{v:010d}"), False)
         for path in gone:
-            self.fs.delete(self._path(path), False)
+            self.fs.delete(self._path(path), True)
         return len(gone)
 
 
@@ -128,12 +160,15 @@ def shard_table(docs: DataFrame, root: str, arrivals: int = 3, target_bytes: int
     return store
 
 
-def placements(store: ShardStore, id_col: str = "doc_id") -> DataFrame:
-    """For each stored document its shard (named by its smallest id), the shard's rows, bytes and tier, and the version."""
-    version = store.versions()[-1]
-    docs = store.read(version)
-    info = store.manifest(version).select("path", F.col("min_id").alias("shard"), F.col("rows").alias("shard_rows"), F.col("bytes").alias("shard_bytes"), "tier")
-    if not docs.inputFiles():  # an empty table has no shards
+def placements(store: ShardStore, id_col: str = "doc_id") -> DataFrame | None:
+    """For each stored document its shard (named by its smallest id), the shard's rows, bytes and tier, and the version; None without one."""
+    found = store.versions()
+    if not found:
+        return None
+    docs, runs = store.read(found[-1]), store._pointer(found[-1])["runs"]
+    tiers = store.spark.createDataFrame([(r["path"], r["tier"]) for r in runs], "run string, tier int")
+    info = store.manifest(found[-1]).join(F.broadcast(tiers), "run").select("path", F.col("min_id").alias("shard"), F.col("rows").alias("shard_rows"), F.col("bytes").alias("shard_bytes"), "tier")
+    if not runs:  # an empty table has no shards
         none = [F.lit(None).cast(f.dataType).alias(f.name) for f in info.schema.fields if f.name != "path"]
-        return docs.select(id_col, *none, F.lit(version).alias("version"))
-    return docs.select(id_col, F.col("_metadata.file_path").alias("path")).join(info, "path").drop("path").withColumn("version", F.lit(version))
+        return docs.select(id_col, *none, F.lit(found[-1]).alias("version"))
+    return docs.select(id_col, F.col("_metadata.file_path").alias("path")).join(info, "path").drop("path").withColumn("version", F.lit(found[-1]))

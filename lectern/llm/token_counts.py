@@ -4,22 +4,36 @@ For a word of the pre-tokenizer, the encoding of a prefix ends in exactly one to
 (b) may follow the last token of the shorter prefix, which two tokens may if encoding their joined bytes gives these
 two again. So one pass over the word gives last token and count at every prefix, without encoding any prefix. Words
 are encoded apart, so counts of a text are running sums over its words plus the count inside the word a prefix cuts.
+
+What is stored of a text is the step from each count to the next, two bytes a character. Its running sum is the count at
+every prefix; the number of tokens, and where a budget ends, are read from it without looking at the text again.
 """
 
 from __future__ import annotations
 
+import re
+from array import array
+from collections.abc import Iterator
 from itertools import accumulate
+from operator import sub
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import ByteBpe, WordCache, build, chunk_cache, chunk_lookup, read_tokenizer
+from .bpe import ByteBpe, WordCache, build, read_tokenizer
 from .common import free_name, map_texts
 
 LIMIT = 512
+ONE = (1,)
 #: Pairs of tokens remembered per worker.
 CACHE_PAIRS = 1 << 20
+#: Characters of a text that are split at once; it changes no count.
+BLOCK_CHARS = 1 << 18
+#: A space before anything but white space begins a word of the pre-tokenizer, whatever stands before it.
+OPENING = re.compile(r" (?=\S)")
+SEGMENT = re.compile(r"(?= \S)")
 
 
 class PrefixCounter:
@@ -27,13 +41,16 @@ class PrefixCounter:
         self.bpe = bpe
         # tokens that encode to themselves; no other ends an encoding
         self.ids = {b: i for i, b in bpe.token_bytes.items() if i not in bpe.special.values() and bpe.merge(b) == [i]}
-        self.longest = max(map(len, self.ids))
+        # how long tokens are that end in two given bytes, or in one at the start of a word
+        lengths: dict[bytes, set[int]] = {}
+        for t in self.ids:
+            lengths.setdefault(t[-2:], set()).add(len(t))
+        single = {t for t in self.ids if len(t) == 1}
+        self.lengths = {e: sorted(found | ({1} if e[-1:] in single else set())) for e, found in lengths.items()}
         self.pairs: dict[int, bool] = {}
         self.counts = WordCache(lambda w: self.word(w.encode())[-1])
-        self.chunks = chunk_cache(self.total, bpe.words)
-
-    def total(self, words: list[str]) -> int:
-        return sum(map(self.counts.__getitem__, words))
+        self.word_steps = WordCache(self.steps_of_word)
+        self.segments = WordCache(self.segment)
 
     def follows(self, a: int, b: int) -> bool:
         if len(self.pairs) >= CACHE_PAIRS:
@@ -43,14 +60,19 @@ class PrefixCounter:
 
     def word(self, word: bytes) -> list[int]:
         """Counts at the prefixes of 0, 1, ... bytes of one word."""
-        get, known, last, count = self.ids.get, self.pairs.get, [-1], [0]
+        get, known, lengths = self.ids.get, self.pairs.get, self.lengths.get
+        last, count = [-1], [0]
         for k in range(1, len(word) + 1):
-            for start in range(k - self.longest if k > self.longest else 0, k):
+            for n in lengths(word[k - 2 if k > 1 else 0 : k], ONE):
+                start = k - n
+                if start < 0:
+                    continue
                 t = get(word[start:k])
                 if t is None:
                     continue
                 if start:
-                    fits = known(last[start] << 32 | t)
+                    pair = last[start] << 32 | t
+                    fits = known(pair)
                     if not (self.follows(last[start], t) if fits is None else fits):
                         continue
                 last.append(t)
@@ -82,17 +104,6 @@ class PrefixCounter:
             out += [(section, 1)] if special else [(w, self.counts[w]) for w in self.bpe.words(section)]
         return out
 
-    def count(self, text: str) -> int:
-        n = 0
-        for section, special in self.bpe.sections(text):
-            if special:
-                n += 1
-            elif (found := chunk_lookup(section, self.total, self.chunks, self.bpe.words)) is None:
-                n += self.total(self.bpe.words(section))
-            else:
-                n += sum(found)
-        return n
-
     def prefixes(self, text: str) -> list[int]:
         """Counts at the prefixes of 0, 1, ... characters of a text: what encoding just that prefix would give."""
         out, base, base_before, before = [0], 0, 0, ""
@@ -101,44 +112,113 @@ class PrefixCounter:
             base_before, base, before = base, base + n, w
         return out
 
-    def fits(self, text: str, budget: int) -> int:
-        """Characters of the longest prefix of at most ``budget`` tokens; reads no more of the text than it needs."""
-        chars = 4 * budget + 64
-        plain = not any(s in text for s in self.bpe.special)
-        while plain and chars < len(text):
-            cut = text.find(" ", chars)
-            while 0 <= cut < len(text) - 1 and text[cut + 1].isspace():
-                cut = text.find(" ", cut + 1)
-            if not 0 <= cut < len(text) - 1:
-                break
-            pieces = self.pieces(text[:cut])  # a word begins at this space, so the words in front stay as they are
-            if sum(n for _, n in pieces[:-1]) > budget:
-                return self._fits(pieces, budget)
-            chars = 2 * cut
-        return self._fits(self.pieces(text), budget)
-
-    def _fits(self, pieces: list[tuple[str, int]], budget: int) -> int:
-        total = base_before = chars = best = 0
-        before, over = "", False
-        for w, n in pieces:
-            if over or total + n > budget:
-                within = self.inside(before, w, total, base_before)
-                best = max(best, max((chars + j + 1 for j, c in enumerate(within) if c <= budget), default=0))
-                if over:  # a prefix that ends in the next word can still merge back into the one that crossed
-                    return best
-                over = True
-            base_before, total, before = total, total + n, w
-            chars += len(w)
-            best = best if over else chars
-        return best
+    def segment(self, text: str) -> tuple[bytes, int]:
+        """The steps of a stretch that begins a word, and by how much a space behind it counts other than as one token.
+
+        It does where the stretch ends in white space, as white space at the end of a text is one word.
+        """
+        words = self.bpe.words(text)
+        if len(words) == 1:
+            return self.word_steps[text], 0
+        if not any(w[0] == "'" or w[-1].isspace() for w in words):  # no end of a word depends on what follows it
+            return b"".join(map(self.word_steps.__getitem__, words)), 0
+        counts = self.prefixes(text)
+        off = self.prefixes(text + " ")[-1] - counts[-1] - 1 if text[-1:].isspace() else 0
+        return packed(np.diff(np.array(counts))), off
+
+    def steps_of_word(self, word: str) -> bytes:
+        """The steps at the characters of a word; those of a word of white space or an apostrophe hold for it alone."""
+        counts = self.word(word.encode())
+        if not word.isascii():
+            counts = [0, *(counts[e] for e in accumulate(len(c.encode()) for c in word))]
+        return array("h", map(sub, counts[1:], counts)).tobytes()
+
+    def steps(self, text: str) -> bytes:
+        """The step to the count at each character, as little-endian 16-bit integers."""
+        if any(s in text for s in self.bpe.special):
+            return packed(np.diff(np.array(self.prefixes(text))))
+        parts, bends, at = [], [], 0
+        for stretch in stretches(text):
+            steps, off = self.segments[stretch]
+            parts.append(steps)
+            at += len(stretch)
+            if off:
+                bends.append((at, off))
+        if not bends:
+            return b"".join(parts)
+        found = np.frombuffer(b"".join(parts), "<i2").astype(np.int64)
+        for place, off in bends:
+            if place < len(found):  # the next character is a space with a word behind it
+                found[place] += off
+                found[place + 1] -= off
+        return packed(found)
+
+
+def packed(steps: np.ndarray) -> bytes:
+    if len(steps) and np.abs(steps).max() >= 1 << 15:
+        raise OverflowError("a step between two prefixes is beyond 16 bits")
+    return steps.astype("<i2").tobytes()
+
+
+def stretches(text: str) -> Iterator[str]:
+    """A text cut in front of every space that begins a word."""
+    at = 0
+    while at < len(text):
+        space = OPENING.search(text, at + BLOCK_CHARS)
+        end = space.start() if space else len(text)
+        block = text[at:end]
+        pieces = (block[1:] if at else block).split(" ")
+        if any(not p or p[0].isspace() for p in pieces):
+            yield from filter(None, SEGMENT.split(block))
+        else:
+            yield " " + pieces[0] if at else pieces[0]
+            yield from [" " + p for p in pieces[1:]]
+        at = end
+
+
+def read_budget(steps: bytes, limit: int) -> tuple[int, int]:
+    """Tokens of a text, and characters of its longest prefix of at most ``limit`` tokens, from its steps."""
+    counts = np.cumsum(np.frombuffer(steps, "<i2"), dtype=np.int64)
+    within = np.flatnonzero(counts <= limit)
+    return int(counts[-1]) if len(counts) else 0, int(within[-1]) + 1 if len(within) else 0
+
+
+def prefix_steps(docs: DataFrame, tokenizer_path: str, text_col: str = "text") -> DataFrame:
+    """``docs`` with prefix_steps in the place of the text: what ``within_budget`` and ``prefix_counts`` answer from.
+
+    Null texts count as empty and have no steps. Added tokens in a text count one. A name that is taken gets a trailing
+    underscore. Rows are independent; nothing is shuffled.
+    """
+    shipped = docs.sparkSession.sparkContext.broadcast(read_tokenizer(tokenizer_path))
+    name = free_name([c for c in docs.columns if c != text_col], "prefix_steps")
+
+    def make():
+        counter = build(shipped.value, PrefixCounter)
+        return lambda texts: {name: pa.array([counter.steps(t or "") for t in texts], pa.binary())}
+
+    return map_texts(docs, text_col, make, f"`{name}` binary")
+
+
+def within_budget(counted: DataFrame, limit: int = LIMIT, steps_col: str = "prefix_steps") -> DataFrame:
+    """``counted`` without its steps, with n_tokens and fit_chars, the characters of the longest prefix of at most ``limit`` tokens."""
+    others = [c for c in counted.columns if c != steps_col]
+    n_col, fit_col = (free_name(others, c) for c in ("n_tokens", "fit_chars"))
+
+    def make():
+        def work(steps: list) -> dict:
+            n, fit = zip(*(read_budget(s or b"", limit) for s in steps)) if steps else ((), ())
+            return {n_col: pa.array(n, pa.int64()), fit_col: pa.array(fit, pa.int64())}
+
+        return work
+
+    return map_texts(counted, steps_col, make, f"`{n_col}` long, `{fit_col}` long")
 
 
 def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = LIMIT, with_prefixes: bool = False, text_col: str = "text") -> DataFrame:
     """``docs`` without the text, with n_tokens, fit_chars and, if asked for, the counts at every character prefix.
 
-    fit_chars is the length in characters of the longest prefix of at most ``limit`` tokens. Null texts count as
-    empty (0 tokens, 0 characters, prefix counts [0]). Added tokens in a text count one. Names that are taken get a
-    trailing underscore.
+    All come from the steps of ``prefix_steps``. Null texts count as empty (0 tokens, 0 characters, prefix counts [0]).
+    Names that are taken get a trailing underscore.
     """
     shipped = docs.sparkSession.sparkContext.broadcast(read_tokenizer(tokenizer_path))
     others = [c for c in docs.columns if c != text_col]
@@ -148,14 +228,12 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = LIMIT, with_
         counter = build(shipped.value, PrefixCounter)
 
         def work(texts: list) -> dict:
-            n, fit, every = [], [], []
-            for t in texts:
-                n.append(counter.count(t or ""))
-                fit.append(counter.fits(t, limit) if n[-1] > limit else len(t or ""))
-                if with_prefixes:
-                    every.append(counter.prefixes(t or ""))
+            steps = [counter.steps(t or "") for t in texts]
+            n, fit = zip(*(read_budget(s, limit) for s in steps)) if steps else ((), ())
             new = {n_col: pa.array(n, pa.int64()), fit_col: pa.array(fit, pa.int64())}
-            return new | ({all_col: pa.array(every, pa.list_(pa.int32()))} if with_prefixes else {})
+            if with_prefixes:
+                new[all_col] = pa.array([np.concatenate([[0], np.cumsum(np.frombuffer(s, "<i2"))]).astype(np.int32) for s in steps], pa.list_(pa.int32()))
+            return new
 
         return work
 

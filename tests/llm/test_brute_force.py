@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+from concurrent.futures import ThreadPoolExecutor
 
 import duckdb
 import numpy as np
@@ -140,11 +141,17 @@ def test_codec_and_counts_equal_the_library(codec, text):
     library, tables, encoder, counter = codec
     ids = library.encode(text, add_special_tokens=False).ids
     own = np.frombuffer(encoder.encode(text), "<u4").tolist()
-    assert own == ids and counter.count(text) == len(ids) and tables.decode(own) == library.decode(ids, skip_special_tokens=False)
+    steps = counter.steps(text)
+    assert own == ids and sum(n for _, n in counter.pieces(text)) == len(ids) and tables.decode(own) == library.decode(ids, skip_special_tokens=False)
     prefixes = [len(e.ids) for e in library.encode_batch([text[:k] for k in range(len(text) + 1)], add_special_tokens=False)]
-    assert counter.prefixes(text) == prefixes
+    assert counter.prefixes(text) == prefixes and np.cumsum(np.frombuffer(steps, "<i2")).tolist() == prefixes[1:]
+    whole, token_counts.BLOCK_CHARS = token_counts.BLOCK_CHARS, 3
+    try:
+        assert counter.steps(text) == steps
+    finally:
+        token_counts.BLOCK_CHARS = whole
     for budget in (0, 1, 5):
-        assert counter.fits(text, budget) == max(k for k, n in enumerate(prefixes) if n <= budget)
+        assert token_counts.read_budget(steps, budget) == (len(ids), max(k for k, n in enumerate(prefixes) if n <= budget))
 
 
 def test_long_words(codec):
@@ -152,7 +159,7 @@ def test_long_words(codec):
     rng = random.Random(1)
     for text in ("a" * 5000, "".join(rng.choice("abcéß") for _ in range(3000)), "!?" * 900):
         ids = library.encode(text, add_special_tokens=False).ids
-        assert np.frombuffer(encoder.encode(text), "<u4").tolist() == ids and counter.count(text) == len(ids)
+        assert np.frombuffer(encoder.encode(text), "<u4").tolist() == ids and token_counts.read_budget(counter.steps(text), 9)[0] == len(ids)
 
 
 def test_topk_against_numpy(spark):
@@ -238,8 +245,20 @@ def test_shards_keep_every_row_through_versions(spark, tmp_path):
     assert store.manifest().count() < store.manifest(before[-1]).count()
     assert sorted((r["doc_id"], r["text"]) for r in store.read(before[2]).collect()) == [w for w in want if w[0] % 6 < 3]
     assert store.vacuum() > 0 and sorted(r["doc_id"] for r in store.read().collect()) == [i for i, _ in want]
-    with pytest.raises(RuntimeError):
-        store._commit(store.manifest(), docs.schema, store.versions()[-1] - 1)
+    last, runs = store.versions()[-1], store._pointer(store.versions()[-1])["runs"]
+    assert len(runs) < 4 and sum(r["shards"] for r in runs) == store.manifest().count()
+    with pytest.raises(RuntimeError):  # a second writer that began from the version before
+        store._commit(store.manifest(), docs.schema, last - 1, runs)
+    assert store.versions()[-1] == last
+    rival = sharding.ShardStore(spark, f"file://{tmp_path}/s", target_bytes=400_000)
+    with ThreadPoolExecutor(2) as both:
+        tries = [both.submit(s._commit, s.manifest(), docs.schema, last, runs) for s in (store, rival)]
+    assert sorted(t.exception() is None for t in tries) == [False, True] and store.versions()[-1] == last + 1
+
+
+def test_store_without_a_version(spark, tmp_path):
+    store = sharding.ShardStore(spark, f"file://{tmp_path}/none")
+    assert store.compact() == 0 and store.read() is None and store.manifest() is None and store.vacuum() == 0 and sharding.placements(store) is None
 
 
 def test_pipeline_stages(spark):
