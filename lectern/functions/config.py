@@ -25,6 +25,12 @@ def models(spark: SparkSession) -> DataFrame:
     return presets(spark).where("model_id <> '__auto__'").select("model_id", F.lit(True).alias("ready"))
 
 
+def with_availability(requests: DataFrame, status: DataFrame) -> DataFrame:
+    """``requests`` (model_id) with available: whether ``status`` (model_id, ready) has the model ready; no model needs none."""
+    ready = status.where("ready").select("model_id").distinct().withColumn("_ready", F.lit(True))
+    return requests.join(ready, "model_id", "left").withColumn("available", F.col("model_id").isNull() | F.coalesce("_ready", F.lit(False))).drop("_ready")
+
+
 def is_english(language) -> Column:
     return F.lower(F.col(language) if isinstance(language, str) else language).isin("english", "en")
 
@@ -38,13 +44,17 @@ def auto_preset(gpu, memory_gib, cores, task, language) -> Column:
 
 
 def resolve_models(requests: DataFrame) -> DataFrame:
-    """``requests`` (preset_id, gpu, memory_gib, cores, task, language) with resolved_preset, model_id, device and language."""
+    """``requests`` (preset_id, gpu, memory_gib, cores, task, language) with resolved_preset, model_id, device and language.
+
+    A preset that does not exist is an error.
+    """
     language = F.coalesce(F.nullif(F.col("language"), F.lit("")), F.lit("auto"))
     wanted = F.when(F.col("preset_id") == "auto", auto_preset("gpu", "memory_gib", "cores", "task", language)).otherwise(F.col("preset_id"))
     wanted = F.when((wanted == "quality") & ~F.col("gpu"), "balanced").otherwise(wanted)
     wanted = F.when((wanted == "fast_en") & ((F.col("task") == "translate") | ~is_english(language)), "balanced").otherwise(wanted)
     ids = {p: m for p, m, _, _ in PRESETS if p != "auto"}
-    model = F.element_at(F.create_map(*[F.lit(x) for pair in ids.items() for x in pair]), F.col("resolved_preset"))
+    known = F.try_element_at(F.create_map(*[F.lit(x) for pair in ids.items() for x in pair]), F.col("resolved_preset"))
+    model = F.when(known.isNotNull(), known).otherwise(F.raise_error(F.concat(F.lit("no such preset: "), F.coalesce("resolved_preset", F.lit("null")))))
     device = F.when(F.col("gpu"), "webgpu").otherwise("wasm")
     return requests.withColumn("resolved_preset", wanted).withColumns({"model_id": model, "device": device, "language": language})
 

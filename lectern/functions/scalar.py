@@ -21,10 +21,6 @@ def clean(text: str) -> str:
     return _LONE_I.sub("I", _AFTER_MARK.sub(r"\1 ", text)).strip(" ")
 
 
-def words(text: str) -> list[str]:
-    return [w for w in clean(text).split(" ") if w]
-
-
 def is_script(char: str) -> bool:
     return bool(char) and _SCRIPT.match(char) is not None
 

@@ -70,8 +70,13 @@ def split_words(c) -> Column:
     return F.filter(F.split(clean(c), " "), lambda w: w != "")
 
 
+def utf16_length(c) -> Column:
+    """Characters, where those beyond the basic plane count two."""
+    return F.char_length(_text(c)) + F.regexp_count(_text(c), F.lit(r"[\x{10000}-\x{10ffff}]"))
+
+
 def char_weight(c) -> Column:
-    return F.greatest(F.char_length(_text(c)), F.lit(1))
+    return F.greatest(utf16_length(c), F.lit(1))
 
 
 def ends_sentence(c) -> Column:
@@ -182,11 +187,10 @@ def requested_language(c) -> Column:
 def video_id(url) -> Column:
     """The 11-character id of a video address, or null."""
     u = _text(url)
-    host, path = F.try_parse_url(u, F.lit("HOST")), F.try_parse_url(u, F.lit("PATH"))
-    piece = lambda pattern: F.regexp_extract(path, pattern, 1)
-    raw = F.when(host.contains("youtu.be"), piece("^/([^/]*)")).when(
-        host.contains("youtube.com"),
-        F.when(path == "/watch", F.try_parse_url(u, F.lit("QUERY"), F.lit("v"))).when(path.startswith("/shorts/"), piece("^/shorts/([^/]*)")).when(path.startswith("/embed/"), piece("^/embed/([^/]*)")))
+    host, path = F.lower(F.try_parse_url(u, F.lit("HOST"))), F.try_parse_url(u, F.lit("PATH"))
+    named = F.try_url_decode(F.try_parse_url(u, F.lit("QUERY"), F.lit("v")))
+    raw = F.when(host.isin("youtu.be", "www.youtu.be"), F.regexp_extract(path, "^/*([^/]*)", 1)).when(
+        host.contains("youtube.com"), F.when(path == "/watch", named).otherwise(F.regexp_extract(path, "^/(shorts|embed)/([^/]*)", 2)))
     return F.when(raw.rlike(r"^[A-Za-z0-9_-]{11}\z"), raw)
 
 
@@ -222,9 +226,12 @@ def export_base_name(c) -> Column:
 
 
 def exit_message(signal, code, panicked) -> Column:
-    """What the end of a helper process means."""
-    signal, code = _text(signal), _text(code)
+    """What the end of a helper process means. A panic is the engine's own fault, with a signal or, in debug builds, a status."""
+    signal, code, panicked = _text(signal), _text(code), F.coalesce(_text(panicked), F.lit(False))
+    status = F.format_string(" with status %d", code.cast("int"))
     return (
-        F.when((signal == 6) & _text(panicked), "the engine panicked").when(signal == 6, "the engine aborted")
-        .when(signal == 9, "the engine was killed").when(signal.isNotNull(), F.format_string("the engine ended with signal %d", signal.cast("int")))
-        .when(code == 0, F.lit(None)).otherwise(F.format_string("the engine ended with status %d", F.coalesce(code, F.lit(-1)).cast("int"))))
+        F.when((signal == 6) & panicked, "the engine panicked (signal 6)").when(signal == 6, "the engine aborted, perhaps over a damaged model (signal 6)")
+        .when(signal == 9, "the engine was killed (signal 9)").when(signal == 11, "the engine made an invalid access (signal 11)")
+        .when(signal.isNotNull(), F.format_string("the engine ended by signal %d", signal.cast("int")))
+        .when(code.isNotNull() & panicked, F.concat(F.lit("the engine panicked"), status)).when(code.isNotNull(), F.concat(F.lit("the engine ended"), status))
+        .otherwise("the engine ended abnormally"))

@@ -13,21 +13,10 @@ from .tokens import real_word_timings
 BUCKET = 30.0
 
 
-def assign_speakers(items: DataFrame, turns: DataFrame, key: str = "transcript_id", pos: str = "pos") -> DataFrame:
+def assign_speakers(items: DataFrame, turns: DataFrame, bucket: float = BUCKET, key: str = "transcript_id", pos: str = "pos") -> DataFrame:
     """``items`` (key, pos, start, end, ...) with ``speaker_id`` of ``turns`` (key, idx, start, end, speaker); null without turns.
 
-    One equi-join on the transcript and one aggregate: overlap first, then the smaller gap, then the smaller ``idx``.
-    """
-    t = turns.select(F.col(key), F.col("idx").alias("_idx"), F.col("start").alias("_s"), F.col("end").alias("_e"), F.col("speaker").alias("_sp"))
-    rank = F.struct(C.overlap("start", "end", "_s", "_e").alias("o"), (-C.gap("start", "end", "_s", "_e")).alias("g"), (-F.col("_idx")).alias("i"))
-    best = items.select(key, pos, "start", "end").join(t, key).groupBy(key, pos).agg(F.max_by("_sp", rank).alias("speaker_id"))
-    return items.join(best, [key, pos], "left")
-
-
-def assign_speakers_bucketed(items: DataFrame, turns: DataFrame, bucket: float = BUCKET, key: str = "transcript_id", pos: str = "pos") -> DataFrame:
-    """The same result for transcripts of very many turns, without all pairs of a transcript.
-
-    Items and turns register in each time bucket they touch, so overlapping pairs meet there. An item that overlaps
+    The turn of largest overlap counts, else the one of the smaller gap, and the smaller ``idx`` where these are equal. Items and turns register in each time bucket they touch, so overlapping pairs meet there. An item that overlaps
     nothing takes the nearer of the latest end before it and the earliest start after it, which one running window
     over the transcript's times finds: ends and starts of turns and the items sorted together.
     """
@@ -63,7 +52,7 @@ def by_granularity(segments: DataFrame, turns: DataFrame, key: str = "transcript
     """Segments that are labelled whole (sentence times) and those whose words are labelled one by one (word times)."""
     flagged = segments.join(real_word_timings(segments, key), key)
     whole = flagged.where(~F.col("real_timings")).drop("real_timings")
-    return label(assign_speakers(whole.drop("speaker"), turns, key)), flagged.where("real_timings").drop("real_timings")
+    return label(assign_speakers(whole.drop("speaker"), turns, key=key)), flagged.where("real_timings").drop("real_timings")
 
 
 def with_names(items: DataFrame, names: DataFrame, key: str = "source_id") -> DataFrame:

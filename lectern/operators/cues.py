@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..functions import text as T
-from ..functions.timing import LEAST_WORD, NOMINAL_WORD, EPSILON, LEAST_CUE
+from ..functions.timing import EPSILON, LEAST_CUE, LEAST_WORD, NOMINAL_WORD
 from . import align, tokens
 from .fold import fold_rows
 
@@ -36,32 +36,13 @@ def repeated_head(memory: list[str], words: list[str], least: int) -> int:
     return 0
 
 
-def with_next(rows: Iterator[dict]) -> Iterator[tuple[dict, dict | None]]:
-    """Each row and the one after it."""
-    before = None
-    for row in rows:
-        if before is not None:
-            yield before, row
-        before = row
-    if before is not None:
-        yield before, None
-
-
 def segment_tokens(rows: Iterator[dict]) -> Iterator[tuple]:
-    """Words of raw segments, without what overlapping segments repeat, with times shared out by characters."""
+    """Words of segments (words, weights, start, end, overlaps), without what the one in front has said, with times shared out by characters."""
     memory: list[str] = []
-    before_end = said_until = None
-    for seg, following in with_next(rows):
-        words = S.words(seg["text"])
-        if not words:
-            continue
-        start, end = seg["start"], seg["end"]
-        if end <= start:
-            after = following["start"] if following else start
-            end = after if after > start else start + max(len(words) * NOMINAL_WORD, LEAST_CUE)
-        cut = repeated_head(memory, words, 1 if before_end is not None and start < before_end else LEAST_WORDS)
-        before_end = end
-        weights = [max(S.length(w), 1) for w in words]
+    said_until = None
+    for seg in rows:
+        start, end, words, weights = seg["start"], seg["end"], seg["words"], seg["weights"]
+        cut = repeated_head(memory, words, 1 if seg["overlaps"] else LEAST_WORDS)
         left = start + max(end - start, LEAST_WORD) * sum(weights[:cut]) / sum(weights)
         words, weights = words[cut:], weights[cut:]
         if not words:
@@ -78,8 +59,11 @@ def segment_tokens(rows: Iterator[dict]) -> Iterator[tuple]:
 
 
 def tokens_from_segments(segments: DataFrame) -> DataFrame:
-    """Tokens of segments (transcript_id, pos, text, start, end, speaker)."""
-    return fold_rows(segments, segment_tokens, TOKEN)
+    """Tokens of segments (transcript_id, pos, text, start, end, speaker); what a column can say of a segment, columns say."""
+    rows = segments.withColumns({"words": T.split_words("text"), "next": F.lead("start").over(tokens.win())}).where(F.size("words") > 0)
+    rows = rows.withColumn("end", tokens.effective_end(F.col("start"), F.col("end"), F.col("next"), F.size("words")))
+    rows = rows.withColumns({"weights": F.transform("words", T.char_weight), "overlaps": tokens.overlaps_before()})
+    return fold_rows(rows.select("transcript_id", "pos", "words", "weights", "start", "end", "overlaps", "speaker"), segment_tokens, TOKEN)
 
 
 def cut_cues(rows: Iterator[dict]) -> Iterator[list]:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import json
+import os
+import uuid
+from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
 from ..functions import text as T
 from ..functions import timing as C
@@ -61,33 +62,79 @@ def txt(cues: DataFrame) -> DataFrame:
     return _document(turns, F.concat(T.speaker_prefix("display"), F.col("prose")), "\n\n")
 
 
-def _number(x: float) -> float | int:
-    return int(x) if float(x).is_integer() else x
+def _number(x: Column) -> Column:
+    """A number as JavaScript writes it: whole ones without a point, none with an exponent in the range of times."""
+    plain = F.regexp_replace(x.cast("decimal(38,18)").cast("string"), r"\.?0+\z", "")
+    text = x.cast("string")
+    return F.when(x == F.floor(x), x.cast("long").cast("string")).when(text.contains("E"), plain).otherwise(text)
 
 
-@F.pandas_udf(StringType())
-def _to_json(cues: pd.Series, names: pd.Series) -> pd.Series:
-    out = []
-    for rows, named in zip(cues, names):
-        segments = [{k: _number(r[k]) if k in ("start", "end") else r[k] for k in ("start", "end", "text", "speaker") if r[k] is not None} for r in rows]
-        whole = {"segments": segments, "speakerNames": json.loads(named or "{}")} if any("speaker" in s for s in segments) else segments
-        out.append(json.dumps(whole, indent=2, ensure_ascii=False))
-    return pd.Series(out)
+def _string(x: Column) -> Column:
+    """A JSON string."""
+    return F.regexp_replace(F.to_json(F.array(x)), r"\A\[|\]\z", "")
 
 
 def as_json(cues: DataFrame, names: DataFrame | None = None) -> DataFrame:
     """(transcript_id, document): a bare list without speakers, else an object with ``names`` (transcript_id, names map)."""
-    rows = cues.groupBy("transcript_id").agg(F.sort_array(F.collect_list(F.struct("pos", "start", "end", "text", "speaker"))).alias("cues"))
+    depth = lambda n: F.concat(F.lit("\n"), F.when(F.col("spoken"), "  " * (n + 1)).otherwise("  " * n))
+
+    def item(r: Column) -> Column:
+        fields = F.array_compact(F.array(
+            F.concat(F.lit('"start": '), _number(r["start"])), F.concat(F.lit('"end": '), _number(r["end"])), F.concat(F.lit('"text": '), _string(r["text"])),
+            F.concat(F.lit('"speaker": '), _string(r["speaker"]))))
+        return F.concat(depth(1), F.lit("{"), F.array_join(F.transform(fields, lambda f: F.concat(depth(2), f)), ","), depth(1), F.lit("}"))
+
+    rows = cues.groupBy("transcript_id").agg(F.sort_array(F.collect_list(F.struct("pos", "start", "end", "text", "speaker"))).alias("cues"), F.bool_or(F.col("speaker").isNotNull()).alias("spoken"))
     rows = rows.withColumn("names", F.lit(None).cast("map<string,string>")) if names is None else rows.join(names.select("transcript_id", "names"), "transcript_id", "left")
-    return rows.select("transcript_id", _to_json("cues", F.to_json("names")).alias("document"))
+    listed = F.concat(F.lit("["), F.array_join(F.transform("cues", item), ","), depth(0), F.lit("]"))
+    pairs = F.transform(F.array_sort(F.map_entries("names")), lambda e: F.concat(F.lit("\n    "), _string(e["key"]), F.lit(": "), _string(e["value"])))
+    named = F.when(F.size("names") > 0, F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("\n  }"))).otherwise("{}")
+    whole = F.concat(F.lit('{\n  "segments": '), listed, F.lit(',\n  "speakerNames": '), named, F.lit("\n}"))
+    return rows.select("transcript_id", F.when(F.col("spoken"), whole).otherwise(listed).alias("document"))
 
 
 FORMATS = {"srt": srt, "vtt": vtt, "txt": txt, "json": as_json}
 
 
-def export(cues: DataFrame, fmt: str, path: str | None = None) -> DataFrame:
-    """Documents of one format; with ``path`` they are also written there, a row a transcript."""
-    documents = FORMATS[fmt](printable(cues))
+class CaptionFiles(DataSource):
+    """``format("caption_files")``: rows (transcript_id, document) become one file each below ``path``, a folder that all executors share."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "caption_files"
+
+    def writer(self, schema, overwrite: bool) -> DataSourceWriter:
+        return CaptionWriter(self.options["path"], self.options["extension"])
+
+
+class CaptionWriter(DataSourceWriter):
+    def __init__(self, path: str, extension: str):
+        self.path, self.extension = path.removeprefix("file:"), extension
+
+    def write(self, rows: Iterator) -> WriterCommitMessage:
+        os.makedirs(self.path, exist_ok=True)
+        for row in rows:
+            scratch = os.path.join(self.path, f".{uuid.uuid4().hex}")
+            with open(scratch, "w", encoding="utf-8", newline="") as f:
+                f.write(row["document"])
+            os.replace(scratch, os.path.join(self.path, f"{row['transcript_id']}.{self.extension}"))  # a reader sees all or nothing, a retry the same
+        return WriterCommitMessage()
+
+
+def export(cues: DataFrame, fmt: str, path: str | None = None, names: DataFrame | None = None) -> DataFrame:
+    """Documents of one format; with ``path`` each is also written there, as ``<transcript_id>.<fmt>``.
+
+    ``names`` (transcript_id, names map from label to name) are shown in place of labels; JSON keeps the labels and lists the names.
+    """
+    rows = printable(cues)
+    if names is None:
+        documents = FORMATS[fmt](rows)
+    elif fmt == "json":
+        documents = as_json(rows, names)
+    else:
+        named = rows.join(names.select("transcript_id", "names"), "transcript_id", "left")
+        documents = FORMATS[fmt](named.withColumn("display", F.coalesce(F.try_element_at("names", F.col("speaker")), "speaker")).drop("names"))
     if path:
-        documents.write.mode("overwrite").parquet(path)
+        documents.sparkSession.dataSource.register(CaptionFiles)
+        documents.write.format("caption_files").option("extension", fmt).mode("append").save(path)
     return documents

@@ -54,16 +54,15 @@ def fold_continuations(words: DataFrame) -> DataFrame:
 
 def split_glued(words: DataFrame) -> DataFrame:
     """One row a word of the cleaned text, with its share of the time by characters; ``part`` orders them."""
-    parts = words.withColumn("w", T.split_words("text")).withColumn("weights", F.transform("w", T.char_weight))
-    total = F.aggregate("weights", F.lit(0), lambda a, x: a + x)
-    span = F.greatest(F.col("end") - F.col("start"), F.lit(0.0))
-    rows = parts.withColumns({"total": total, "span": span}).select("*", F.posexplode("w").alias("part", "word"))
-    before = lambda n: F.aggregate(F.slice("weights", F.lit(1), n), F.lit(0), lambda a, x: a + x)
-    at = lambda n: F.col("start") + before(n) / F.col("total") * F.col("span")
+    rows = words.withColumn("w", T.split_words("text")).select("*", F.posexplode("w").alias("part", "word")).withColumn("weight", T.char_weight("word"))
+    token = Window.partitionBy("transcript_id", "pos")
+    through = F.sum("weight").over(token.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = rows.withColumns({"total": F.sum("weight").over(token), "through": through, "span": F.greatest(F.col("end") - F.col("start"), F.lit(0.0))})
+    at = lambda weight: F.col("start") + weight / F.col("total") * F.col("span")
     single = F.size("w") == 1
     return rows.select(
-        "transcript_id", "pos", "part", F.col("word").alias("text"), F.when(single, F.col("start")).otherwise(at(F.col("part"))).alias("start"),
-        F.when(single, F.col("end")).otherwise(at(F.col("part") + 1)).alias("end"), "speaker")
+        "transcript_id", "pos", "part", F.col("word").alias("text"), F.when(single, F.col("start")).otherwise(at(F.col("through") - F.col("weight"))).alias("start"),
+        F.when(single, F.col("end")).otherwise(at(F.col("through"))).alias("end"), "speaker")
 
 
 def monotone_end(start: Column, end: Column, order: str = "pos", key: str = "transcript_id", least: float = C.LEAST_WORD) -> Column:
@@ -85,6 +84,11 @@ def normalise_words(words: DataFrame) -> DataFrame:
     return clamp(split_glued(fold_continuations(words)))
 
 
+def overlaps_before(start="start", end="end", w=None) -> Column:
+    """Whether a row starts before the end of the one in front."""
+    return F.coalesce(F.col(start) < F.lag(end).over(w if w is not None else win()), F.lit(False))
+
+
 def densify(turns: DataFrame, key: str = "transcript_id", speaker: str = "speaker") -> DataFrame:
     """Sparse speaker numbers as 0, 1, ... in ascending order, and the number of speakers."""
     dense = F.dense_rank().over(Window.partitionBy(key).orderBy(speaker)) - 1

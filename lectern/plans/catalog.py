@@ -9,6 +9,7 @@ from ..functions import config, text as T, timing as C
 from ..operators import align, cues, export, store, tokens
 from ..sources import readers
 from ..streaming import jobs
+from . import cue_sql as Q
 from . import derived as D
 
 QUERIES: dict = {}
@@ -91,12 +92,9 @@ tok as (select tw.transcript_id, tw.pos, i as part, w[i] as word, start_ms + (en
 
 @query(f"with {TOK} select transcript_id, pos, cast(part as integer) part, word, cast(start_ms as bigint) start_ms from tok")
 def word_timing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = D.segments_ms(spark, sf_dir).withColumn("w", T.split_words("text")).select("*", F.posexplode("w").alias("i", "word"))
-    w = Window.partitionBy("transcript_id", "pos")
-    before = F.coalesce(F.sum(T.char_weight("word")).over(w.orderBy("i").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    total = F.sum(T.char_weight("word")).over(w)
-    span = (F.col("end_ms") - F.col("start_ms")) * before
-    return rows.select("transcript_id", "pos", (F.col("i") + 1).alias("part"), "word", (F.col("start_ms") + F.floor((span - F.pmod(span, total)) / total)).cast("long").alias("start_ms"))
+    rows = D.segments_ms(spark, sf_dir).select("transcript_id", "pos", "text", F.col("start_ms").alias("start"), F.col("end_ms").alias("end"), F.lit(None).cast("string").alias("speaker"))
+    words = tokens.split_glued(rows)  # whole milliseconds, from quotients of small numbers
+    return words.select("transcript_id", "pos", (F.col("part") + 1).alias("part"), F.col("text").alias("word"), F.floor(F.col("start") + 1e-6).alias("start_ms"))
 
 
 @query(f"""with {D.EVENTS}, s as (select job_id, seq, (seq % 500) * 20 s, (seq % 500) * 20 + cast(floor(progress * 100) as bigint) % 40 e from ev),
@@ -126,17 +124,17 @@ def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with {ASSIGN} select transcript_id, pos, speaker from labelled")
 def assign_speakers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return align.label(align.assign_speakers(_items(spark, sf_dir), D.turns_ms(spark, sf_dir))).select("transcript_id", "pos", "speaker")
+    return align.label(align.assign_speakers(_items(spark, sf_dir), D.turns_ms(spark, sf_dir), 30_000.0)).select("transcript_id", "pos", "speaker")
 
 
 @query(f"with {ASSIGN} select transcript_id, pos, speaker from labelled")
 def assign_speakers_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return align.label(align.assign_speakers_bucketed(_items(spark, sf_dir), D.turns_ms(spark, sf_dir), 30_000.0)).select("transcript_id", "pos", "speaker")
+    return align.label(align.assign_speakers(_items(spark, sf_dir), D.turns_ms(spark, sf_dir), 7_000.0)).select("transcript_id", "pos", "speaker")
 
 
 @query(f"with {ASSIGN} select transcript_id, speaker, cast(sum(e0 - s0) as bigint) talk, count(*) items from labelled group by 1, 2")
 def speaker_talk_time(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return align.talk_time(align.label(align.assign_speakers(_items(spark, sf_dir), D.turns_ms(spark, sf_dir))))
+    return align.talk_time(align.label(align.assign_speakers(_items(spark, sf_dir), D.turns_ms(spark, sf_dir), 30_000.0)))
 
 
 RUNS = f"""{D.SEG}, ch as (select *, case when pos = min(pos) over (partition by transcript_id) or speaker_id is distinct from lag(speaker_id) over (partition by transcript_id order by pos) then 1 else 0 end f from seg),
@@ -206,13 +204,30 @@ def real_word_timings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.real_word_timings(D.segments_ms(spark, sf_dir))
 
 
-@query()
+TURNS_S = f"""{D.SEG}, turn_s as (select transcript_id, pos idx, (start_ms + 250) / 1000.0::double s, (end_ms + 250) / 1000.0::double e, speaker_id speaker from seg where pos % 4 <> 3)"""
+
+
+def labels_sql(items: str, name: str) -> str:
+    """``name``: ``items`` (transcript_id, pos, text, s, e) with the label of the turn of largest overlap, else of least gap, else the first."""
+    return f"""{name} as (select * exclude (k) from (select i.*, 'SPEAKER_' || lpad(cast(speaker as varchar), 2, '0') speaker,
+  row_number() over (partition by i.transcript_id, i.pos order by greatest(0, least(i.e, t.e) - greatest(i.s, t.s)) desc, case when i.s >= t.e then i.s - t.e when t.s >= i.e then t.s - i.e else 0 end, idx) k
+  from {items} i join turn_s t on t.transcript_id = i.transcript_id) where k = 1)"""
+
+
+CUES = f"with recursive {TURNS_S}, item as (select transcript_id, pos, text, start_ms / 1000.0::double s, end_ms / 1000.0::double e from seg), {labels_sql('item', 'base')}, {Q.token_ctes('base')}, {Q.cue_ctes()}"
+
+
+@query(f'{CUES} select transcript_id, pos, text, s as start, e as "end", speaker from cue')
 def consolidate_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = D.turns_ms(spark, sf_dir).withColumns({"start": F.col("start") / 1000, "end": F.col("end") / 1000})
     return cues.consolidate(D.seconds(D.segments_ms(spark, sf_dir)).drop("speaker"), turns=turns)
 
 
-@query()
+OWN_CUES = f"with recursive {D.SEG}, base as (select transcript_id, pos, text, start_ms / 1000.0::double s, end_ms / 1000.0::double e, 'SPEAKER_0' || speaker_id speaker from seg), {Q.token_ctes('base')}, {Q.cue_ctes()}"
+
+
+@query(f"""{OWN_CUES}, flat as (select *, replace(text, chr(10), ' ') t, lead(pos) over (partition by transcript_id order by pos) is null final from cue)
+select transcript_id, trim(string_agg(t, ' ' order by pos)) full_text from flat where not final or {Q.words_in('t')} >= 3 group by 1""")
 def cue_full_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cues.full_text(cues.hide_short_tail(cues.consolidate(D.seconds(D.segments_ms(spark, sf_dir)))))
 
@@ -223,12 +238,27 @@ def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("transcript_id", n.cast("long").alias("pos"), F.when(F.col("i") == 0, F.concat(F.lit(" "), "w")).otherwise(F.col("w")).alias("text"), (F.col("start") + F.col("i") * 0.2).alias("start"), (F.col("start") + F.col("i") * 0.2 + 0.3).alias("end"), "speaker")
 
 
-@query()
+WORDS = f"""{D.SEG}, {clean_sql('seg', 'transcript_id, pos')}, pieces as (select transcript_id, pos, list_filter(string_split(regexp_replace(c, '([ -])', chr(1) || '\\1', 'g'), chr(1)), lambda x: x <> '') p from cleaned),
+piece as (select transcript_id, pos, unnest(p) w, generate_subscripts(p, 1) - 1 i from pieces),
+word as (select transcript_id, row_number() over (partition by transcript_id order by pos, i) n, trim(w) w, start_ms / 1000.0::double + i * 0.2::double s, start_ms / 1000.0::double + i * 0.2::double + 0.3::double e, 'SPEAKER_0' || speaker_id speaker, i = 0 or w like ' %' opens from piece join seg using (transcript_id, pos)),
+glued as (select *, sum((opens or n = first)::int) over (partition by transcript_id order by n rows unbounded preceding) island from (select *, min(n) over (partition by transcript_id) first from word where w <> '')),
+whole as (select transcript_id, min(n) n, string_agg(w, '' order by n) as text, arg_min(s, n) s, max(e) e, arg_min(speaker, n) speaker from glued group by transcript_id, island),
+placed as (select *, row_number() over (partition by transcript_id order by n) i from whole),
+ended as (select *, 0.01::double * i + max(greatest(e, s + 0.01::double) - 0.01::double * i) over (partition by transcript_id order by i rows unbounded preceding) last_e from placed),
+normal as (select transcript_id, i - 1 pos, text, greatest(s, coalesce(lag(last_e) over (partition by transcript_id order by i), s)) s, last_e e, speaker from ended)"""
+
+
+@query(f'with {WORDS} select transcript_id, cast(pos as integer) pos, text, s as start, e as "end", speaker from normal')
 def normalised_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.normalise_words(_words(spark, sf_dir))
 
 
-@query()
+PERSISTED = f"""{TURNS_S.replace(D.SEG, WORDS)},
+chunk as (select transcript_id, pos, text, start_ms / 1000.0::double s, coalesce(raw_end_ms / 1000.0::double, lead(start_ms / 1000.0::double) over (partition by transcript_id order by pos), start_ms / 1000.0::double + 2) e from seg),
+stored as (select * from chunk where transcript_id % 2 = 1 union all select transcript_id, pos, text, s, e from normal where transcript_id % 2 = 0), {labels_sql('stored', 'labelled')}"""
+
+
+@query(f'with {PERSISTED} select transcript_id, pos, text, s as start, e as "end", speaker from labelled')
 def persisted_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = D.segments_ms(spark, sf_dir).select("transcript_id", "pos", "text", (F.col("start_ms") / 1000).alias("start"), (F.col("raw_end_ms") / 1000).alias("end"))
     turns = D.turns_ms(spark, sf_dir).withColumns({"start": F.col("start") / 1000, "end": F.col("end") / 1000})

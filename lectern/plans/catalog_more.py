@@ -142,8 +142,8 @@ def broken_references(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"with {D.SEG}, e as (select *, lag(end_ms) over (partition by transcript_id order by pos) pe from seg where trim(text) <> '') select transcript_id, pos, coalesce(start_ms + 300 < pe + 600, false) as \"overlaps\" from e")
 def overlap_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = D.segments_ms(spark, sf_dir).where(T.trim_space("text") != "")
-    before = F.lag("end_ms").over(tokens.win())
-    return s.select("transcript_id", "pos", F.coalesce(F.col("start_ms") + 300 < before + 600, F.lit(False)).alias("overlaps"))
+    s = s.withColumns({"start": F.col("start_ms") + 300, "end": F.col("end_ms") + 600})
+    return s.select("transcript_id", "pos", tokens.overlaps_before().alias("overlaps"))
 
 
 @query(f"""with {D.SEG}, f as (select *, replace(text, chr(10), ' ') flat, regexp_extract(text, '^[^A-Za-z]*', 0) head, lead(pos) over w is null final, lag(replace(text, chr(10), ' ')) over w before from seg window w as (partition by transcript_id order by pos)),

@@ -74,6 +74,25 @@ def finished_downloads(files: DataFrame, stem: str) -> DataFrame:
     return files.where(name.startswith(stem + ".") & ~F.endswith(name, F.lit("part")))
 
 
+def first_download(files: DataFrame, stem: str) -> DataFrame:
+    """The finished download of ``stem`` with the first name, if there is one."""
+    return finished_downloads(files, stem).orderBy("path").limit(1)
+
+
+def first_media(drops: DataFrame, paths: str = "paths") -> DataFrame:
+    """``drops`` with path, the first accepted file of each list, ignored, how many others it had, and error where none is accepted."""
+    kept = F.filter(paths, is_media)
+    path = F.get(kept, F.lit(0))
+    return drops.withColumns({"path": path, "ignored": F.when(path.isNotNull(), F.size(paths) - 1), "error": F.when(path.isNull(), "no audio or video file")})
+
+
+def by_start(turns) -> Column:
+    """An array of turns in the order of their starts, those of one start as they were."""
+    turns = F.col(turns) if isinstance(turns, str) else turns
+    placed = F.transform(turns, lambda t, i: F.struct(t["start"].alias("s"), i.alias("i"), t.alias("t")))
+    return F.transform(F.array_sort(placed), lambda x: x["t"])
+
+
 def content_key(content) -> Column:
     return F.sha2(content, 256)
 

@@ -110,16 +110,68 @@ def progress_items(messages: DataFrame, order: str = "seq") -> DataFrame:
     return latest(messages, ["file"], order).where("status <> 'done'")
 
 
+def download_counts(steps: DataFrame, key: str = "worker", order: str = "seq", change: str = "change") -> DataFrame:
+    """``steps`` (key, order, change of +1 or -1) with active: a counter of each key that never falls below 0.
+
+    Its value is the running sum, lifted by how far that has ever been below 0.
+    """
+    w = running(key, order)
+    total = F.sum(change).over(w)
+    return steps.withColumn("_total", total).withColumn("active", F.col("_total") - F.least(F.lit(0), F.min("_total").over(w))).drop("_total")
+
+
 def active_downloads(events: DataFrame) -> DataFrame:
     """Jobs that are downloading now."""
     return last_state(events).where("status = 'downloading'").agg(F.count("*").alias("active_downloads"))
 
 
+def throttle_stream(events: DataFrame, key: str = "job_id", order: str = "seq", value: str = "progress", step: float = PROGRESS_STEP, timeout_ms: int = 3_600_000) -> DataFrame:
+    """``throttle`` over a stream: the state of a job is what was last passed on; idle jobs are forgotten after ``timeout_ms``."""
+
+    def keep(_: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        last = np.float32(state.get[0] if state.exists else 0)
+        rows = pd.concat(list(batches)).sort_values(order, kind="stable")
+        passed = []
+        for v in rows[value].to_numpy(np.float32):
+            passed.append(bool(v - last >= np.float32(step)))
+            last = v if passed[-1] else last
+        state.update((float(last),))
+        state.setTimeoutDuration(timeout_ms)
+        yield rows[passed]
+
+    return events.groupBy(key).applyInPandasWithState(keep, events.schema, "last double", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def previews(messages: DataFrame, key: str = "session", order: str = "seq") -> DataFrame:
+    """What a session shows while it is decoded: each message replaces all that came before it.
+
+    Over a stream this is an aggregate for the update or complete output mode, one row a session as state.
+    """
+    return latest(messages, [key], order)
+
+
+def results(messages: DataFrame, key: str = "session", order: str = "seq") -> DataFrame:
+    """What a finished session leaves: the words of its last complete message, or, where it has none, the chunks."""
+    done = latest(messages.where("kind = 'complete'"), [key], order)
+    some = F.size(F.coalesce("words", F.expr("array()"))) > 0
+    return done.withColumn("chunks", F.when(~some, F.col("chunks")))
+
+
 def publish(events: DataFrame, path: str, checkpoint: str):
-    """Write snapshots of a stream to a topic per job and to one for all, as folders; returns the query."""
+    """Write snapshots of a stream to a topic per job and to one for all, as folders; returns the query.
+
+    Each batch has folders of its own, which a retry writes anew, so that no snapshot comes twice.
+    """
 
     def fan_out(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("append").parquet(f"{path}/all")
-        batch.write.mode("append").partitionBy("job_id").parquet(f"{path}/by_job")
+        batch.persist()
+        try:
+            batch.write.mode("overwrite").parquet(f"{path}/all/batch_id={batch_id}")
+            batch.write.mode("overwrite").partitionBy("job_id").parquet(f"{path}/by_job/batch_id={batch_id}")
+        finally:
+            batch.unpersist()
 
     return events.writeStream.foreachBatch(fan_out).option("checkpointLocation", checkpoint).start()

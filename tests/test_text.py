@@ -54,4 +54,4 @@ def test_names_and_ids(spark):
     assert one(spark, "https://youtu.be/abcdefghijk?x=1", T.video_id) == "abcdefghijk" and one(spark, "https://youtu.be/short", T.video_id) is None
     assert one(spark, "a/b\\c.tar.gz", T.basename) == "c.tar.gz" and one(spark, "c.tar.gz", T.export_base_name) == "c.tar" and one(spark, "", T.export_base_name) == "transcript"
     row = spark.range(1).select(T.exit_message(F.lit(6), F.lit(None).cast("int"), F.lit(True)).alias("a"), T.exit_message(F.lit(None).cast("int"), F.lit(0), F.lit(False)).alias("b")).first()
-    assert row["a"] == "the engine panicked" and row["b"] is None
+    assert row["a"] == "the engine panicked (signal 6)" and row["b"] == "the engine ended with status 0"

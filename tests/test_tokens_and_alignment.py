@@ -66,7 +66,7 @@ def test_alignment_equals_the_loop_both_ways(spark):
     left = spark.createDataFrame([(1, *i) for i in items] + [(2, *items[0])], "transcript_id long, pos long, start double, end double")
     right = spark.createDataFrame([(1, *t) for t in turns], "transcript_id long, idx int, start double, end double, speaker int")
     want = assign(items, turns)
-    for f in (align.assign_speakers, lambda a, b: align.assign_speakers_bucketed(a, b, 7.0)):
+    for f in (align.assign_speakers, lambda a, b: align.assign_speakers(a, b, 7.0)):
         got = {(r["transcript_id"], r["pos"]): r["speaker_id"] for r in f(left, right).collect()}
         assert len(got) == 121 and got[(2, 0)] is None
         assert {p: got[(1, p)] for p, _, _ in items} == want
