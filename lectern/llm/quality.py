@@ -58,10 +58,10 @@ def n_passages(n_bytes: int) -> int:
     return max(1, (n_bytes + PASSAGE_BYTES // 2) // PASSAGE_BYTES)
 
 
-def encode(data: bytes, n: int, length: int) -> np.ndarray:
-    """One row of features for each of the ``n`` passages of ``data``, which is part of a text of ``length`` bytes."""
+def encode(data: bytes, after: bytes, n: int, length: int) -> np.ndarray:
+    """One row of features for each of the ``n`` passages of ``data``, which ``after`` follows in a text of ``length`` bytes."""
     where = np.minimum(np.arange(len(data)) // PASSAGE_BYTES, n - 1)
-    grams = trigram_buckets(data, BITS)
+    grams = trigram_buckets(data + after, BITS)
     counts = np.bincount(grams + (where[: len(grams)] << BITS), minlength=n << BITS).reshape(n, -1)
     kinds = np.bincount(CLASS_OF[np.frombuffer(data, np.uint8)] + where * CLASSES, minlength=n * CLASSES).reshape(n, -1)
     total = np.maximum(counts.sum(axis=1, keepdims=True), 1)
@@ -79,8 +79,8 @@ def chunks(text: str | None) -> Iterator[np.ndarray]:
     n, step = n_passages(len(data)), CHUNK_PASSAGES
     for lo in range(0, n, step):
         last = lo + step >= n
-        part = data[lo * PASSAGE_BYTES : None if last else (lo + step) * PASSAGE_BYTES]
-        yield encode(part, n - lo if last else step, len(data))
+        end = len(data) if last else (lo + step) * PASSAGE_BYTES
+        yield encode(data[lo * PASSAGE_BYTES : end], data[end : end + 2], n - lo if last else step, len(data))
 
 
 def passages(text: str | None) -> np.ndarray:
