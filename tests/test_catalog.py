@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from lectern.plans import catalog, catalog_more  # noqa: F401
+from lectern.plans import catalog, catalog_more, catalog_small  # noqa: F401
 
 
 @pytest.fixture(scope="module")
