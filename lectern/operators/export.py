@@ -81,7 +81,7 @@ def as_json(cues: DataFrame, names: DataFrame | None = None) -> DataFrame:
     def item(r: Column) -> Column:
         fields = F.array_compact(F.array(
             F.concat(F.lit('"start": '), _number(r["start"])), F.concat(F.lit('"end": '), _number(r["end"])), F.concat(F.lit('"text": '), _string(r["text"])),
-            F.concat(F.lit('"speaker": '), _string(r["speaker"]))))
+            F.when(r["speaker"].isNotNull(), F.concat(F.lit('"speaker": '), _string(r["speaker"])))))
         return F.concat(depth(1), F.lit("{"), F.array_join(F.transform(fields, lambda f: F.concat(depth(2), f)), ","), depth(1), F.lit("}"))
 
     rows = cues.groupBy("transcript_id").agg(F.sort_array(F.collect_list(F.struct("pos", "start", "end", "text", "speaker"))).alias("cues"), F.bool_or(F.col("speaker").isNotNull()).alias("spoken"))

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lectern import api
+from lectern.functions import config
 from lectern.operators import store
 from lectern.sources import readers
 from lectern.streaming import jobs
@@ -121,3 +122,54 @@ def test_job_events(spark):
     assert [r["seq"] for r in jobs.throttle(e).where("job_id = 'a'").orderBy("seq").collect()] == [2, 4]
     pieces = spark.createDataFrame([(1, 0, 2, "b"), (1, 0, 1, "a")], "run_id long, window_idx int, seq long, text string")
     assert jobs.open_window_text(pieces).first()["text"] == "ab"
+
+
+def test_throttle_and_previews_over_streams(spark, tmp_path):
+    steps = spark.createDataFrame([(k, i, (i * 37 % 101) / 101) for k in ("a", "b") for i in range(60)], "job_id string, seq long, progress double")
+    want = sorted((r["job_id"], r["seq"]) for r in jobs.throttle(steps).collect())
+    steps.where("seq < 25").coalesce(1).write.parquet(str(tmp_path / "in/a"))
+    steps.where("seq >= 25").coalesce(1).write.parquet(str(tmp_path / "in/b"))
+    stream = spark.readStream.schema(steps.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    q = jobs.throttle_stream(stream).writeStream.format("memory").queryName("passed").option("checkpointLocation", str(tmp_path / "c")).start()
+    until = time.time() + 90
+    while time.time() < until and spark.table("passed").count() < len(want):
+        time.sleep(0.5)
+    q.stop()
+    assert want and sorted((r["job_id"], r["seq"]) for r in spark.table("passed").collect()) == want
+    shown = jobs.previews(stream, "job_id").writeStream.outputMode("complete").format("memory").queryName("shown").option("checkpointLocation", str(tmp_path / "d")).trigger(availableNow=True).start()
+    shown.awaitTermination(90)
+    assert sorted((r["job_id"], r["seq"]) for r in spark.table("shown").collect()) == [("a", 59), ("b", 59)]
+
+
+def test_publish_writes_each_snapshot_once_even_on_a_retry(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 1), ("b", 2), ("a", 3)], "job_id string, seq long")
+    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+    for checkpoint in ("c", "again"):  # a lost checkpoint replays the batch
+        q = jobs.publish(stream, str(tmp_path / "out"), str(tmp_path / checkpoint))
+        q.processAllAvailable()
+        q.stop()
+    for topic in ("all", "by_job"):
+        assert sorted((r["job_id"], r["seq"]) for r in spark.read.parquet(str(tmp_path / "out" / topic)).collect()) == [("a", 1), ("a", 3), ("b", 2)]
+
+
+def test_errors_are_errors(spark):
+    run = lambda df: df.collect()
+    turns = spark.createDataFrame([(1, [(0.0, 1.0, -1)])], "transcript_id long, turns array<struct<start:float,end:float,speaker:int>>")
+    request = spark.createDataFrame([("nothing", True, 8.0, 8, "transcribe", "en")], "preset_id string, gpu boolean, memory_gib double, cores int, task string, language string")
+    seg = "array<struct<start:double,end:double,text:string,speaker:string>>"
+    recipe = "source_id long, model_id string, task string, language string"
+    work = spark.createDataFrame([("j", 1, "m", "transcribe", "en", "ready", 0.5, None, None)], f"id string, {recipe}, status string, progress double, error string, full_text string")
+    other = spark.createDataFrame([("j", 1, "m2", "transcribe", "en", "t", None, 1)], f"job_id string, {recipe}, full_text string, segments {seg}, seq long")
+    stored = spark.createDataFrame([], f"{recipe}, full_text string, segments {seg}")
+    names = spark.createDataFrame([], "source_id long, speaker_key string, display_name string")
+    for wrong, message in ((readers.explode_turns(turns), "negative speaker"), (config.resolve_models(request), "no such preset"), (store.persist_transcripts(stored, work, names, other)["transcripts"], "does not match the recipe")):
+        with pytest.raises(Exception, match=message):
+            run(wrong)
+
+
+def test_tables_can_start_empty(spark):
+    tables = {name: spark.createDataFrame([], schema) for name, schema in store.SCHEMAS.items()}
+    assert [len(t.columns) for t in tables.values()] == [11, 9, 17, 4]
+    new = spark.createDataFrame([("file", "k", None, "f.mp3", 3)], "source_type string, source_key string, canonical_url string, filename string, size_bytes long").withColumn("at", F.lit("2025-01-01").cast("timestamp"))
+    assert [(r["id"], r["filename"]) for r in store.upsert_sources(tables["sources"], new).collect()] == [(1, "f.mp3")]
