@@ -27,7 +27,7 @@ from .common import free_name, map_texts
 
 LIMIT = 512
 ONE = (1,)
-#: Pairs of tokens remembered per worker.
+#: Answers to which tokens follow which that are remembered per worker.
 CACHE_PAIRS = 1 << 20
 #: Characters of a text that are split at once; it changes no count.
 BLOCK_CHARS = 1 << 18
@@ -36,6 +36,21 @@ OPENING = re.compile(r" (?=\S)")
 SEGMENT = re.compile(r"(?= \S)")
 
 
+class Following(dict):
+    """From the bytes of a token that may follow ``token`` to what may follow that one; None for other bytes. Filled as asked."""
+
+    def __init__(self, counter: PrefixCounter, token: int | None):
+        super().__init__()
+        self.counter, self.token = counter, token
+
+    def __missing__(self, data: bytes) -> Following | None:
+        c, t = self.counter, self.counter.ids.get(data)
+        c.remember()
+        fits = t is not None and (self.token is None or c.bpe.merge(c.bpe.token_bytes[self.token] + data) == [self.token, t])
+        found = self[data] = c.following(t) if fits else None
+        return found
+
+
 class PrefixCounter:
     def __init__(self, bpe: ByteBpe):
         self.bpe = bpe
@@ -47,37 +62,35 @@ class PrefixCounter:
             lengths.setdefault(t[-2:], set()).add(len(t))
         single = {t for t in self.ids if len(t) == 1}
         self.lengths = {e: sorted(found | ({1} if e[-1:] in single else set())) for e, found in lengths.items()}
-        self.pairs: dict[int, bool] = {}
+        self.tables: dict[int | None, Following] = {}
+        self.known = 0
         self.counts = WordCache(lambda w: self.word(w.encode())[-1])
         self.word_steps = WordCache(self.steps_of_word)
         self.segments = WordCache(self.segment)
 
-    def follows(self, a: int, b: int) -> bool:
-        if len(self.pairs) >= CACHE_PAIRS:
-            self.pairs.clear()
-        found = self.pairs[a << 32 | b] = self.bpe.merge(self.bpe.token_bytes[a] + self.bpe.token_bytes[b]) == [a, b]
-        return found
+    def remember(self) -> None:
+        """One more answer; too many of them start anew."""
+        self.known += 1
+        if self.known > CACHE_PAIRS:
+            self.known = 0
+            self.tables.clear()
+
+    def following(self, token: int | None) -> Following:
+        if token not in self.tables:
+            self.tables[token] = Following(self, token)
+        return self.tables[token]
 
     def word(self, word: bytes) -> list[int]:
         """Counts at the prefixes of 0, 1, ... bytes of one word."""
-        get, known, lengths = self.ids.get, self.pairs.get, self.lengths.get
-        last, count = [-1], [0]
+        lengths = self.lengths.get
+        after, count = [self.following(None)], [0]
         for k in range(1, len(word) + 1):
             for n in lengths(word[k - 2 if k > 1 else 0 : k], ONE):
                 start = k - n
-                if start < 0:
-                    continue
-                t = get(word[start:k])
-                if t is None:
-                    continue
-                if start:
-                    pair = last[start] << 32 | t
-                    fits = known(pair)
-                    if not (self.follows(last[start], t) if fits is None else fits):
-                        continue
-                last.append(t)
-                count.append(count[start] + 1)
-                break
+                if start >= 0 and (found := after[start][word[start:k]]) is not None:
+                    after.append(found)
+                    count.append(count[start] + 1)
+                    break
             else:
                 raise ValueError("no token ends here")
         return count
@@ -117,6 +130,8 @@ class PrefixCounter:
 
         It does where the stretch ends in white space, as white space at the end of a text is one word.
         """
+        if text[1:].isalpha() and (text[0] == " " or text[0].isalpha()):
+            return self.word_steps[text], 0
         words = self.bpe.words(text)
         if len(words) == 1:
             return self.word_steps[text], 0
