@@ -51,7 +51,7 @@ def durable(df: DataFrame, name: str) -> DataFrame:
 def discard(df: DataFrame) -> None:
     """Delete the files of a ``durable`` table that no later plan reads."""
     spark = df.sparkSession
-    for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+    for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()[:1]}:  # a table is one folder
         path = spark._jvm.org.apache.hadoop.fs.Path(file)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 

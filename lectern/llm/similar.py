@@ -4,6 +4,11 @@ A text is the set of its five-word shingles. If two sets have a Jaccard similari
 least 4/5 of its members with the other, so in any one order of all shingles the first fifth (and one more) of either
 have a member in common; an equi-join on these prefixes finds every pair. The order puts shingles that a share of the
 documents shows to be frequent last, which keeps common lines out of the prefixes; it decides the work, not the result.
+
+Many documents may share a shingle without being similar. Each such group has a pivot, its smallest set, with which all
+others are compared. Two sets that share no shingle beyond the pivot's are similar only if both are similar to the pivot, as
+it is no larger than they are: then they are connected already. So what is left to find in a crowded group shares a
+shingle that the pivot lacks, and is met by the same join on prefixes of what the sets have beyond it, and so on.
 """
 
 from __future__ import annotations
@@ -11,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import discard, durable
 from .components import components
 from .exact_dedup import normalised
 
@@ -21,6 +26,8 @@ SIMILAR = (4, 5)
 #: One in so many documents is counted to order the shingles, by buckets of their hashes.
 COUNTED, BUCKETS = 8, 1 << 16
 SPACE = " \t\n\x0b\f\r"
+#: Documents outside its largest part with which a group is compared pair by pair, and how often fuller groups go on beyond their pivots.
+GROUP_LIMIT, STEPS = 32, 2
 
 
 def shingles(text: Column) -> Column:
@@ -46,61 +53,109 @@ def frequent(rows: DataFrame) -> list[int]:
     return levels
 
 
+def least_shared(n_u: Column, n_v: Column) -> Column:
+    """What two sets of these sizes have in common at least if they are similar."""
+    return F.ceil((n_u + n_v) * SIMILAR[0] / sum(SIMILAR)).cast("int")
+
+
 def prefixes(rows: DataFrame, levels: list[int]) -> DataFrame:
-    """(id, n, prefix) of (id, text): the number of shingles and the first of them in the common order."""
+    """(id, n, prefix, set) of (id, text): the number of shingles, the first of them and all of them in the common order."""
     level = F.split(F.lit(",".join(map(str, levels))), ",").cast("array<int>")
     ranked = F.sort_array(F.transform("s", lambda h: F.shiftleft(F.get(level, bucket(h)).cast("long"), 56).bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1)))))
-    least = F.ceil(F.size("s") * SIMILAR[0] / SIMILAR[1]).cast("int")
-    return rows.select("id", shingles(F.col("text")).alias("s")).select("id", F.size("s").alias("n"), F.slice(ranked, F.lit(1), F.size("s") - least + 1).alias("prefix"))
+    least = F.ceil(F.size("set") * SIMILAR[0] / SIMILAR[1]).cast("int")
+    found = rows.select("id", shingles(F.col("text")).alias("s")).select("id", ranked.alias("set"))
+    return found.select("id", F.size("set").alias("n"), F.slice("set", F.lit(1), F.size("set") - least + 1).alias("prefix"), "set")
+
+
+class Scratch:
+    """Tables that go when their work is done."""
+
+    def __init__(self):
+        self.tables: list[DataFrame] = []
 
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        self.tables.append(durable(df, name))
+        return self.tables[-1]
 
-def plausible(pairs: DataFrame, kept: DataFrame) -> DataFrame:
-    """Those of ``pairs`` (u, v) whose sizes and prefixes in ``kept`` do not rule the similarity out.
+    def clear(self) -> None:
+        for t in self.tables:
+            discard(t)
+        self.tables.clear()
+
+
+def verified(pairs: DataFrame, kept: DataFrame) -> DataFrame:
+    """Those of ``pairs`` (u, v) whose sets in ``kept`` are similar enough; sizes and prefixes rule most others out.
 
     What two sets share up to the end of the prefix that ends first is in both prefixes; beyond it they share no more
     than what that set has left.
     """
-    least, most = F.least("n_u", "n_v"), F.greatest("n_u", "n_v")
+    scratch = Scratch()
     named = lambda side, *extra: kept.select(F.col("id").alias(side), F.col("n").alias(f"n_{side}"), *[F.col(c).alias(f"{c}_{side}") for c in extra])
-    sized = pairs.distinct().join(named("u"), "u").join(named("v"), "v").where(least * SIMILAR[1] >= most * SIMILAR[0])
-    sized = durable(sized.select("u", "v").distinct(), "sized")
-    both = sized.join(named("u", "prefix"), "u").join(named("v", "prefix"), "v")
+    least, most = F.least("n_u", "n_v"), F.greatest("n_u", "n_v")
+    sized = pairs.distinct().join(named("u"), "u").join(named("v"), "v").where(least * SIMILAR[1] >= most * SIMILAR[0]).select("u", "v")
+    both = scratch.keep(sized, "sized").join(named("u", "prefix"), "u").join(named("v", "prefix"), "v")
     last_u, last_v = F.element_at("prefix_u", -1), F.element_at("prefix_v", -1)
     rest_u, rest_v = F.col("n_u") - F.size("prefix_u"), F.col("n_v") - F.size("prefix_v")
     rest = F.when(last_u < last_v, rest_u).when(last_u > last_v, rest_v).otherwise(F.least(rest_u, rest_v))
-    shared = F.size(F.array_intersect("prefix_u", "prefix_v")) + rest
-    return both.where(shared * sum(SIMILAR) >= (F.col("n_u") + F.col("n_v")) * SIMILAR[0]).select("u", "v")
+    enough = F.size(F.array_intersect("prefix_u", "prefix_v")) + rest >= least_shared(F.col("n_u"), F.col("n_v"))
+    whole = scratch.keep(both.where(enough).select("u", "v"), "candidates").join(named("u", "set"), "u").join(named("v", "set"), "v")
+    similar = whole.where(F.size(F.array_intersect("set_u", "set_v")) >= least_shared(F.col("n_u"), F.col("n_v")))
+    out = durable(similar.select("u", "v"), "similar")
+    scratch.clear()
+    return out
+
 
+def beyond_pivots(crowd: DataFrame, kept: DataFrame) -> DataFrame:
+    """(s, at, id, n) of ``crowd`` (pivot, id, n): postings of what each set has beyond its pivot, as far as a similar pair has to meet.
 
-def verified(pairs: DataFrame, kept: DataFrame, rows: DataFrame) -> DataFrame:
-    """Those of ``pairs`` (u, v) whose texts in ``rows`` (id, text) are similar enough."""
-    pairs = durable(plausible(pairs, kept).distinct(), "candidates")
-    ids = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
-    sets = durable(rows.join(ids, "id", "left_semi").select("id", shingles(F.col("text")).alias("s")), "shingles")
-    both = pairs.join(sets.select(F.col("id").alias("u"), F.col("s").alias("a")), "u").join(sets.select(F.col("id").alias("v"), F.col("s").alias("b")), "v")
-    shared = both.select("u", "v", (F.size("a") + F.size("b")).alias("n"), F.size(F.array_intersect("a", "b")).alias("c"))
-    return durable(shared.where(F.col("c") * SIMILAR[1] >= (F.col("n") - F.col("c")) * SIMILAR[0]).select("u", "v").distinct(), "similar")
+    Such a pair shares at least what sets of its sizes have to share, less what either shares with the pivot.
+    """
+    own = kept.select("id", "set")
+    pivots = kept.select(F.col("id").alias("pivot"), F.col("n").alias("n_pivot"), F.col("set").alias("of_pivot"))
+    both = crowd.join(own, "id").join(pivots, "pivot").withColumn("beyond", F.array_except("set", "of_pivot"))
+    smallest = F.greatest(F.ceil(F.col("n") * SIMILAR[0] / SIMILAR[1]).cast("int"), F.col("n_pivot"))
+    need = F.greatest(F.lit(1), least_shared(F.col("n"), smallest) - (F.col("n") - F.size("beyond")))
+    reach = F.greatest(F.lit(0), F.size("beyond") - need + 1)
+    first = both.select("pivot", "id", "n", F.posexplode(F.slice("beyond", F.lit(1), reach)).alias("at", "e"))
+    return first.select(F.xxhash64("pivot", "e").alias("s"), "id", "n")
 
 
 def links(rows: DataFrame) -> DataFrame:
     """Edges (u, v) that connect what all similar pairs of ``rows`` (id, text) connect.
 
-    First the documents of one shingle are compared with the smallest of them only; then, in what that has not
-    connected, all with all. A large group of near copies so makes about as many pairs as it has members.
+    Groups with up to ``GROUP_LIMIT`` documents outside their largest connected part compare pair by pair what is not
+    connected. Others go on beyond their pivots; every step leaves the pivots behind, and after ``STEPS`` of them pairs
+    are compared however many there are.
     """
     kept = durable(prefixes(rows, frequent(rows)), "prefixes")
-    postings = kept.select(F.posexplode("prefix").alias("at", "s"), "id", "n")
-    shared = durable(postings.groupBy("s").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("held")).where("low <> high"), "shared")
-    members = durable(postings.join(shared.where("held > 2").select("s", "low"), "s"), "members")
-    star = members.where("id <> low").select(F.col("id").alias("u"), F.col("low").alias("v"))
-    first = verified(star.unionByName(shared.where("held = 2").select(F.col("high").alias("u"), F.col("low").alias("v"))), kept, rows)
-
-    placed = members.where("id <> low").join(components(first), members.id == F.col("node"), "left").select("s", "at", "id", "n", F.coalesce("component", "id").alias("part"))
-    apart = placed.groupBy("s").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("s")
-    live = durable(placed.join(apart, "s"), "apart")
-    a, b = (live.select("s", *[F.col(c).alias(f"{c}_{side}") for c in ("at", "id", "n", "part")]) for side in "ab")
-    # a pair is met at the first shingle that both have: from there on they share no more than either has left
-    left = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
-    fits = (F.col("id_a") > F.col("id_b")) & (F.col("part_a") != F.col("part_b")) & (left * sum(SIMILAR) >= (F.col("n_a") + F.col("n_b")) * SIMILAR[0])
-    pairs = a.join(b, "s").where(fits).select(F.col("id_a").alias("u"), F.col("id_b").alias("v"))
-    return first.unionByName(verified(pairs, kept, rows))
+    scratch = Scratch()
+    postings = kept.select(F.explode("prefix").alias("s"), "id", "n")
+    edges: DataFrame | None = None
+    for step in range(STEPS + 1):
+        smallest = F.min(F.struct("n", "id"))["id"]
+        groups = postings.groupBy("s").agg(smallest.alias("pivot"), F.count("*").alias("held")).where("held > 1")
+        members = scratch.keep(postings.join(scratch.keep(groups, "groups"), "s"), "members")
+        star = members.where("id <> pivot").select(F.col("id").alias("u"), F.col("pivot").alias("v"))
+        near = verified(star, kept)
+        edges = near if edges is None else durable(edges.unionByName(near), "links")
+        # groups whose members are connected have nothing left to find, nor have members that are connected to all others
+        placed = members.where("id <> pivot and held > 2").join(components(edges).withColumnRenamed("node", "id"), "id", "left").select("s", "id", "n", "pivot", "held", F.coalesce("component", "id").alias("part"))
+        placed = scratch.keep(placed, "placed")
+        parts = placed.groupBy("s", "part").agg(F.count("*").alias("size")).groupBy("s").agg(F.sum("size").alias("whole"), F.max("size").alias("largest"))
+        live = scratch.keep(placed.join(parts.where("whole > largest"), "s").withColumn("others", F.col("whole") - F.col("largest")), "apart")
+        crowded = F.lit(step < STEPS) & (F.col("others") > GROUP_LIMIT)
+        a, b = (live.where(~crowded).select("s", *[F.col(c).alias(f"{c}_{side}") for c in ("id", "n", "part")]) for side in "ab")
+        small, large = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
+        fits = (F.col("id_a") > F.col("id_b")) & (F.col("part_a") != F.col("part_b")) & (small * SIMILAR[1] >= large * SIMILAR[0])
+        pairs = a.join(b, "s").where(fits).select(F.col("id_a").alias("u"), F.col("id_b").alias("v"))
+        edges = durable(edges.unionByName(verified(pairs, kept)), "links")
+        crowd = scratch.keep(live.where(crowded).select("pivot", "id", "n").distinct(), "crowd")
+        if crowd.isEmpty():
+            break
+        new = durable(beyond_pivots(crowd, kept), "postings")
+        scratch.clear()
+        scratch.tables.append(new)
+        postings = new
+    scratch.clear()
+    discard(kept)
+    return edges

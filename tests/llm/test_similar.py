@@ -5,11 +5,13 @@ import random
 import pytest
 from test_brute_force import one_of_each
 
-from lectern.llm import simhash
+from lectern.llm import simhash, similar
 
 
+@pytest.mark.parametrize("limit", [32, 3])
 @pytest.mark.parametrize("line", ["", "one common line that opens every single text of this table. "])
-def test_crowds_chains_and_odd_texts(spark, line):
+def test_crowds_chains_and_odd_texts(spark, line, limit, monkeypatch):
+    monkeypatch.setattr(similar, "GROUP_LIMIT", limit)
     rng = random.Random(8)
     word = lambda: "".join(rng.choices("abcdefgh", k=4))
     texts = {1: None, 2: "", 3: " \t\n", 4: "Two words", 5: "two\x0bWORDS ", 6: "two words more", 7: "É b c d e", 8: "é b c d e"}
