@@ -1,4 +1,9 @@
-"""A training-corpus pipeline over ``documents``: each stage's result is written as Parquet and read by the next."""
+"""A training-corpus pipeline over ``documents``: each stage's result is written as Parquet and read by the next.
+
+Null texts count as empty and have no language, so the first stage drops them. Rows of a null id stay in the stages that drop
+copies; rows that repeat an id go or stay each for its own text, save that near copies by word sets leave all rows of an id
+with several texts alone. Empty tables stay empty; further columns are carried along, whatever their names.
+"""
 
 from __future__ import annotations
 
@@ -42,9 +47,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids (packed little-endian), their number and the decoded text of each document."""
+    """Token ids (packed little-endian), their number and the decoded text of each document, with its other columns."""
     configure(spark)
-    return bpe.encode_decode(docs.select("doc_id", "text"), tokenizer_path())
+    return bpe.encode_decode(docs, tokenizer_path())
 
 
 STAGES = [
