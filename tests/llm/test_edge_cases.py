@@ -3,7 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from lectern.llm import bpe, exact_dedup, exact_topk, language_id, mixing, quality, sharding, simhash, token_counts, toxicity
+from lectern.llm.common import durable
 from lectern.llm.queries import tokenizer_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -127,6 +129,18 @@ def test_sharding(docs, crowded, tmp_path):
     assert empty.read().count() == 0 and sharding.placements(empty).count() == 0
 
 
+def test_pipeline_stages(docs, crowded, spark, tmp_path):
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(1, 11)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    for table, want in ((crowded, [8, 9]), (docs.limit(0), [])):
+        at = table
+        for name, stage in corpus_pipeline.STAGES:
+            before, at = at, durable(stage(spark, at, str(tmp_path)), "stage")
+            if name != corpus_pipeline.STAGES[-1][0]:
+                assert at.columns == table.columns and set(ids(at)) <= set(ids(before))
+        assert set(want) <= set(ids(at)) and not {1, 2, 3, 7} & set(ids(at)) and len(ids(at)) == len(set(ids(at)))
+
+
 def test_topk(spark):
     rows = [(0, [1.0, 0.0], "a"), (50, [1.0, 0.0], "a"), (51, [1.0, 0.0], "a"), (52, [1.0, 0.0], "a"), (53, None, "a"), (54, [float("nan"), 1.0], "a"), (55, [None, 1.0], "a"), (56, [], "a"), (57, [float("inf"), 0.0], "a"), (58, [-0.001, 0.5], "a"), (None, [1.0, 1.0], "a")]
     v = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score string")
