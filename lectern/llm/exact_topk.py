@@ -29,15 +29,15 @@ SAMPLE_VALUES, SAMPLE_IN_CELL = 1 << 20, 16
 NEAR_CELLS = 2
 
 
-def scaled(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(id, v array<long>): floor(256 x) of every component; rows with null or non-finite vectors or ids leave, and empty vectors.
+def scaled(vectors: DataFrame, id_col: str, vector_col: str, also: tuple[str, ...] = ()) -> DataFrame:
+    """(id, v array<long>, ``also``): floor(256 x) of every component; rows with null or non-finite vectors or ids leave, and empty vectors.
 
     A finite component of 2**55 or more has no such integer in a long: that is an error.
     """
     x = F.transform(F.col(vector_col), lambda c: c.cast("double"))
     fine = F.col(id_col).isNotNull() & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & (F.size(x) > 0)
     whole = F.when(F.exists(x, lambda c: F.abs(c) >= 2.0**55), F.raise_error(F.lit("a component is too large to be scaled"))).otherwise(F.transform(x, lambda c: F.floor(c * SCALE).cast("long")))
-    return vectors.where(F.coalesce(fine, F.lit(False))).select(F.col(id_col).cast("long").alias("id"), whole.alias("v"))
+    return vectors.where(F.coalesce(fine, F.lit(False))).select(F.col(id_col).cast("long").alias("id"), whole.alias("v"), *also)
 
 
 class Cells:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_topk, language_id, mixing, quality, sharding, simhash, token_counts, toxicity
+from . import bpe, clustering, exact_topk, hard_negatives, language_id, mixing, quality, sharding, simhash, token_counts, toxicity
 from . import exact_dedup as dedup
 from .common import configure, crc_bucket, durable, scratch_path
 
@@ -90,7 +90,18 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > token_counts.LIMIT).alias("over_limit"), "fit_chars")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), label)
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.cluster(table(spark, sf_dir, "embeddings"))
+
+
 ORACLES = {
+    "op11_hard_negatives": hard_negatives.ORACLE,
+    "op12_centroid_clustering": clustering.oracle(),
     "op8_exact_topk": """
 with e as (select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) v from embeddings
   where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
