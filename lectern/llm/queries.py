@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, clustering, exact_topk, hard_negatives, language_id, mixing, quality, sharding, simhash, token_counts, toxicity
+from . import bpe, clustering, exact_topk, hard_negatives, language_id, mixing, pii, quality, sharding, simhash, token_counts, toxicity
 from . import exact_dedup as dedup
 from .common import configure, crc_bucket, durable, scratch_path
 
@@ -99,6 +99,11 @@ def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustering.cluster(table(spark, sf_dir, "embeddings"))
 
 
+def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans")
+
+
 ORACLES = {
     "op11_hard_negatives": hard_negatives.ORACLE,
     "op12_centroid_clustering": clustering.oracle(),
