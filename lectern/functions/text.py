@@ -109,8 +109,13 @@ def terminator(c) -> Column:
     return F.when(c.rlike(rf"[{CJK}]\z"), "。").when(ends_without_space(c), "").otherwise(".")
 
 
+def units(c) -> Column:
+    """UTF-16 units, the length that the caption limits are stated in: two for a character beyond the basic plane."""
+    return F.char_length(F.regexp_replace(_text(c), r"[\x{10000}-\x{10ffff}]", "xx"))
+
+
 def wrap(c) -> Column:
-    """Text of at most 42 characters as it is; else the two lines of least overflow, no orphan if possible, best balance."""
+    """Text of at most 42 UTF-16 units as it is; else the two lines of least overflow, no orphan if possible, best balance."""
     return F.transform(F.array(clean(c)), _wrap_clean)[0]  # bound once: every candidate looks at the cleaned text
 
 
@@ -123,7 +128,7 @@ def _wrap_clean(c: Column) -> Column:
         return F.struct(first.alias("first"), F.substring(c, i, F.char_length(c)).alias("second"), i.alias("i"))
 
     def ranked(x: Column) -> Column:
-        n, m = F.char_length(x["first"]), F.char_length(x["second"])
+        n, m = units(x["first"]), units(x["second"])
         over = F.greatest(F.lit(0), n - MAX_LINE_CHARS) + F.greatest(F.lit(0), m - MAX_LINE_CHARS)
         orphan = ((word_count(x["first"]) == 1) | (word_count(x["second"]) == 1)).cast("int")
         return F.struct(over.alias("o"), orphan.alias("n"), F.abs(n - m).alias("b"), x["i"].alias("i"), F.concat(x["first"], F.lit("\n"), x["second"]).alias("t"))
@@ -131,7 +136,7 @@ def _wrap_clean(c: Column) -> Column:
     breaks = lambda i: (at(i) != " ") & ((at(i - 1) == " ") | (script(at(i - 1)) & script(at(i)) & ~F.lit(NO_LINE_START).contains(at(i))))
     places = F.filter(F.sequence(F.lit(2), F.greatest(F.lit(2), F.char_length(c))), breaks)
     best = F.array_min(F.transform(F.transform(places, split_at), ranked))["t"]
-    return F.when(F.char_length(c) <= MAX_LINE_CHARS, c).otherwise(F.coalesce(best, c))
+    return F.when(units(c) <= MAX_LINE_CHARS, c).otherwise(F.coalesce(best, c))
 
 
 def flatten_lines(c) -> Column:
@@ -139,8 +144,8 @@ def flatten_lines(c) -> Column:
 
 
 def speaker_label(speaker_id) -> Column:
-    """``SPEAKER_07``; longer numbers are not cut."""
-    return F.format_string("SPEAKER_%02d", _text(speaker_id).cast("long"))
+    """``SPEAKER_07``; longer numbers are not cut; null without a number."""
+    return F.when(_text(speaker_id).isNotNull(), F.format_string("SPEAKER_%02d", _text(speaker_id).cast("long")))
 
 
 def sanitise_name(c) -> Column:

@@ -11,6 +11,8 @@ EPSILON = 1e-6
 #: Longest media that is accepted, in seconds, and how long prepared audio is kept, in hours.
 MAX_MEDIA_SECONDS, AUDIO_HOURS = 7200, 168
 PROGRESS_STEP = 0.02
+#: Length and stride in seconds of decode windows; distilled models have the second.
+WINDOW, SMALL_WINDOW = (29.0, 5.0), (20.0, 3.0)
 
 
 def _c(c) -> Column:
@@ -92,7 +94,7 @@ def overlap_offset(start, end, stripped, total) -> Column:
     return _c(start) + F.when(_c(total) > 0, F.greatest(_c(end) - _c(start), F.lit(0.01)) * _c(stripped) / _c(total)).otherwise(0.0)
 
 
-def window_span(k, length: float = 29.0, stride: float = 5.0) -> Column:
+def window_span(k, length: float = WINDOW[0], stride: float = WINDOW[1]) -> Column:
     """Start and end of decode window ``k``: windows overlap by twice the stride."""
     start = _c(k) * (length - 2 * stride)
     return F.struct(start.alias("start"), (start + length).alias("end"))

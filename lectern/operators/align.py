@@ -2,45 +2,81 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import timing as C
-from .tokens import real_word_timings
 
 #: Width in time units of the buckets that bound the overlap join of long transcripts.
 BUCKET = 30.0
+#: A span of more than so many buckets registers in buckets that are so many times as wide, then in one for the transcript.
+FAN = 64
 
 
-def assign_speakers(items: DataFrame, turns: DataFrame, bucket: float = BUCKET, key: str = "transcript_id", pos: str = "pos") -> DataFrame:
+def _grids(start: Column, end: Column, bucket: float) -> tuple[Column, Column]:
+    """(own, wider): the cells (level, number) that a span registers in, by its length, and those of wider grids that it lies in.
+
+    Level 0 has buckets of ``bucket``, level 1 of ``FAN`` times that, level 2 has one. No span has more than ``FAN`` + 1 own cells.
+    """
+    last = F.greatest(start, end)
+    at = lambda level, x: F.floor(x / (bucket * FAN**level)).cast("long")
+    upto = lambda level: F.least(at(level, last), at(level, start) + FAN)
+    cells = lambda level: F.transform(F.sequence(at(level, start), upto(level)), lambda b: F.struct(F.lit(level).alias("l"), b.alias("b")))
+    whole = F.array(F.struct(F.lit(2).alias("l"), F.lit(0).cast("long").alias("b")))
+    narrow, middle = last - start <= bucket * (FAN - 1), last - start <= bucket * FAN * (FAN - 1)
+    own = F.when(narrow, cells(0)).when(middle, cells(1)).otherwise(whole)
+    return own, F.when(narrow, F.concat(cells(1), whole)).when(middle, whole).otherwise(F.slice(whole, 1, 0))
+
+
+def assign_speakers(items: DataFrame, turns: DataFrame, bucket: float = BUCKET, key: str = "transcript_id", pos: str = "pos", span: tuple[str, str] = ("start", "end"), seeks: str | None = None) -> DataFrame:
     """``items`` (key, pos, start, end, ...) with ``speaker_id`` of ``turns`` (key, idx, start, end, speaker); null without turns.
 
-    The turn of largest overlap counts, else the one of the smaller gap, and the smaller ``idx`` where these are equal. Items and turns register in each time bucket they touch, so overlapping pairs meet there. An item that overlaps
-    nothing takes the nearer of the latest end before it and the earliest start after it, which one running window
-    over the transcript's times finds: ends and starts of turns and the items sorted together.
+    ``pos`` tells the items of a key apart. ``span`` names an item's times; where the boolean column ``seeks`` is given, other items ride along without a speaker.
+
+    The turn of largest overlap counts, else the one of the smaller gap, and the smaller ``idx`` where these are equal.
+    Items and turns register in each time bucket they touch, so pairs that overlap or touch meet there, in one join;
+    what is far too long for buckets (a wrong end time) registers on a wider grid, where the others look it up. An item that
+    meets nothing takes the nearer of the latest end before it and the earliest start after it, which running
+    windows over the transcript's times find: turns and items sorted together.
     """
-    spread = lambda s, e: F.explode(F.sequence(F.floor(s / bucket).cast("long"), F.floor(F.greatest(s, e) / bucket).cast("long")))
     t = turns.select(F.col(key), F.col("idx").cast("long").alias("_idx"), F.col("start").alias("_s"), F.col("end").alias("_e"), F.col("speaker").alias("_sp"))
-    left = items.select(key, pos, "start", "end").withColumn("_b", spread(F.col("start"), F.col("end")))
-    right = t.withColumn("_b", spread(F.col("_s"), F.col("_e")))
-    o = C.overlap("start", "end", "_s", "_e")
-    over = left.join(right, [key, "_b"]).where(o > 0).groupBy(key, pos).agg(F.max_by("_sp", F.struct(o.alias("o"), (-F.col("_idx")).alias("i"))).alias("_by_overlap"))
-    rest = items.select(key, pos, "start", "end").join(over, [key, pos], "left_anti")
-
-    def nearest(edge: str, item_time: str, sign: int) -> DataFrame:
-        """For each item the turn whose ``edge`` comes last before ``item_time`` (``sign`` 1) or first after it (-1)."""
-        marks = t.select(key, (sign * F.col(edge)).alias("at"), F.lit(0).alias("kind"), F.struct((sign * F.col(edge)).alias("t"), (-F.col("_idx")).alias("i"), F.col("_sp").alias("sp")).alias("m"), F.lit(None).cast(items.schema[pos].dataType).alias(pos))
-        asks = rest.select(key, (sign * F.col(item_time)).alias("at"), F.lit(1).alias("kind"), F.lit(None).cast(marks.schema["m"].dataType).alias("m"), pos)
-        seen = Window.partitionBy(key).orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        return marks.unionByName(asks).withColumn("m", F.max("m").over(seen)).where("kind = 1 and m is not null").select(key, pos, F.struct((F.col("at") - F.col("m.t")).alias("g"), (-F.col("m.i")).alias("i"), F.col("m.sp").alias("sp")).alias("c"))
-
-    both = nearest("_e", "start", 1).unionByName(nearest("_s", "end", -1))
-    # gaps of touching turns count as 0; a turn that holds a zero-length item, or is one, has gap 0 as well
-    inside = left.join(right, [key, "_b"]).where((C.gap("start", "end", "_s", "_e") == 0) & (o == 0)).select(key, pos, F.struct(F.lit(0.0).alias("g"), F.col("_idx").alias("i"), F.col("_sp").alias("sp")).alias("c"))
-    gaps = both.unionByName(inside).groupBy(key, pos).agg(F.min("c")["sp"].alias("_by_gap"))
-    out = items.join(over, [key, pos], "left").join(gaps, [key, pos], "left")
-    return out.withColumn("speaker_id", F.coalesce("_by_overlap", "_by_gap")).drop("_by_overlap", "_by_gap")
+
+    def registered(rows: DataFrame, start: str, end: str, seeks: bool) -> DataFrame:
+        """Rows with each cell they meet others in. ``own``: whose own cell that is, an item's or a turn's."""
+        own, wider = _grids(F.col(start), F.col(end), bucket)
+        tagged = lambda cells, mine: F.transform(cells, lambda c: F.struct(F.lit(mine).alias("own"), c["l"].alias("l"), c["b"].alias("b")))
+        # a turn waits in its own cells for all items; an item on a wide grid waits there for turns on narrower ones
+        cells = F.concat(tagged(own, "turn"), tagged(wider, "turn"), tagged(F.filter(own, lambda c: c["l"] > 0), "item")) if seeks else F.concat(tagged(own, "turn"), tagged(wider, "item"))
+        return rows.withColumn("_c", F.explode_outer(cells)).select("*", "_c.own", "_c.l", "_c.b").drop("_c")
+
+    others = [c for c in items.columns if c not in (key, pos)]
+    seeking = F.lit(True) if seeks is None else F.col(seeks)
+    asking = items.select(key, pos, F.struct(*others).alias("_row"), F.when(seeking, F.col(span[0])).alias("_a"), F.when(seeking, F.col(span[1])).alias("_z"))
+    o = F.when(F.col("_s").isNotNull(), C.overlap("_a", "_z", "_s", "_e"))  # without a turn there is none: least and greatest pass over nulls
+    touches = (o == 0) & (C.gap("_a", "_z", "_s", "_e") == 0)  # gaps of touching turns count as 0, also of a turn that holds an item without length, or is one
+    # the items go through the join and come out of the aggregate whole, so that what made them runs once
+    met = registered(asking, "_a", "_z", True).join(registered(t, "_s", "_e", False), [key, "own", "l", "b"], "left").groupBy(key, pos).agg(
+        F.first("_row").alias("_row"),
+        F.max_by("_sp", F.when(o > 0, F.struct(o.alias("o"), (-F.col("_idx")).alias("i")))).alias("_by_overlap"), F.max(F.when(o > 0, 1)).alias("_over"),
+        F.min(F.when(touches, F.struct(F.lit(0.0).alias("g"), F.col("_idx").alias("i"), F.col("_sp").alias("sp")))).alias("_touch"))
+    known = met.select(key, pos, "_row.*", "_by_overlap", "_over", "_touch")
+
+    # one row a turn or item with the times that either search sorts by; a turn is a mark, an item asks
+    mark = lambda time, sign: F.struct((sign * F.col(time)).alias("t"), (-F.col("_idx")).alias("i"), F.col("_sp").alias("sp"))
+    marks = t.select(key, F.lit(0).alias("_kind"), F.col("_e").alias("_at1"), (-F.col("_s")).alias("_at2"), mark("_e", 1).alias("_m1"), mark("_s", -1).alias("_m2"))
+    asks = known.withColumns({"_kind": F.lit(1), "_at1": F.col(span[0]), "_at2": -F.col(span[1])})
+    both = asks.unionByName(marks, allowMissingColumns=True)
+
+    def before(n: str) -> Column:
+        w = Window.partitionBy(key).orderBy(f"_at{n}", "_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        m = F.max(f"_m{n}").over(w)
+        return F.when(m.isNotNull(), F.struct((F.col(f"_at{n}") - m["t"]).cast("double").alias("g"), (-m["i"]).alias("i"), m["sp"].alias("sp")))
+
+    found = both.withColumns({"_earlier": before("1"), "_later": before("2")}).where("_kind = 1")
+    nearest = F.least("_touch", "_earlier", "_later")["sp"]
+    speaker = F.when(F.col("_over").isNotNull(), F.col("_by_overlap")).otherwise(nearest)
+    return found.withColumn("speaker_id", F.when(F.col(seeks), speaker) if seeks else speaker).select(*items.columns, "speaker_id")
 
 
 def label(items: DataFrame) -> DataFrame:
@@ -48,11 +84,19 @@ def label(items: DataFrame) -> DataFrame:
     return items.withColumn("speaker", T.speaker_label("speaker_id")).drop("speaker_id")
 
 
-def by_granularity(segments: DataFrame, turns: DataFrame, key: str = "transcript_id") -> tuple[DataFrame, DataFrame]:
-    """Segments that are labelled whole (sentence times) and those whose words are labelled one by one (word times)."""
-    flagged = segments.join(real_word_timings(segments, key), key)
-    whole = flagged.where(~F.col("real_timings")).drop("real_timings")
-    return label(assign_speakers(whole.drop("speaker"), turns, key=key)), flagged.where("real_timings").drop("real_timings")
+def label_tokens(tokens: DataFrame, turns: DataFrame) -> DataFrame:
+    """Tokens (transcript_id, pos, start, end, speaker, head, whole_start, whole_end, ...) with the labels of ``turns``.
+
+    A token that stands for itself (``head``, no ``whole_start``) is matched by its own time. Of the tokens cut from one segment
+    the first (``head``) is matched by the segment's time, and the others take its label. Where nothing is found the
+    token's own speaker stays. Two granularities thus go through one assignment.
+    """
+    spans = {"_from": F.coalesce("whole_start", "start"), "_to": F.coalesce("whole_end", "end")}
+    found = assign_speakers(tokens.withColumns(spans), turns, span=("_from", "_to"), seeks="head")
+    since = Window.partitionBy("transcript_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # what a head found may be null, so it goes along in a struct
+    carried = F.last(F.when(F.col("head"), F.struct(T.speaker_label("speaker_id").alias("label"))), ignorenulls=True).over(since)["label"]
+    return found.withColumn("speaker", F.coalesce(carried, "speaker")).drop("speaker_id", "_from", "_to")
 
 
 def with_names(items: DataFrame, names: DataFrame, key: str = "source_id") -> DataFrame:

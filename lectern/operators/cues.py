@@ -24,6 +24,8 @@ MAX_CHARS, MAX_SECONDS, MAX_MERGED_SECONDS, LEAST_WORDS, MEMORY_WORDS = 78, 6.5,
 LONG_CHARS, CLAUSE_CHARS, CLAUSE_SECONDS = 24, 56, 4.5
 #: What the folds give for each token or cue.
 TOKEN = [("text", "string", pa.string()), ("start", "double", pa.float64()), ("end", "double", pa.float64()), ("speaker", "string", pa.string())]
+#: Of tokens cut from segments also whether a token is the first of its segment or stands for itself, and the segment's time unless it does.
+CUT = [("head", "boolean", pa.bool_()), ("whole_start", "double", pa.float64()), ("whole_end", "double", pa.float64())]
 
 
 def repeated_head(memory: list[str], words: list[str], least: int) -> int:
@@ -50,20 +52,38 @@ def segment_tokens(rows: Iterator[dict]) -> Iterator[tuple]:
         begin = left if said_until is None else max(left, said_until)
         span = end - begin if end - begin >= len(words) * LEAST_WORD - EPSILON else begin + len(words) * NOMINAL_WORD - begin
         total, done = sum(weights), 0.0
+        first = True
         for word, weight in zip(words, weights):
             at = begin + done * span
             done += weight / total
             said_until = begin + done * span
-            yield word, at, said_until, seg["speaker"]
+            yield word, at, said_until, seg["speaker"], first or seg["real"], seg["whole_start"], seg["whole_end"]
+            first = False
         memory = (memory + words)[-MEMORY_WORDS:]
 
 
 def tokens_from_segments(segments: DataFrame) -> DataFrame:
-    """Tokens of segments (transcript_id, pos, text, start, end, speaker); what a column can say of a segment, columns say."""
-    rows = segments.withColumns({"words": T.split_words("text"), "next": F.lead("start").over(tokens.win())}).where(F.size("words") > 0)
+    """Tokens of segments (transcript_id, pos, text, start, end, speaker); what a column can say of a segment, columns say.
+
+    Beside these columns they have ``head``, ``whole_start`` and ``whole_end`` for ``align.label_tokens``: where every segment of
+    a transcript is one word, times are word times and a token stands for itself; elsewhere its segment's time counts.
+    """
+    every = Window.partitionBy("transcript_id")
+    rows = segments.withColumns({"words": T.split_words("text"), "next": F.lead("start").over(tokens.win())})
+    rows = rows.withColumn("real", F.bool_and(T.word_count(T.clean("text")) == 1).over(every))
+    whole = {f"whole_{c}": F.when(~F.col("real"), F.col(c)) for c in ("start", "end")}
+    # a segment without words counts for the next start and for word times, but says nothing
+    rows = rows.withColumns(whole).where(F.size("words") > 0)
     rows = rows.withColumn("end", tokens.effective_end(F.col("start"), F.col("end"), F.col("next"), F.size("words")))
     rows = rows.withColumns({"weights": F.transform("words", T.char_weight), "overlaps": tokens.overlaps_before()})
-    return fold_rows(rows.select("transcript_id", "pos", "words", "weights", "start", "end", "overlaps", "speaker"), segment_tokens, TOKEN)
+    return fold_rows(rows.select("transcript_id", "pos", "words", "weights", "start", "end", "overlaps", "speaker", "real", *whole), segment_tokens, TOKEN + CUT)
+
+
+def overlap_cuts(segments: DataFrame) -> DataFrame:
+    """(transcript_id, given, kept, cut): words in the segments of each transcript, tokens made of them, and words cut as repetitions."""
+    given = segments.groupBy("transcript_id").agg(F.sum(F.size(T.split_words("text"))).alias("given"))
+    kept = tokens_from_segments(segments).groupBy("transcript_id").agg(F.count("*").alias("kept"))
+    return given.join(kept, "transcript_id").select("transcript_id", "given", "kept", (F.col("given") - F.col("kept")).alias("cut"))
 
 
 def cut_cues(rows: Iterator[dict]) -> Iterator[list]:
@@ -114,13 +134,20 @@ def merge_cues(cues: Iterator[list]) -> Iterator[list]:
 
 
 def cues_from_tokens(words: DataFrame) -> DataFrame:
-    """Cues (transcript_id, pos, text, start, end, speaker) of tokens in time order, with sentence casing and a final stop."""
+    """Cues (transcript_id, pos, text, start, end, speaker) of tokens in time order, with sentence casing and a final stop.
+
+    A cue always ends where the speaker changes, and none is merged across that. So each stretch of one speaker is an
+    island that is cut and merged by itself, in any task; numbers and casing follow by windows.
+    """
 
     def fold(rows: Iterator[dict]) -> Iterator[tuple]:
         for start, end, text, speaker in merge_cues(cut_cues(rows)):
             yield text, start, end, speaker
 
-    return sentence_case(fold_rows(words.select("transcript_id", "pos", "text", "start", "end", "speaker"), fold, TOKEN))
+    islands = tokens.speaker_runs(words.select("transcript_id", "pos", "text", "start", "end", "speaker"))
+    found = fold_rows(islands, fold, TOKEN, ["transcript_id", "run"])
+    place = F.row_number().over(Window.partitionBy("transcript_id").orderBy("run", "pos")) - 1
+    return sentence_case(found.withColumn("pos", place.cast("long")).drop("run"))
 
 
 def sentence_case(cues: DataFrame) -> DataFrame:
@@ -140,45 +167,36 @@ def consolidate(segments: DataFrame, words: DataFrame | None = None, turns: Data
 
     To be run once: cues fed back in lose words. Without word times, turns are matched per segment, not per word.
     """
-    base = segments if "speaker" in segments.columns else segments.withColumn("speaker", F.lit(None).cast("string"))
-    base = base.select("transcript_id", "pos", "text", "start", "end", "speaker")
-    parts = []
+    base = _speaking(segments)
     if words is not None:
-        spoken = words if "speaker" in words.columns else words.withColumn("speaker", F.lit(None).cast("string"))
-        fine = tokens.normalise_words(spoken)
-        parts.append(_labelled(fine, turns))
         base = base.join(words.select("transcript_id").distinct(), "transcript_id", "left_anti")
-    if turns is None:
-        parts.append(tokens_from_segments(base))
-    else:
-        whole, wordwise = align.by_granularity(base, turns)
-        kept = base.select("transcript_id", "pos", F.col("speaker").alias("_own"))
-        whole = whole.join(kept, ["transcript_id", "pos"]).withColumn("speaker", F.coalesce("speaker", "_own")).select(base.columns)
-        parts.append(tokens_from_segments(whole))
-        parts.append(_labelled(tokens_from_segments(wordwise.select(base.columns)), turns))
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    return cues_from_tokens(every)
-
-
-def _labelled(words: DataFrame, turns: DataFrame | None) -> DataFrame:
-    """Labels where the transcript has turns; elsewhere what the words carry."""
-    columns = ["transcript_id", "pos", "text", "start", "end", "speaker"]
-    if turns is None:
-        return words.select(columns)
-    has = turns.select("transcript_id").distinct().withColumn("_has", F.lit(True))
-    tagged = align.assign_speakers(words.withColumnRenamed("speaker", "_own"), turns).join(has, "transcript_id", "left")
-    return tagged.withColumn("speaker", F.when(F.col("_has"), T.speaker_label("speaker_id")).otherwise(F.col("_own"))).select(columns)
+    every = tokens_from_segments(base)
+    if words is not None:
+        every = every.unionByName(_standing(tokens.normalise_words(_speaking(words))))
+    return cues_from_tokens(every if turns is None else align.label_tokens(every, turns))
+
+
+def _speaking(rows: DataFrame) -> DataFrame:
+    speaking = rows if "speaker" in rows.columns else rows.withColumn("speaker", F.lit(None).cast("string"))
+    return speaking.select("transcript_id", "pos", "text", "start", "end", "speaker")
+
+
+def _standing(rows: DataFrame) -> DataFrame:
+    """Rows that stand for themselves when labels are given."""
+    none = F.lit(None).cast("double")
+    return rows.select("transcript_id", F.col("pos").cast("long").alias("pos"), "text", "start", "end", "speaker", F.lit(True).alias("head"), none.alias("whole_start"), none.alias("whole_end"))
 
 
 def rows_to_persist(chunks: DataFrame, words: DataFrame | None = None, turns: DataFrame | None = None, duration=None) -> DataFrame:
     """What is stored of a worker's result: one row a word where it has words, else its chunks."""
-    filled = tokens.chunk_segments(chunks, duration).withColumn("speaker", F.lit(None).cast("string"))
+    rows = _speaking(tokens.chunk_segments(chunks, duration))
     if words is not None:
-        filled = filled.join(words.select("transcript_id").distinct(), "transcript_id", "left_anti")
-    out = _labelled(filled.select("transcript_id", "pos", "text", "start", "end", "speaker"), turns)
-    return out if words is None else out.unionByName(_labelled(tokens.normalise_words(words), turns))
+        rest = rows.join(words.select("transcript_id").distinct(), "transcript_id", "left_anti")
+        rows = rest.unionByName(tokens.normalise_words(_speaking(words)))
+    if turns is not None:
+        found = align.assign_speakers(rows, turns)
+        rows = found.withColumn("speaker", F.coalesce(T.speaker_label("speaker_id"), "speaker")).drop("speaker_id")
+    return rows.select("transcript_id", "pos", "text", "start", "end", "speaker")
 
 
 def full_text(cues: DataFrame, fallback: DataFrame | None = None) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from itertools import groupby, islice
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -12,33 +13,36 @@ from pyspark.sql import DataFrame
 OUT_ROWS = 4096
 
 
-def in_order(rows: DataFrame, key: str, order: str) -> DataFrame:
+def in_order(rows: DataFrame, key: str | list[str], order: str) -> DataFrame:
     """Rows of one key in one partition, one after the other in their order; the sort spills where it must."""
-    return rows.repartition(key).sortWithinPartitions(key, order)
+    keys = [key] if isinstance(key, str) else key
+    return rows.repartition(*keys).sortWithinPartitions(*keys, order)
 
 
-def fold_rows(rows: DataFrame, fold: Callable[[Iterator[dict]], Iterator[tuple]], columns: list[tuple[str, str, pa.DataType]], key: str = "transcript_id", order: str = "pos") -> DataFrame:
-    """(key, place, *columns) of what ``fold`` yields from the rows of each key, which it reads one by one.
+def fold_rows(rows: DataFrame, fold: Callable[[Iterator[dict]], Iterator[tuple]], columns: list[tuple[str, str, pa.DataType]], key: str | list[str] = "transcript_id", order: str = "pos") -> DataFrame:
+    """(key columns, place, *columns) of what ``fold`` yields from the rows of each key, which it reads one by one.
 
     ``columns`` are (name, Spark type, Arrow type); ``place`` is named as ``order`` and counts from 0 in each key. Only
     a batch of rows and what the fold itself remembers are in memory, so a key may hold any share of all rows.
     """
-    names = [key, order, *[name for name, _, _ in columns]]
-    schema = ", ".join([f"{key} {rows.schema[key].dataType.simpleString()}", f"{order} long", *[f"{name} {kind}" for name, kind, _ in columns]])
+    keys = [key] if isinstance(key, str) else key
+    names = [*keys, order, *[name for name, _, _ in columns]]
+    schema = ", ".join([*[f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys], f"{order} long", *[f"{name} {kind}" for name, kind, _ in columns]])
+    of_keys = itemgetter(*keys) if len(keys) > 1 else lambda r: (r[keys[0]],)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = next(batches, None)
         if first is None:
             return
-        kinds = [first.schema.field(key).type, pa.int64(), *[kind for _, _, kind in columns]]
+        kinds = [*[first.schema.field(k).type for k in keys], pa.int64(), *[kind for _, _, kind in columns]]
 
         def records() -> Iterator[dict]:
             yield from first.to_pylist()
             for batch in batches:
                 yield from batch.to_pylist()
 
-        found = ((k, i, *row) for k, group in groupby(records(), lambda r: r[key]) for i, row in enumerate(fold(group)))
+        found = ((*k, i, *row) for k, group in groupby(records(), of_keys) for i, row in enumerate(fold(group)))
         while out := list(islice(found, OUT_ROWS)):
             yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out), kinds)], names)
 
-    return in_order(rows, key, order).mapInArrow(run, schema)
+    return in_order(rows, keys, order).mapInArrow(run, schema)

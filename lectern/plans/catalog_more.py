@@ -96,11 +96,6 @@ def usable_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("transcript_id", "pos", "start_ms", "k", F.round(end * 1000).cast("long").alias("usable_ms"))
 
 
-@query("select range k, range * 19.0::double as start, range * 19.0::double + 29.0 as \"end\" from range(50)")
-def decode_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.range(50).select(F.col("id").alias("k"), C.window_span("id").alias("w")).select("k", "w.*")
-
-
 @query(f"with {D.SEG} select transcript_id, count(*) n, case when transcript_id % 5 = 0 then 'cancelled' when transcript_id % 3 = 0 then 'degraded' else 'succeeded' end status, case when transcript_id % 5 <> 0 and transcript_id % 3 = 0 then 'crash' end reason, case when transcript_id % 5 <> 0 and transcript_id % 3 <> 0 then count(*) else -1 end turns from seg group by 1")
 def diarization_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("transcript_id")

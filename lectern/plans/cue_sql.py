@@ -1,13 +1,13 @@
-"""SQL that says what the cue folds say: recursive queries over segments, tokens and cues, written from the rules.
-
-Texts of the test data are in scripts with word spaces, so the rules for others are left out here.
-"""
+"""SQL that says what the cue folds say: recursive queries over segments, tokens and cues, written from the rules."""
 
 from __future__ import annotations
 
 SPACES = r"[\t\n\v\f\r \x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]+"
 ENDS = """'[.!?。！？…]["''”’)\\]]*$'"""
 CLAUSE = """'[,;:，、；：]["''”’)\\]]*$'"""
+CJK = r"\x{3000}-\x{303f}\x{3040}-\x{30ff}\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{f900}-\x{faff}\x{ff00}-\x{ffef}"
+NO_SPACE = r"\x{0e00}-\x{0e7f}\x{0e80}-\x{0eff}\x{1000}-\x{109f}" + CJK
+NO_LINE_START = "、，。．！？：；）〕】》」』〉’”…・"
 
 
 def clean(x: str) -> str:
@@ -20,19 +20,33 @@ def clean(x: str) -> str:
     return rf"""trim(regexp_replace(list_transform([{chars}], lambda l: array_to_string(list_transform(range(1, len(l) + 1), lambda i: case when {gap} then l[i] || ' ' else l[i] end), ''))[1], '\bi\b', 'I', 'g'))"""
 
 
+def spaceless(x: str, at: str = "^") -> str:
+    """Whether a text starts (or ends: ``at`` is $) with a character of a script without word spaces."""
+    return f"regexp_matches({x}, '{'^' if at == '^' else ''}[{NO_SPACE}]{'$' if at == '$' else ''}')"
+
+
 def wrap(x: str) -> str:
-    """Of a clean text the two lines of least overflow, without a lone word if possible, of best balance, the first of these."""
-    rank = """{'o': greatest(0, j - 43) + greatest(0, length(c) - j - 42), 'n': (not contains(left(c, j - 1), ' ') or not contains(substr(c, j + 1), ' '))::int, 'b': abs(j - 1 - (length(c) - j)), 'j': j}"""
-    best = f"list_min(list_transform(list_filter(range(2, length(c)), lambda j: c[j] = ' '), lambda j: {rank}))"
-    return f"""list_transform([{x}], lambda c: case when length(c) <= 42 or not contains(c, ' ') then c else list_transform([{best}], lambda b: left(c, b.j - 1) || chr(10) || substr(c, b.j + 1))[1] end)[1]"""
+    """Of a clean text the two lines of least overflow, without a lone word if possible, of best balance, the first of these.
+
+    A second line begins after a space, or between two characters of scripts without spaces, the latter not a closing mark.
+    """
+    first, second = "left(c, j - 1 - (c[j - 1] = ' ')::int)", "substr(c, j)"
+    able = f"c[j] <> ' ' and (c[j - 1] = ' ' or ({spaceless('c[j - 1]')} and {spaceless('c[j]')} and not contains('{NO_LINE_START}', c[j])))"
+    rank = f"""{{'o': greatest(0, length({first}) - 42) + greatest(0, length({second}) - 42), 'n': ({words_in(first)} = 1 or {words_in(second)} = 1)::int, 'b': abs(length({first}) - length({second})), 'j': j}}"""
+    best = f"list_min(list_transform(list_filter(range(2, length(c) + 1), lambda j: {able}), lambda j: {rank}))"
+    return f"""list_transform([{x}], lambda c: case when length(c) <= 42 then c else coalesce(list_transform([{best}], lambda b: case when b is not null then left(c, b.j - 1 - (c[b.j - 1] = ' ')::int) || chr(10) || substr(c, b.j) end)[1], c) end)[1]"""
 
 
 def joined(left: str, right: str) -> str:
-    return f"case when {left} = '' then {right} when {right} = '' then {left} else {left} || ' ' || {right} end"
+    return f"case when {left} = '' then {right} when {right} = '' then {left} when {spaceless(left, '$')} or {spaceless(right)} then {left} || {right} else {left} || ' ' || {right} end"
+
+
+def joined_all(texts: str) -> str:
+    return f"list_reduce({texts}, lambda a, b: {joined('a', 'b')})"
 
 
 def words_in(x: str) -> str:
-    return f"len(list_filter(regexp_split_to_array({x}, '{SPACES}'), lambda w: w <> ''))"
+    return f"(len(regexp_extract_all({x}, '[{NO_SPACE}]')) + len(list_filter(regexp_split_to_array(regexp_replace({x}, '[{NO_SPACE}]', ' ', 'g'), '{SPACES}'), lambda w: w <> '')))"
 
 
 def bare(ws: str) -> str:
@@ -82,6 +96,6 @@ merged(transcript_id, j, s, e, txt, speaker, opens) as (
     select *, short and length(joint) <= 78 and e - ms <= 8 runt from (
       select k.*, m.s ms, ({words_in("k.txt")} < 3 or k.e - k.s < 1.2) and m.speaker is not distinct from k.speaker short, {both} joint from merged m join c1 k on k.transcript_id = m.transcript_id and k.j = m.j + 1))),
 m0 as (select *, sum(opens) over (partition by transcript_id order by j rows unbounded preceding) g from merged),
-m1 as (select transcript_id, g - 1 pos, arg_max(s, j) s, arg_max(e, j) e, arg_max(txt, j) txt, any_value(speaker) speaker from m0 group by 1, 2),
+m1 as (select transcript_id, cast(g - 1 as bigint) pos, arg_max(s, j) s, arg_max(e, j) e, arg_max(txt, j) txt, any_value(speaker) speaker from m0 group by 1, 2),
 m2 as (select *, replace(txt, chr(10), ' ') flat, regexp_extract(txt, '^[^A-Za-z]*', 0) head, lead(pos) over w is null final, lag(replace(txt, chr(10), ' ')) over w before from m1 window w as (partition by transcript_id order by pos)),
-cue as (select transcript_id, pos, case when before is null or regexp_matches(before, {ENDS}) then head || upper(substr(txt, length(head) + 1, 1)) || substr(txt, length(head) + 2) else txt end || case when final and not regexp_matches(flat, {ENDS}) then '.' else '' end as text, s, e, speaker from m2)"""
+cue as (select transcript_id, pos, case when before is null or regexp_matches(before, {ENDS}) then head || upper(substr(txt, length(head) + 1, 1)) || substr(txt, length(head) + 2) else txt end || case when final and not regexp_matches(flat, {ENDS}) then case when regexp_matches(flat, '[{CJK}]$') then '。' when {spaceless('flat', '$')} then '' else '.' end else '' end as text, s, e, speaker from m2)"""

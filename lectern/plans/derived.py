@@ -27,6 +27,29 @@ SEG = """seg as (select *, start_ms + 60 * length(text) end_ms, case when (trans
     case role when 'user' then 0 when 'assistant' then 3 else 7 end speaker_id from conversations))"""
 
 
+LATIN, HAN, THAI = "abcdefghijklmnopqrstuvwxyz", "光合作用是植物利能的过程春夏秋冬山水火木金土日月星云", "กขคงจฉชซญดตถทธนบปผฝพฟภมยรล"
+
+
+def words_ms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of conversation turns: 60 ms a character. In every third transcript half of them are Han, in every seventh Thai."""
+    rows = segments_ms(spark, sf_dir).select("transcript_id", F.col("pos").alias("turn"), "start_ms", F.posexplode(T.split_words("text")).alias("i", "w"))
+    before = Window.partitionBy("transcript_id", "turn").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.col("start_ms") + 60 * (F.coalesce(F.sum(F.length("w")).over(before), F.lit(0)) + F.col("i"))
+    n = F.row_number().over(Window.partitionBy("transcript_id").orderBy("turn", "i")) - 1
+    rows = rows.select("transcript_id", n.cast("long").alias("pos"), "w", start.cast("long").alias("start"))
+    half = F.col("pos") % 4 < 2
+    text = F.when(half & (F.col("transcript_id") % 3 == 0), F.translate(F.lower("w"), LATIN, HAN)).when(half & (F.col("transcript_id") % 7 == 0), F.translate(F.lower("w"), LATIN, THAI)).otherwise(F.col("w"))
+    return rows.select("transcript_id", "pos", text.alias("text"), "start", (F.col("start") + 60 * F.length("w")).alias("end"))
+
+
+def words_sql(cleaned: str) -> str:
+    """``words`` (transcript_id, pos, text, s, e) in ms of ``cleaned`` (transcript_id, pos, c) and ``seg``."""
+    return f"""wt as (select transcript_id, pos turn, start_ms, list_filter(string_split(c, ' '), lambda x: x <> '') w from {cleaned} join seg using (transcript_id, pos)),
+wp as (select transcript_id, turn, i, w[i] w, start_ms + 60 * (coalesce(list_sum(list_transform(w[1:i - 1], lambda x: length(x))), 0)::bigint + i - 1) s from (select *, unnest(range(1, len(w) + 1)) i from wt)),
+wn as (select *, row_number() over (partition by transcript_id order by turn, i) - 1 pos from wp),
+words as (select transcript_id, pos, case when pos % 4 < 2 and transcript_id % 3 = 0 then translate(lower(w), '{LATIN}', '{HAN}') when pos % 4 < 2 and transcript_id % 7 = 0 then translate(lower(w), '{LATIN}', '{THAI}') else w end as text, s, s + 60 * length(w) e from wn)"""
+
+
 def turns_ms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Speaker turns: segments 250 ms later, without every fourth, so that some segments overlap none."""
     s = segments_ms(spark, sf_dir).where("pos % 4 <> 3")
