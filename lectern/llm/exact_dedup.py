@@ -137,7 +137,19 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, keep: str, digest, ind
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max") -> DataFrame:
-    """The rows of ``docs`` that stay, with their columns. A row goes for its own text: what else is stored under its id stays."""
+    """One row of ``docs`` for each text, with its columns; all rows of a null id.
+
+    A row goes for its own text: what else is stored under its id stays. Of rows that repeat the id that stays with an equal
+    text, any one stays.
+    """
     gone_id, gone_key = free_name(docs.columns, "drop_id"), free_name(docs.columns, "drop_key")
-    gone = _grouped(docs, id_col, text_col, keep, sha256_digest, None).where("id is not null and keep <> id").select(F.col("id").alias(gone_id), F.col("key").alias(gone_key)).distinct()
-    return docs.join(gone, (docs[id_col] == gone[gone_id]) & (text_key(docs[text_col]) == gone[gone_key]), "left_anti")
+    copied = durable(_grouped(docs, id_col, text_col, keep, sha256_digest, None).where("id is not null and size > 1"), "copied")
+    gone = copied.where("keep <> id").select(F.col("id").alias(gone_id), F.col("key").alias(gone_key)).distinct()
+    kept = docs.join(gone, (docs[id_col] == gone[gone_id]) & (text_key(docs[text_col]) == gone[gone_key]), "left_anti")
+    repeated = durable(copied.where("keep = id").groupBy("id", "sha").count().where("count > 1").select(F.col("id").alias(gone_id)).distinct(), "repeated-rows")
+    if repeated.isEmpty():
+        return kept
+    same = kept[id_col] == repeated[gone_id]
+    text = F.sha2(normalised(F.col(text_col)).cast("binary"), 256)
+    single = kept.join(repeated, same, "left_semi").withColumn(gone_key, text).dropDuplicates([id_col, gone_key]).drop(gone_key)
+    return kept.join(repeated, same, "left_anti").unionByName(single)

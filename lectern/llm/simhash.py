@@ -127,19 +127,6 @@ def grouped(rows: DataFrame) -> DataFrame:
     return marked.where("often_id is not null").withColumnRenamed("often_id", "component_id").unionByName(rare)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fingerprint, component_id) for every row of ``docs``.
-
-    Words are runs of anything but ASCII white space after lower-casing A-Z; shingles of three words are hashed
-    with XXH64 (seed 42), repeats included; shorter texts hash their whole sequence, texts without words have
-    fingerprint zero and link like any other. Fingerprints link at two or fewer differing bits; component_id is the
-    smallest id reachable. Rows with a null id get their fingerprint and a null component_id and link nothing.
-    Rows that repeat an id each keep a row; with other texts they go their own ways. Other columns are ignored.
-    """
-    fingerprint = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
-    return grouped(docs, id_col, text_col).select(F.col("id").alias(id_col), fingerprint, F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"))
-
-
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fingerprint, component_id) for every row of ``docs``.
 
@@ -170,15 +157,18 @@ def drop_similar_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Documents link if their fingerprints do, or if the Jaccard similarity of their sets of five-word shingles is 0.8 or
     more; groups are what links connect. Fingerprints alone cannot find the latter: such pairs differ in up to a
-    fifth of the bits, where the grid no longer tells near from far, so ``similar`` finds them exactly. Rows with a
-    null id stay, as do all rows of an id that is stored with several texts.
+    fifth of the bits, where the grid no longer tells near from far, so ``similar`` finds them exactly. A document is an id
+    with one of its texts, so rows that repeat an id go or stay each for its own text; rows that repeat both are one
+    document and stay together. Rows with a null id stay.
     """
-    rows = durable(fingerprints(docs, id_col, text_col).where("id is not null"), "fingerprints")
-    several = durable(rows.groupBy("id").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low <> high").select("id"), "repeated-ids")
-    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    if not several.isEmpty():
-        rows, texts = (t.join(several, "id", "left_anti") for t in (rows, texts))
-    near = grouped(rows).where("component_id <> id").select(F.col("id").alias("u"), F.col("component_id").alias("v"))
-    spare = free_name(docs.columns, "drop_id")
-    gone = components(near.unionByName(similar.links(texts))).where("component <> node").select(F.col("node").alias(spare)).distinct()
-    return docs.join(gone, docs[id_col] == gone[spare], "left_anti")
+    node = lambda i, key: F.xxhash64(i, key, F.lit(31))
+    rows = durable(fingerprints(docs, id_col, text_col).where("id is not null").withColumn("node", node(F.col("id"), F.col("key"))), "fingerprints")
+    key = text_key(F.col(text_col))
+    texts = docs.where(F.col(id_col).isNotNull()).select(node(F.col(id_col).cast("long"), key).alias("id"), F.col(text_col).alias("text"))
+    near = grouped(rows.select(F.col("node").alias("id"), "key", "fp")).where("component_id <> id").select(F.col("id").alias("u"), F.col("component_id").alias("v"))
+    linked = components(near.unionByName(similar.links(texts)))
+    placed = durable(linked.join(rows.select("node", "id", "key").distinct(), "node"), "placed-documents")
+    lowest = placed.groupBy("component").agg(F.min(F.struct("id", "key"))["id"].alias("lowest"), F.min(F.struct("id", "key"))["key"].alias("lowest_key"))
+    gone_id, gone_key = free_name(docs.columns, "drop_id"), free_name(docs.columns, "drop_key")
+    gone = placed.join(lowest, "component").where("id <> lowest or key <> lowest_key").select(F.col("id").alias(gone_id), F.col("key").alias(gone_key)).distinct()
+    return docs.join(gone, (docs[id_col] == gone[gone_id]) & (text_key(docs[text_col]) == gone[gone_key]), "left_anti")

@@ -8,7 +8,11 @@ documents shows to be frequent last, which keeps common lines out of the prefixe
 Many documents may share a shingle without being similar. Each such group has a pivot, its smallest set, with which all
 others are compared. Two sets that share no shingle beyond the pivot's are similar only if both are similar to the pivot, as
 it is no larger than they are: then they are connected already. So what is left to find in a crowded group shares a
-shingle that the pivot lacks, and is met by the same join on prefixes of what the sets have beyond it, and so on.
+shingle that the pivot lacks, and is met by the same join on prefixes of what the sets have beyond it, and so on until no
+crowd is left. Every step compares each member with its pivot alone and leaves the pivot behind.
+
+Only sizes and prefixes of the sets are stored; whole sets are made again from the texts of those few documents whose
+prefixes leave it open whether they are similar.
 """
 
 from __future__ import annotations
@@ -26,8 +30,10 @@ SIMILAR = (4, 5)
 #: One in so many documents is counted to order the shingles, by buckets of their hashes.
 COUNTED, BUCKETS = 8, 1 << 16
 SPACE = " \t\n\x0b\f\r"
-#: Documents outside its largest part with which a group is compared pair by pair, and how often fuller groups go on beyond their pivots.
-GROUP_LIMIT, STEPS = 32, 2
+#: Up to so many documents outside its largest part a group is compared pair by pair; a fuller one goes on beyond its pivot.
+GROUP_LIMIT = 32
+#: Up to so many ids are broadcast to pick their texts (16 MB); more are joined.
+BROADCAST_IDS = 1 << 20
 
 
 def shingles(text: Column) -> Column:
@@ -58,13 +64,17 @@ def least_shared(n_u: Column, n_v: Column) -> Column:
     return F.ceil((n_u + n_v) * SIMILAR[0] / sum(SIMILAR)).cast("int")
 
 
-def prefixes(rows: DataFrame, levels: list[int]) -> DataFrame:
-    """(id, n, prefix, set) of (id, text): the number of shingles, the first of them and all of them in the common order."""
+def sets(rows: DataFrame, levels: list[int]) -> DataFrame:
+    """(id, n, set) of (id, text): the number of shingles, and all of them in the common order."""
     level = F.split(F.lit(",".join(map(str, levels))), ",").cast("array<int>")
     ranked = F.sort_array(F.transform("s", lambda h: F.shiftleft(F.get(level, bucket(h)).cast("long"), 56).bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1)))))
-    least = F.ceil(F.size("set") * SIMILAR[0] / SIMILAR[1]).cast("int")
-    found = rows.select("id", shingles(F.col("text")).alias("s")).select("id", ranked.alias("set"))
-    return found.select("id", F.size("set").alias("n"), F.slice("set", F.lit(1), F.size("set") - least + 1).alias("prefix"), "set")
+    return rows.select("id", shingles(F.col("text")).alias("s")).select("id", F.size("s").alias("n"), ranked.alias("set"))
+
+
+def prefixes(found: DataFrame) -> DataFrame:
+    """(id, n, prefix) of ``sets``."""
+    least = F.ceil(F.col("n") * SIMILAR[0] / SIMILAR[1]).cast("int")
+    return found.select("id", "n", F.slice("set", F.lit(1), F.col("n") - least + 1).alias("prefix"))
 
 
 class Scratch:
@@ -83,40 +93,57 @@ class Scratch:
         self.tables.clear()
 
 
-def verified(pairs: DataFrame, kept: DataFrame) -> DataFrame:
-    """Those of ``pairs`` (u, v) whose sets in ``kept`` are similar enough; sizes and prefixes rule most others out.
+class Texts:
+    """``rows`` (id, text) whose sets are made when they are asked for."""
+
+    def __init__(self, rows: DataFrame):
+        self.rows, self.levels = rows, frequent(rows)
+        self.kept = durable(prefixes(sets(rows, self.levels)), "prefixes")
+
+    def sets(self, ids: DataFrame) -> DataFrame:
+        """(id, set) of ``ids`` (id, distinct)."""
+        picked = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+        return sets(self.rows.join(picked, "id", "left_semi"), self.levels).select("id", "set").dropDuplicates(["id"])
+
+
+def ids_of(pairs: DataFrame, *sides: str) -> DataFrame:
+    return pairs.select(F.explode(F.array(*sides)).alias("id")).distinct()
+
+
+def verified(pairs: DataFrame, texts: Texts) -> DataFrame:
+    """Those of ``pairs`` (u, v) whose sets are similar enough; sizes and prefixes rule most others out.
 
     What two sets share up to the end of the prefix that ends first is in both prefixes; beyond it they share no more
     than what that set has left.
     """
     scratch = Scratch()
-    named = lambda side, *extra: kept.select(F.col("id").alias(side), F.col("n").alias(f"n_{side}"), *[F.col(c).alias(f"{c}_{side}") for c in extra])
-    least, most = F.least("n_u", "n_v"), F.greatest("n_u", "n_v")
-    sized = pairs.distinct().join(named("u"), "u").join(named("v"), "v").where(least * SIMILAR[1] >= most * SIMILAR[0]).select("u", "v")
-    both = scratch.keep(sized, "sized").join(named("u", "prefix"), "u").join(named("v", "prefix"), "v")
+    named = lambda side, *extra: texts.kept.select(F.col("id").alias(side), F.col("n").alias(f"n_{side}"), *[F.col(c).alias(f"{c}_{side}") for c in extra])
+    both = pairs.distinct().join(named("u", "prefix"), "u").join(named("v", "prefix"), "v").where(F.least("n_u", "n_v") * SIMILAR[1] >= F.greatest("n_u", "n_v") * SIMILAR[0])
     last_u, last_v = F.element_at("prefix_u", -1), F.element_at("prefix_v", -1)
     rest_u, rest_v = F.col("n_u") - F.size("prefix_u"), F.col("n_v") - F.size("prefix_v")
     rest = F.when(last_u < last_v, rest_u).when(last_u > last_v, rest_v).otherwise(F.least(rest_u, rest_v))
     enough = F.size(F.array_intersect("prefix_u", "prefix_v")) + rest >= least_shared(F.col("n_u"), F.col("n_v"))
-    whole = scratch.keep(both.where(enough).select("u", "v"), "candidates").join(named("u", "set"), "u").join(named("v", "set"), "v")
+    open_ = scratch.keep(both.where(enough).select("u", "v", "n_u", "n_v"), "candidates")
+    held = scratch.keep(texts.sets(scratch.keep(ids_of(open_, "u", "v"), "candidate-ids")), "candidate-sets")
+    whole = open_.join(held.select(F.col("id").alias("u"), F.col("set").alias("set_u")), "u").join(held.select(F.col("id").alias("v"), F.col("set").alias("set_v")), "v")
     similar = whole.where(F.size(F.array_intersect("set_u", "set_v")) >= least_shared(F.col("n_u"), F.col("n_v")))
     out = durable(similar.select("u", "v"), "similar")
     scratch.clear()
     return out
 
 
-def beyond_pivots(crowd: DataFrame, kept: DataFrame) -> DataFrame:
-    """(s, at, id, n) of ``crowd`` (pivot, id, n): postings of what each set has beyond its pivot, as far as a similar pair has to meet.
+def beyond_pivots(crowd: DataFrame, texts: Texts, scratch: Scratch) -> DataFrame:
+    """(s, id, n) of ``crowd`` (pivot, id, n): postings of what each set has beyond its pivot, as far as a similar pair has to meet.
 
     Such a pair shares at least what sets of its sizes have to share, less what either shares with the pivot.
     """
-    own = kept.select("id", "set")
-    pivots = kept.select(F.col("id").alias("pivot"), F.col("n").alias("n_pivot"), F.col("set").alias("of_pivot"))
-    both = crowd.join(own, "id").join(pivots, "pivot").withColumn("beyond", F.array_except("set", "of_pivot"))
+    held = scratch.keep(texts.sets(scratch.keep(ids_of(crowd, "id", "pivot"), "crowd-ids")).withColumn("n", F.size("set")), "crowd-sets")
+    pivots = held.select(F.col("id").alias("pivot"), F.col("n").alias("n_pivot"), F.col("set").alias("of_pivot"))
+    both = crowd.join(held.select("id", "set"), "id").join(pivots, "pivot").withColumn("beyond", F.array_except("set", "of_pivot"))
     smallest = F.greatest(F.ceil(F.col("n") * SIMILAR[0] / SIMILAR[1]).cast("int"), F.col("n_pivot"))
     need = F.greatest(F.lit(1), least_shared(F.col("n"), smallest) - (F.col("n") - F.size("beyond")))
     reach = F.greatest(F.lit(0), F.size("beyond") - need + 1)
-    first = both.select("pivot", "id", "n", F.posexplode(F.slice("beyond", F.lit(1), reach)).alias("at", "e"))
+    first = both.select("pivot", "id", "n", F.explode(F.slice("beyond", F.lit(1), reach)).alias("e"))
     return first.select(F.xxhash64("pivot", "e").alias("s"), "id", "n")
 
 
@@ -124,38 +151,43 @@ def links(rows: DataFrame) -> DataFrame:
     """Edges (u, v) that connect what all similar pairs of ``rows`` (id, text) connect.
 
     Groups with up to ``GROUP_LIMIT`` documents outside their largest connected part compare pair by pair what is not
-    connected. Others go on beyond their pivots; every step leaves the pivots behind, and after ``STEPS`` of them pairs
-    are compared however many there are.
+    connected. Others go on beyond their pivots, as often as it takes.
     """
-    kept = durable(prefixes(rows, frequent(rows)), "prefixes")
-    scratch = Scratch()
-    postings = kept.select(F.explode("prefix").alias("s"), "id", "n")
+    texts, scratch = Texts(rows), Scratch()
+    postings = texts.kept.select(F.explode("prefix").alias("s"), "id", "n")
     edges: DataFrame | None = None
-    for step in range(STEPS + 1):
+    while True:
         smallest = F.min(F.struct("n", "id"))["id"]
         groups = postings.groupBy("s").agg(smallest.alias("pivot"), F.count("*").alias("held")).where("held > 1")
         members = scratch.keep(postings.join(scratch.keep(groups, "groups"), "s"), "members")
         star = members.where("id <> pivot").select(F.col("id").alias("u"), F.col("pivot").alias("v"))
-        near = verified(star, kept)
-        edges = near if edges is None else durable(edges.unionByName(near), "links")
+        near = verified(star, texts)
+        edges = near if edges is None else _joined(edges, near)
         # groups whose members are connected have nothing left to find, nor have members that are connected to all others
-        placed = members.where("id <> pivot and held > 2").join(components(edges).withColumnRenamed("node", "id"), "id", "left").select("s", "id", "n", "pivot", "held", F.coalesce("component", "id").alias("part"))
+        placed = members.where("id <> pivot and held > 2").join(components(edges).withColumnRenamed("node", "id"), "id", "left").select("s", "id", "n", "pivot", F.coalesce("component", "id").alias("part"))
         placed = scratch.keep(placed, "placed")
         parts = placed.groupBy("s", "part").agg(F.count("*").alias("size")).groupBy("s").agg(F.sum("size").alias("whole"), F.max("size").alias("largest"))
         live = scratch.keep(placed.join(parts.where("whole > largest"), "s").withColumn("others", F.col("whole") - F.col("largest")), "apart")
-        crowded = F.lit(step < STEPS) & (F.col("others") > GROUP_LIMIT)
+        crowded = F.col("others") > GROUP_LIMIT
         a, b = (live.where(~crowded).select("s", *[F.col(c).alias(f"{c}_{side}") for c in ("id", "n", "part")]) for side in "ab")
         small, large = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
         fits = (F.col("id_a") > F.col("id_b")) & (F.col("part_a") != F.col("part_b")) & (small * SIMILAR[1] >= large * SIMILAR[0])
         pairs = a.join(b, "s").where(fits).select(F.col("id_a").alias("u"), F.col("id_b").alias("v"))
-        edges = durable(edges.unionByName(verified(pairs, kept)), "links")
+        edges = _joined(edges, verified(pairs, texts))
         crowd = scratch.keep(live.where(crowded).select("pivot", "id", "n").distinct(), "crowd")
         if crowd.isEmpty():
             break
-        new = durable(beyond_pivots(crowd, kept), "postings")
+        new = durable(beyond_pivots(crowd, texts, scratch), "postings")
         scratch.clear()
         scratch.tables.append(new)
         postings = new
     scratch.clear()
-    discard(kept)
+    discard(texts.kept)
     return edges
+
+
+def _joined(edges: DataFrame, more: DataFrame) -> DataFrame:
+    out = durable(edges.unionByName(more), "links")
+    discard(edges)
+    discard(more)
+    return out

@@ -5,7 +5,7 @@ import random
 import pytest
 from test_brute_force import one_of_each
 
-from lectern.llm import simhash, similar
+from lectern.llm import exact_dedup, simhash, similar
 
 
 @pytest.mark.parametrize("limit", [32, 3])
@@ -26,3 +26,32 @@ def test_crowds_chains_and_odd_texts(spark, line, limit, monkeypatch):
     got = simhash.drop_similar_copies(spark.createDataFrame([*texts.items(), (None, "two words")], "doc_id long, text string"))
     assert sorted(r["doc_id"] for r in got.where("doc_id is not null").collect()) == one_of_each(texts)
     assert got.where("doc_id is null").count() == 1 and simhash.drop_similar_copies(got.limit(0)).count() == 0
+
+
+def test_repeated_ids_lose_no_link(spark):
+    base = " ".join(f"word{i}" for i in range(60))
+    near, nearer = base.replace("word30 ", "other "), base.replace("word30 ", "other ").replace("word50", "third")
+    rows = [(1, base), (2, base), (2, "something else that is said by nobody but this one text"), (3, near), (4, nearer), (4, "alone in all respects and ways"), (4, "alone in all respects and ways")]
+    got = sorted(map(tuple, simhash.drop_similar_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert got == sorted([rows[0], rows[2], rows[5], rows[6]])
+
+
+def test_rows_that_repeat_both_id_and_text_are_one_document(spark):
+    rows = [(4, "", 1), (4, "", 2), (4, "x y", 3), (5, "X y", 4), (5, "x Y", 5), (None, "x y", 6), (None, "x y", 7), (6, None, 8)]
+    got = exact_dedup.drop_exact_copies(spark.createDataFrame(rows, "doc_id long, text string, drop_id int"))
+    assert got.columns == ["doc_id", "text", "drop_id"]
+    assert sorted((r["doc_id"], (r["text"] or "").lower()) for r in got.where("doc_id is not null").collect()) == [(5, "x y"), (6, "")]
+    assert got.where("doc_id is null").count() == 2
+
+
+def test_crowds_end_without_pairs_of_all_their_members(spark, monkeypatch):
+    """A passage in every text, and a second one in half of them: groups go on beyond their pivots until none is crowded."""
+    monkeypatch.setattr(similar, "GROUP_LIMIT", 4)
+    rng = random.Random(5)
+    first, second = ([f"{c}{i}" for i in range(40)] for c in "pq")
+    seen, plain = [], similar.verified
+    monkeypatch.setattr(similar, "verified", lambda pairs, texts: seen.append(pairs.count()) or plain(pairs, texts))
+    texts = {i: " ".join([*first, *(second if i % 2 else []), *[f"own{rng.randrange(10**9)}" for _ in range(12)]]) for i in range(120)}
+    got = simhash.drop_similar_copies(spark.createDataFrame([*texts.items()], "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in got.collect()) == one_of_each(texts)
+    assert max(seen) < 120 * 119 / 2
