@@ -59,7 +59,8 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.placements(sharding.shard_table(table(spark, sf_dir, "documents"), scratch_path(spark, "shards")))
+    store, merges = sharding.shard_table(table(spark, sf_dir, "documents"), scratch_path(spark, "shards"))
+    return sharding.placements(store, merges)
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 import math
+import time
 import uuid
 
 from py4j.protocol import Py4JJavaError
@@ -21,6 +22,10 @@ from pyspark.sql.types import StructType
 TARGET_BYTES = 128 << 20
 #: So many runs of a tier are merged; a tier holds runs within this factor of size, from ``BASE_BYTES`` up.
 FANOUT, BASE_BYTES = 4, 1 << 20
+#: A pointer that stays empty for so many seconds is of a writer that died between creating and filling it.
+DEAD_SECONDS = 60.0
+#: A table that arrives at once is taken as so many arrivals, and cut into so many files of the target size at least, none larger than ``TARGET_BYTES`` nor, as far as possible, smaller than ``LEAST_BYTES``.
+ARRIVALS, LEAST_FILES, LEAST_BYTES = 8, 3, 1 << 17
 
 
 class ShardStore:
@@ -60,14 +65,26 @@ class ShardStore:
         version = base + 1
         path = f"{self.root}/manifests/{version:010d}-{uuid.uuid4().hex}"
         entries.write.parquet(path)
+        body = bytearray(json.dumps({"manifest": path, "runs": runs, "schema": json.loads(schema.json())}).encode())
+        pointer = self._path(f"{self.root}/versions/{version:010d}")
         try:
-            out = self.fs.create(self._path(f"{self.root}/versions/{version:010d}"), False)
+            out = self.fs.create(pointer, False)
         except Py4JJavaError as e:
-            raise RuntimeError(f"version {version} was committed by another writer") from e
-        out.write(bytearray(json.dumps({"manifest": path, "runs": runs, "schema": json.loads(schema.json())}).encode()))
+            if not self._dead(pointer):
+                raise RuntimeError(f"version {version} was committed by another writer") from e
+            self.fs.delete(pointer, False)
+            out = self.fs.create(pointer, False)
+        out.write(body)
         out.close()
         return version
 
+    def _dead(self, pointer) -> bool:
+        """Whether the writer of a pointer died before it filled it: others take its version over."""
+        if not self.fs.exists(pointer):
+            return False
+        found = self.fs.getFileStatus(pointer)
+        return found.getLen() == 0 and time.time() - found.getModificationTime() / 1000 >= DEAD_SECONDS
+
     def _entries(self, folder: str, schema: StructType, id_col: str) -> DataFrame:
         """One row for each shard file of ``folder`` that has rows, with the run it is in."""
         meta = F.col("_metadata")
@@ -92,15 +109,17 @@ class ShardStore:
         runs = self._pointer(found[-1])["runs"] if found else []
         return self._commit(new if old is None else old.unionByName(new), docs.schema, found[-1] if found else 0, runs + self._run(folder, new))
 
-    def compact(self, id_col: str = "doc_id") -> int:
+    def compact(self, id_col: str = "doc_id") -> list[dict]:
         """Merge tier by tier until none has ``fanout`` runs of shards below the target; each round commits a version.
 
-        Runs whose shards are of half the target or more on average are done. A store without a version stays so (0).
+        Runs whose shards are of half the target or more on average are done. Returns for each merge the version that it
+        committed, the tier, and how many runs and shards went in and came out; a store without a version stays so.
         """
+        merges: list[dict] = []
         while True:
             found = self.versions()
             if not found:
-                return 0
+                return merges
             pointer = self._pointer(found[-1])
             schema = StructType.fromJson(pointer["schema"])
             tiers: dict[int, list[dict]] = {}
@@ -109,7 +128,7 @@ class ShardStore:
                     tiers.setdefault(run["tier"], []).append(run)
             due = min((t for t, runs in tiers.items() if len(runs) >= self.fanout or len(runs) > 1 and sum(r["bytes"] for r in runs) >= self.target), default=None)
             if due is None:
-                return found[-1]
+                return merges
             merged = [r["path"] for r in tiers[due]]
             files = max(1, -(-sum(r["bytes"] for r in tiers[due]) // self.target))
             folder = f"{self.root}/data/{uuid.uuid4().hex}"
@@ -117,8 +136,10 @@ class ShardStore:
             new = self._entries(folder, schema, id_col)
             kept = self.manifest(found[-1]).where(~F.col("run").isin(merged))
             # a merged run counts as one tier up at least, so every round makes progress
-            runs = [r for r in pointer["runs"] if r["path"] not in merged] + self._run(folder, new, due + 1)
-            self._commit(kept.unionByName(new), schema, found[-1], runs)
+            made = self._run(folder, new, due + 1)
+            runs = [r for r in pointer["runs"] if r["path"] not in merged] + made
+            version = self._commit(kept.unionByName(new), schema, found[-1], runs)
+            merges.append({"version": version, "tier": due, "runs_in": len(merged), "shards_in": sum(r["shards"] for r in tiers[due]), "shards_out": sum(r["shards"] for r in made)})
 
     def read(self, version: int | None = None) -> DataFrame | None:
         """The documents of a version, by default the last; None without any."""
@@ -149,26 +170,36 @@ class ShardStore:
         return len(gone)
 
 
-def shard_table(docs: DataFrame, root: str, arrivals: int = 3, target_bytes: int = TARGET_BYTES, id_col: str = "doc_id") -> ShardStore:
-    """Append ``docs`` in ``arrivals`` batches, decided by the id, and compact. Every row is stored once, whatever it holds; null ids come first."""
-    store = ShardStore(docs.sparkSession, root, target_bytes)
+def shard_table(docs: DataFrame, root: str, arrivals: int = ARRIVALS, target_bytes: int | None = None, id_col: str = "doc_id") -> tuple[ShardStore, list[dict]]:
+    """A store of ``docs``, which come in ``arrivals`` appends (by a hash of the id), and the merges it took.
+
+    Compaction follows each append and frees what it replaced. Without ``target_bytes`` the target follows from the size of
+    the first arrival. Every row is stored once, whatever it holds; null ids come first.
+    """
+    store = ShardStore(docs.sparkSession, root, target_bytes or TARGET_BYTES)
     part = F.coalesce(F.pmod(F.xxhash64(id_col), F.lit(arrivals)), F.lit(0))
+    merges: list[dict] = []
     for k in range(arrivals):
-        store.append(docs.where(part == k), id_col)
-    store.compact(id_col)
-    store.vacuum()
-    return store
+        version = store.append(docs.where(part == k), id_col)
+        if k == 0 and not target_bytes:
+            size = arrivals * sum(r["bytes"] for r in store._pointer(version)["runs"])
+            store.target = min(TARGET_BYTES, max(LEAST_BYTES, size // LEAST_FILES))
+        merges += store.compact(id_col)
+        store.vacuum()
+    return store, merges
 
 
-def placements(store: ShardStore, id_col: str = "doc_id") -> DataFrame | None:
-    """For each stored document its shard (named by its smallest id), the shard's rows, bytes and tier, and the version; None without one."""
+def placements(store: ShardStore, merges: list[dict] | None = None, id_col: str = "doc_id") -> DataFrame | None:
+    """For each stored document its shard (named by its smallest id), the shard's rows, bytes and tier, the version, and of how many ``merges`` and merged shards it is the result; None without one."""
     found = store.versions()
     if not found:
         return None
+    merges = merges or []
     docs, runs = store.read(found[-1]), store._pointer(found[-1])["runs"]
     tiers = store.spark.createDataFrame([(r["path"], r["tier"]) for r in runs], "run string, tier int")
     info = store.manifest(found[-1]).join(F.broadcast(tiers), "run").select("path", F.col("min_id").alias("shard"), F.col("rows").alias("shard_rows"), F.col("bytes").alias("shard_bytes"), "tier")
+    state = [F.lit(found[-1]).alias("version"), F.lit(len(runs)).alias("runs"), F.lit(len(merges)).alias("merges"), F.lit(sum(m["shards_in"] for m in merges)).cast("long").alias("merged_shards")]
     if not runs:  # an empty table has no shards
         none = [F.lit(None).cast(f.dataType).alias(f.name) for f in info.schema.fields if f.name != "path"]
-        return docs.select(id_col, *none, F.lit(found[-1]).alias("version"))
-    return docs.select(id_col, F.col("_metadata.file_path").alias("path")).join(info, "path").drop("path").withColumn("version", F.lit(found[-1]))
+        return docs.select(id_col, *none, *state)
+    return docs.select(id_col, F.col("_metadata.file_path").alias("path")).join(info, "path").drop("path").select("*", *state)

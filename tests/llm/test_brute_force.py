@@ -256,9 +256,50 @@ def test_shards_keep_every_row_through_versions(spark, tmp_path):
     assert sorted(t.exception() is None for t in tries) == [False, True] and store.versions()[-1] == last + 1
 
 
+def test_query_of_sharding_merges_tiers_into_files_near_the_target(spark):
+    rows = queries.op6_sharding(spark, SF).collect()
+    assert sorted(r["doc_id"] for r in rows) == sorted(texts(spark))
+    assert {(r["merges"] >= 2, r["runs"] <= sharding.ARRIVALS / 2, r["version"] == sharding.ARRIVALS + r["merges"]) for r in rows} == {(True, True, True)}
+    shards = {}
+    for r in rows:
+        shards.setdefault(r["shard"], []).append(r)
+    assert all(len(held) == held[0]["shard_rows"] and min(r["doc_id"] for r in held) == shard for shard, held in shards.items())
+    sizes = sorted(held[0]["shard_bytes"] for held in shards.values())
+    assert 2 <= len(sizes) < rows[0]["merged_shards"] and max(sizes) < 3 * sum(sizes) / sharding.LEAST_FILES
+    assert {r["tier"] for r in rows} != {0}
+
+
+def test_tiers_merge_as_the_rule_says(spark, tmp_path):
+    """Equal arrivals: every fourth merges its tier, and the runs are always those of the counter in base 4."""
+    docs = spark.range(64 * 17).select(F.col("id").alias("doc_id"), F.sha2(F.col("id").cast("string").cast("binary"), 512).alias("text"))
+    store = sharding.ShardStore(spark, f"file://{tmp_path}/s", target_bytes=1 << 40)
+    for k in range(17):
+        store.append(docs.where(F.col("doc_id") % 17 == k).coalesce(1))
+        merges = store.compact()
+        digits, n = 0, k + 1
+        while n:
+            digits, n = digits + n % 4, n // 4
+        runs = store._pointer(store.versions()[-1])["runs"]
+        assert len(runs) == digits and len(merges) == (0 if (k + 1) % 4 else 1 if (k + 1) % 16 else 2)
+        assert all(m["runs_in"] == 4 for m in merges)
+    assert sorted(r["doc_id"] for r in store.read().collect()) == list(range(64 * 17))
+
+
+def test_a_writer_that_died_before_it_filled_its_pointer_blocks_nobody(spark, tmp_path, monkeypatch):
+    docs = spark.range(10).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
+    store = sharding.ShardStore(spark, f"file://{tmp_path}/s")
+    assert store.append(docs) == 1
+    store.fs.create(store._path(f"file://{tmp_path}/s/versions/0000000002"), False).close()
+    assert store.versions() == [1] and store.read().count() == 10
+    with pytest.raises(RuntimeError):  # it may still be at work
+        store.append(docs)
+    monkeypatch.setattr(sharding, "DEAD_SECONDS", 0.0)
+    assert store.append(docs) == 2 and store.versions() == [1, 2] and store.read().count() == 20
+
+
 def test_store_without_a_version(spark, tmp_path):
     store = sharding.ShardStore(spark, f"file://{tmp_path}/none")
-    assert store.compact() == 0 and store.read() is None and store.manifest() is None and store.vacuum() == 0 and sharding.placements(store) is None
+    assert store.compact() == [] and store.read() is None and store.manifest() is None and store.vacuum() == 0 and sharding.placements(store) is None
 
 
 def test_pipeline_stages(spark):

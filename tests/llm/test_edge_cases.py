@@ -123,9 +123,9 @@ def test_bpe_and_counts(docs, crowded):
 
 def test_sharding(docs, crowded, tmp_path):
     for name, d in (("a", docs), ("b", crowded)):
-        store = sharding.shard_table(d, f"file://{tmp_path}/{name}")
+        store, _ = sharding.shard_table(d, f"file://{tmp_path}/{name}")
         assert ids(sharding.placements(store)) == EVERY and store.read().columns == d.columns
-    empty = sharding.shard_table(docs.limit(0), f"file://{tmp_path}/c")
+    empty, _ = sharding.shard_table(docs.limit(0), f"file://{tmp_path}/c")
     assert empty.read().count() == 0 and sharding.placements(empty).count() == 0
 
 
