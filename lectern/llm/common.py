@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -56,6 +57,15 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Let go of shuffle files that no plan needs any more: Spark deletes them when the driver collects its garbage.
+
+    For operators of many steps, which else keep the shuffles of all steps on disk to the end.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def free_name(columns: list[str], want: str) -> str:
     """A column name that no input column has, whatever its case."""
     taken = {c.lower() for c in columns}

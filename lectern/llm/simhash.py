@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import similar
-from .common import durable, free_name, map_texts
+from .common import durable, free_name, map_texts, sweep
 from .components import components
 from .exact_dedup import text_key
 
@@ -165,7 +165,8 @@ def drop_similar_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = durable(fingerprints(docs, id_col, text_col).where("id is not null").withColumn("node", node(F.col("id"), F.col("key"))), "fingerprints")
     key = text_key(F.col(text_col))
     texts = docs.where(F.col(id_col).isNotNull()).select(node(F.col(id_col).cast("long"), key).alias("id"), F.col(text_col).alias("text"))
-    near = grouped(rows.select(F.col("node").alias("id"), "key", "fp")).where("component_id <> id").select(F.col("id").alias("u"), F.col("component_id").alias("v"))
+    near = durable(grouped(rows.select(F.col("node").alias("id"), "key", "fp")).where("component_id <> id").select(F.col("id").alias("u"), F.col("component_id").alias("v")), "near-fingerprints")
+    sweep(docs.sparkSession)
     linked = components(near.unionByName(similar.links(texts)))
     placed = durable(linked.join(rows.select("node", "id", "key").distinct(), "node"), "placed-documents")
     lowest = placed.groupBy("component").agg(F.min(F.struct("id", "key"))["id"].alias("lowest"), F.min(F.struct("id", "key"))["key"].alias("lowest_key"))

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, durable
+from .common import discard, durable, sweep
 from .components import components
 from .exact_dedup import normalised
 
@@ -32,7 +32,7 @@ COUNTED, BUCKETS = 8, 1 << 16
 SPACE = " \t\n\x0b\f\r"
 #: Up to so many documents outside its largest part a group is compared pair by pair; a fuller one goes on beyond its pivot.
 GROUP_LIMIT = 32
-#: Up to so many ids are broadcast to pick their texts (16 MB); more are joined.
+#: Up to so many ids or shingles are broadcast to pick what belongs to them (8 MB); more are joined.
 BROADCAST_IDS = 1 << 20
 
 
@@ -102,8 +102,12 @@ class Texts:
 
     def sets(self, ids: DataFrame) -> DataFrame:
         """(id, set) of ``ids`` (id, distinct)."""
-        picked = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-        return sets(self.rows.join(picked, "id", "left_semi"), self.levels).select("id", "set").dropDuplicates(["id"])
+        return sets(self.rows.join(few(ids), "id", "left_semi"), self.levels).select("id", "set").dropDuplicates(["id"])
+
+
+def few(keys: DataFrame) -> DataFrame:
+    """``keys``, to be broadcast if they are few."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_IDS else keys
 
 
 def ids_of(pairs: DataFrame, *sides: str) -> DataFrame:
@@ -111,14 +115,15 @@ def ids_of(pairs: DataFrame, *sides: str) -> DataFrame:
 
 
 def verified(pairs: DataFrame, texts: Texts) -> DataFrame:
-    """Those of ``pairs`` (u, v) whose sets are similar enough; sizes and prefixes rule most others out.
+    """Those of ``pairs`` (u, v, n_u, n_v) whose sets are similar enough; sizes and prefixes rule most others out.
 
     What two sets share up to the end of the prefix that ends first is in both prefixes; beyond it they share no more
     than what that set has left.
     """
     scratch = Scratch()
-    named = lambda side, *extra: texts.kept.select(F.col("id").alias(side), F.col("n").alias(f"n_{side}"), *[F.col(c).alias(f"{c}_{side}") for c in extra])
-    both = pairs.distinct().join(named("u", "prefix"), "u").join(named("v", "prefix"), "v").where(F.least("n_u", "n_v") * SIMILAR[1] >= F.greatest("n_u", "n_v") * SIMILAR[0])
+    sized = scratch.keep(pairs.where(F.least("n_u", "n_v") * SIMILAR[1] >= F.greatest("n_u", "n_v") * SIMILAR[0]).distinct(), "sized")
+    of = lambda side: texts.kept.select(F.col("id").alias(side), F.col("prefix").alias(f"prefix_{side}")).join(few(ids_of(sized, side).withColumnRenamed("id", side)), side, "left_semi")
+    both = sized.join(of("u"), "u").join(of("v"), "v")
     last_u, last_v = F.element_at("prefix_u", -1), F.element_at("prefix_v", -1)
     rest_u, rest_v = F.col("n_u") - F.size("prefix_u"), F.col("n_v") - F.size("prefix_v")
     rest = F.when(last_u < last_v, rest_u).when(last_u > last_v, rest_v).otherwise(F.least(rest_u, rest_v))
@@ -153,16 +158,20 @@ def links(rows: DataFrame) -> DataFrame:
     Groups with up to ``GROUP_LIMIT`` documents outside their largest connected part compare pair by pair what is not
     connected. Others go on beyond their pivots, as often as it takes.
     """
-    texts, scratch = Texts(rows), Scratch()
+    texts, scratch, spark = Texts(rows), Scratch(), rows.sparkSession
     postings = texts.kept.select(F.explode("prefix").alias("s"), "id", "n")
     edges: DataFrame | None = None
     while True:
-        smallest = F.min(F.struct("n", "id"))["id"]
-        groups = postings.groupBy("s").agg(smallest.alias("pivot"), F.count("*").alias("held")).where("held > 1")
-        members = scratch.keep(postings.join(scratch.keep(groups, "groups"), "s"), "members")
-        star = members.where("id <> pivot").select(F.col("id").alias("u"), F.col("pivot").alias("v"))
+        # most shingles are of one document: those of several are counted first, so that the others are not dealt out
+        shared = scratch.keep(postings.groupBy("s").agg(F.count("*").alias("held")).where("held > 1"), "shared")
+        found = scratch.keep(postings.join(few(shared), "s"), "postings-shared")
+        least = scratch.keep(found.groupBy("s").agg(F.min(F.struct("n", "id")).alias("p")).select("s", F.col("p.id").alias("pivot"), F.col("p.n").alias("n_pivot")), "pivots")
+        members = scratch.keep(found.join(few(least), "s"), "members")
+        sweep(spark)
+        star = members.where("id <> pivot").select(F.col("id").alias("u"), F.col("pivot").alias("v"), F.col("n").alias("n_u"), F.col("n_pivot").alias("n_v"))
         near = verified(star, texts)
         edges = near if edges is None else _joined(edges, near)
+        sweep(spark)
         # groups whose members are connected have nothing left to find, nor have members that are connected to all others
         placed = members.where("id <> pivot and held > 2").join(components(edges).withColumnRenamed("node", "id"), "id", "left").select("s", "id", "n", "pivot", F.coalesce("component", "id").alias("part"))
         placed = scratch.keep(placed, "placed")
@@ -172,13 +181,14 @@ def links(rows: DataFrame) -> DataFrame:
         a, b = (live.where(~crowded).select("s", *[F.col(c).alias(f"{c}_{side}") for c in ("id", "n", "part")]) for side in "ab")
         small, large = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
         fits = (F.col("id_a") > F.col("id_b")) & (F.col("part_a") != F.col("part_b")) & (small * SIMILAR[1] >= large * SIMILAR[0])
-        pairs = a.join(b, "s").where(fits).select(F.col("id_a").alias("u"), F.col("id_b").alias("v"))
+        pairs = a.join(b, "s").where(fits).select(F.col("id_a").alias("u"), F.col("id_b").alias("v"), F.col("n_a").alias("n_u"), F.col("n_b").alias("n_v"))
         edges = _joined(edges, verified(pairs, texts))
         crowd = scratch.keep(live.where(crowded).select("pivot", "id", "n").distinct(), "crowd")
         if crowd.isEmpty():
             break
         new = durable(beyond_pivots(crowd, texts, scratch), "postings")
         scratch.clear()
+        sweep(spark)
         scratch.tables.append(new)
         postings = new
     scratch.clear()
