@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-import os
+import re
 import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
 from ..functions import text as T
 from ..functions import timing as C
+from ..sources.files import store_of
 from .tokens import speaker_runs
 
 
@@ -96,33 +99,71 @@ def as_json(cues: DataFrame, names: DataFrame | None = None) -> DataFrame:
 FORMATS = {"srt": srt, "vtt": vtt, "txt": txt, "json": as_json}
 
 
+#: Characters that a file name cannot have, or that would leave its folder; ``%`` so that no two ids share a name.
+UNSAFE = re.compile(r"[/\\\\%:\x00-\x1f]")
+
+
+def file_name(transcript_id, extension: str) -> str:
+    """The name of a transcript's file: unsafe characters as %XX. An id that is null or blank has none."""
+    name = "" if transcript_id is None else str(transcript_id)
+    if not name.strip():
+        raise ValueError("a transcript without an id has no file name")
+    return UNSAFE.sub(lambda m: f"%{ord(m[0]):02X}", name) + f".{extension}"
+
+
 class CaptionFiles(DataSource):
-    """``format("caption_files")``: rows (transcript_id, document) become one file each below ``path``, a folder that all executors share."""
+    """``format("caption_files")``: rows (transcript_id, document) become one file each in the folder ``path``.
+
+    Tasks write below a folder of the job that readers never look at, each attempt in its own; the commit moves the files of
+    the attempts that count into place, one atomic rename each where the store has it. A job that fails leaves nothing new.
+    """
 
     @classmethod
     def name(cls) -> str:
         return "caption_files"
 
     def writer(self, schema, overwrite: bool) -> DataSourceWriter:
-        return CaptionWriter(self.options["path"], self.options["extension"])
+        store_of(self.options["path"])  # an address that tasks cannot open fails here, before anything runs
+        return CaptionWriter(self.options["path"].rstrip("/"), self.options["extension"])
+
+
+@dataclass
+class Written(WriterCommitMessage):
+    folder: str
 
 
 class CaptionWriter(DataSourceWriter):
     def __init__(self, path: str, extension: str):
-        self.path, self.extension = path.removeprefix("file:"), extension
+        self.path, self.extension = path, extension
+        self.staging = f"{path}/_staging-{uuid.uuid4().hex}"
 
     def write(self, rows: Iterator) -> WriterCommitMessage:
-        os.makedirs(self.path, exist_ok=True)
+        from pyspark import TaskContext
+
+        store, root = store_of(self.staging)
+        folder = f"{root}/{TaskContext.get().taskAttemptId()}"
+        store.create_dir(folder, recursive=True)
         for row in rows:
-            scratch = os.path.join(self.path, f".{uuid.uuid4().hex}")
-            with open(scratch, "w", encoding="utf-8", newline="") as f:
-                f.write(row["document"])
-            os.replace(scratch, os.path.join(self.path, f"{row['transcript_id']}.{self.extension}"))  # a reader sees all or nothing, a retry the same
-        return WriterCommitMessage()
+            with store.open_output_stream(f"{folder}/{file_name(row['transcript_id'], self.extension)}") as out:
+                out.write(row["document"].encode())
+        return Written(folder)
+
+    def commit(self, messages: list) -> None:
+        store, root = store_of(self.path)
+        for m in messages:
+            if m is not None:
+                for f in store.get_file_info(fs.FileSelector(m.folder)):
+                    store.move(f.path, f"{root}/{f.base_name}")
+        self.abort(messages)  # what is left is of attempts that do not count
+
+    def abort(self, messages: list) -> None:
+        store, root = store_of(self.staging)
+        if store.get_file_info(root).type != fs.FileType.NotFound:
+            store.delete_dir(root)
 
 
 def export(cues: DataFrame, fmt: str, path: str | None = None, names: DataFrame | None = None) -> DataFrame:
-    """Documents of one format; with ``path`` each is also written there, as ``<transcript_id>.<fmt>``.
+    """Documents of one format; with ``path`` each is also written there, as ``<transcript_id>.<fmt>``, see ``CaptionFiles``.
 
     ``names`` (transcript_id, names map from label to name) are shown in place of labels; JSON keeps the labels and lists the names.
     """

@@ -337,13 +337,15 @@ def expire_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 VIDEO_URLS = [
     "https://youtu.be/abcdefghijk", "https://www.youtube.com/watch?v=ABCDEFGHIJ_&t=3", "https://www.youtube.com/shorts/12345678901", "https://youtube.com/embed/zzzzzzzzzzz",
-    "https://www.youtube.com/watch?v=short", "https://example.com/watch?v=abcdefghijk", "not an address",
+    "https://www.youtube.com/watch?v=short", "https://example.com/watch?v=abcdefghijk", "not an address", "https://notyoutu.be.example.com/abcdefghijk", "https://YOUTU.BE/abcdefghijk",
+    "https://www.YouTube.com/watch?v=abcdefghijk", "https://www.youtube.com/watch/?v=abcdefghijk", "https://m.youtube.com.example.org/watch?v=abcdefghijk", "https://www.youtu.be//abcdefghijk/x", "https://youtu.be.example.com/abcdefghijk",
+    "https://www.youtube.com/shorts/abcdefghijk/more", "https://www.youtube.com/v/abcdefghijk", "https://www.youtube.com/watch?list=v&v=abcdefghij%6B", "https://www.youtube.com/watch?vv=abcdefghijk",
 ]
 
 
-@query("""with u as (select url from pages union all select unnest([%s])), h as (select url, regexp_extract(url, '^[a-z]+://([^/]*)', 1) host, regexp_extract(url, '^[a-z]+://[^/]*(/[^?#]*)', 1) p from u),
-r as (select url, case when contains(host, 'youtu.be') then regexp_extract(p, '^/([^/]*)', 1) when contains(host, 'youtube.com') then case when p = '/watch' then regexp_extract(url, '[?&]v=([^&#]*)', 1)
-  when p like '/shorts/%%' then regexp_extract(p, '^/shorts/([^/]*)', 1) when p like '/embed/%%' then regexp_extract(p, '^/embed/([^/]*)', 1) end end v from h)
+@query("""with u as (select url from pages union all select unnest([%s])), h as (select url, lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)) host, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) p from u),
+r as (select url, case when host in ('youtu.be', 'www.youtu.be') then split_part(ltrim(p, '/'), '/', 1) when contains(host, 'youtube.com') then case when p = '/watch' then url_decode(regexp_extract(url, '[?&]v=([^&#]*)', 1))
+  when starts_with(p, '/shorts/') or starts_with(p, '/embed/') then split_part(p, '/', 3) end end v from h)
 select url, case when regexp_matches(v, '^[A-Za-z0-9_-]{11}$') then v end video_id from r""" % ", ".join(f"'{u}'" for u in VIDEO_URLS))
 def youtube_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     urls = D.read(spark, sf_dir, "pages").select("url").unionByName(spark.createDataFrame([(u,) for u in VIDEO_URLS], "url string"))
@@ -358,18 +360,24 @@ def name_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("raw", T.validated_name("raw").alias("v")).select("raw", "v.*")
 
 
-MODEL_CASES = """select p.preset_id, g.gpu, m.memory_gib, c.cores, t.task, l.language from (values ('auto'), ('fast'), ('balanced'), ('quality'), ('fast_en')) p(preset_id), (values (true), (false)) g(gpu),
-  (values (cast(null as double)), (4.0), (16.0)) m(memory_gib), (values (2), (8)) c(cores), (values ('transcribe'), ('translate')) t(task), (values ('English'), ('fr'), ('')) l(language)"""
+MODEL_CASES = """select c_custkey, ['auto', 'fast', 'balanced', 'quality', 'fast_en', 'auto'][c_custkey % 6 + 1] preset_id, c_custkey % 2 = 0 gpu, case when c_custkey % 5 > 0 then c_custkey % 5 * 4.0::double end memory_gib,
+  case when c_nationkey % 2 = 0 then 2 else 8 end cores, case when c_nationkey % 3 = 0 then 'translate' else 'transcribe' end task, case c_mktsegment when 'BUILDING' then 'English' when 'MACHINERY' then '' else 'fr' end as language from customer"""
 
 
 @query(f"""with q as ({MODEL_CASES}), e as (select *, lower(language) in ('english', 'en') en from q),
 a as (select *, case when preset_id <> 'auto' then preset_id when task = 'translate' then 'balanced' when not gpu and (coalesce(memory_gib, 4) <= 4 or cores <= 4) then case when en then 'fast_en' else 'fast' end
   when gpu and coalesce(memory_gib, 0) >= 8 and cores >= 8 then 'quality' else 'balanced' end w from e),
 b as (select *, case when w = 'quality' and not gpu then 'balanced' when w = 'fast_en' and (task = 'translate' or not en) then 'balanced' else w end resolved_preset from a)
-select preset_id, gpu, cast(memory_gib as double) memory_gib, cores, task, case when language = '' then 'auto' else language end as language, resolved_preset,
+select c_custkey, preset_id, gpu, memory_gib, cores, task, case when language = '' then 'auto' else language end as language, resolved_preset,
   case resolved_preset {' '.join(f"when '{p}' then '{m}'" for p, m, _, _ in config.PRESETS)} end model_id, case when gpu then 'webgpu' else 'wasm' end device from b""")
 def model_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return config.resolve_models(spark.sql(MODEL_CASES).withColumn("memory_gib", F.col("memory_gib").cast("double")))
+    c, key, nation = D.read(spark, sf_dir, "customer"), F.col("c_custkey"), F.col("c_nationkey")
+    preset = F.get(F.array(*map(F.lit, ["auto", "fast", "balanced", "quality", "fast_en", "auto"])), (key % 6).cast("int"))
+    language = F.when(F.col("c_mktsegment") == "BUILDING", "English").when(F.col("c_mktsegment") == "MACHINERY", "").otherwise("fr")
+    asked = c.select(
+        "c_custkey", preset.alias("preset_id"), (key % 2 == 0).alias("gpu"), F.when(key % 5 > 0, (key % 5 * 4).cast("double")).alias("memory_gib"), F.when(nation % 2 == 0, 2).otherwise(8).alias("cores"),
+        F.when(nation % 3 == 0, "translate").otherwise("transcribe").alias("task"), language.alias("language"))
+    return config.resolve_models(asked)
 
 
 @query(f"with {D.EVENTS}, m as (select *, max(run_id) over (partition by job_id order by seq rows unbounded preceding) top from ev) select job_id, seq, run_id from m where run_id = top")

@@ -68,9 +68,17 @@ def request_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.read(spark, sf_dir, "events").select("event_id", config.valid_speaker_count("value").alias("entered"), config.valid_speaker_count(k, backend=True).alias("accepted"), config.cluster_count(k).alias("clusters"), config.valid_threshold("value").alias("threshold"))
 
 
-@query(" union all ".join(f"select '{m}' model_id, true ready" for _, m, _, _ in config.PRESETS if m != "__auto__"))
+WANTED = "['auto', 'fast', 'balanced', 'quality', 'fast_en'][o_orderkey % 5 + 1]"
+
+
+@query(f"""with m as (select * from (values {', '.join(f"('{p}', '{m}')" for p, m, _, _ in config.PRESETS)}) t(preset_id, model_id)), asked as (select o_orderkey, {WANTED} preset_id from orders)
+select o_orderkey, case when preset_id <> 'auto' then model_id end model_id, true available from asked join m using (preset_id)""")
 def model_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return config.models(spark)
+    """Every order asks for a preset; all models of the catalogue are ready, and who asks for none needs none."""
+    preset = F.get(F.array(*map(F.lit, ["auto", "fast", "balanced", "quality", "fast_en"])), (F.col("o_orderkey") % 5).cast("int"))
+    asked = D.read(spark, sf_dir, "orders").select("o_orderkey", preset.alias("preset_id")).join(F.broadcast(config.presets(spark).select("preset_id", "model_id")), "preset_id")
+    wanted = asked.select("o_orderkey", F.when(F.col("preset_id") != "auto", F.col("model_id")).alias("model_id"))
+    return config.with_availability(wanted, config.models(spark)).select("o_orderkey", "model_id", "available")
 
 
 @query("select l_orderkey, l_linenumber, title, cast(floor(greatest(coalesce(d, 0), 0)) as bigint) duration from (select l_orderkey, l_linenumber, l_returnflag title, case when l_linenumber % 3 > 0 then l_quantity / 4 end d from lineitem)")
