@@ -6,7 +6,10 @@ worker builds its tables once. Words repeat, so each worker keeps a bounded cach
 
 from __future__ import annotations
 
+import codecs
 import json
+import re
+from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 from itertools import pairwise
 
@@ -22,6 +25,10 @@ SHORT_WORD = 128
 #: Words kept per worker, and the longest that is kept; a full cache starts anew.
 CACHE_WORDS, CACHE_CHARS = 300_000, 64
 NONE = 1 << 60
+#: Characters of a text and ids that are worked on at once; they change no result.
+BLOCK_CHARS, BLOCK_IDS = 1 << 18, 1 << 16
+#: A space before anything but white space begins a word of the pre-tokenizer, whatever stands before it.
+OPENING = re.compile(r" (?=\S)")
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -114,6 +121,14 @@ class ByteBpe:
         """Text of token ids; added tokens stand for their own text, bytes that are no UTF-8 become U+FFFD."""
         return b"".join(map(self.token_bytes.__getitem__, ids)).decode("utf-8", "replace")
 
+    def decode_packed(self, packed: bytes) -> str:
+        """``decode`` of ids as little-endian unsigned 32-bit integers, block by block."""
+        decoder, out = codecs.getincrementaldecoder("utf-8")("replace"), []
+        for lo in range(0, len(packed), 4 * BLOCK_IDS):
+            ids = np.frombuffer(packed, "<u4", min(BLOCK_IDS, (len(packed) - lo) // 4), lo).tolist()
+            out.append(decoder.decode(b"".join(map(self.token_bytes.__getitem__, ids))))
+        return "".join(out) + decoder.decode(b"", True)
+
 
 class WordCache(dict):
     """From word to whatever ``make`` gives for it, bounded."""
@@ -157,10 +172,10 @@ def chunk_lookup(section: str, first, rest: WordCache, words) -> list | None:
     their neighbours; ``rest`` holds None for them.
     """
     chunks = section.split(" ")
-    if not chunks[0] or chunks[0][0].isspace():
+    if chunks[0][:1].isspace() or len(chunks) == 1 and not chunks[0]:
         return None
     found = list(map(rest.__getitem__, chunks[1:]))
-    return None if None in found else [first(words(chunks[0])), *found]
+    return None if None in found else [first(words(chunks[0])), *found] if chunks[0] else found
 
 
 def chunk_cache(join, words) -> WordCache:
@@ -177,16 +192,25 @@ class Encoder:
         return b"".join(map(self.packed.__getitem__, words))
 
     def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        out = []
+        """Ids as little-endian unsigned 32-bit integers. Long texts go block by block, so little beside text and ids is held."""
+        out = bytearray()
         for section, special in self.bpe.sections(text):
             if special:
-                out.append(np.array([self.bpe.special[section]], "<u4").tobytes())
-            elif (found := chunk_lookup(section, self.join, self.chunks, self.bpe.words)) is None:
-                out.append(self.join(self.bpe.words(section)))
-            else:
-                out += found
-        return b"".join(out)
+                out += np.array([self.bpe.special[section]], "<u4").tobytes()
+                continue
+            for block in blocks(section):
+                found = chunk_lookup(block, self.join, self.chunks, self.bpe.words)
+                out += self.join(self.bpe.words(block)) if found is None else b"".join(found)
+        return bytes(out)
+
+
+def blocks(section: str) -> Iterator[str]:
+    """Pieces of about ``BLOCK_CHARS`` characters that end before a space with something behind it, where a word begins whatever stands before."""
+    start = 0
+    while len(section) - start > BLOCK_CHARS and (m := OPENING.search(section, start + BLOCK_CHARS)):
+        yield section[start : m.start()]
+        start = m.start()
+    yield section[start:] if start else section
 
 
 def encode_decode(docs: DataFrame, tokenizer_path: str, text_col: str = "text", ids_col: str = "ids_le", count_col: str = "n_tokens", decoded_col: str = "decoded") -> DataFrame:
@@ -203,7 +227,7 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, text_col: str = "text",
 
         def work(texts: list) -> dict:
             packed = [encoder.encode(t or "") for t in texts]
-            decoded = [bpe.decode(np.frombuffer(p, "<u4").tolist()) for p in packed]
+            decoded = [bpe.decode_packed(p) for p in packed]
             return {ids_col: pa.array(packed, pa.binary()), count_col: pa.array([len(p) // 4 for p in packed], pa.int64()), decoded_col: pa.array(decoded, pa.string())}
 
         return work
