@@ -150,8 +150,8 @@ def topk(vectors: DataFrame, queries: DataFrame, k: int = K, id_col: str = "vec_
 
     The score is the integer inner product of the scaled vectors, which exists for vectors of one length: those of other
     lengths are no candidates. A row is none for a query of its own id. Ties go to the smaller id; with fewer than
-    ``k`` candidates all are given. Rows that repeat id and vector count once; a query id that is stored with several
-    vectors asks with the smallest of them. Sums are exact: float arithmetic where every possible sum stays below 2**53,
+    ``k`` candidates all are given. Rows that repeat an id count each; a query id that is stored several times asks once,
+    with the smallest of its vectors. Sums are exact: float arithmetic where every possible sum stays below 2**53,
     long arithmetic below 2**63, else Python integers, where a score beyond a long is an error.
     """
     spark = vectors.sparkSession
@@ -187,11 +187,11 @@ def _search(rows: DataFrame, asked: DataFrame, have, wanted, k: int, id_col: str
     n_slices = F.get(F.array(*map(F.lit, slices)), F.col("cell"))
 
     def plant(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.assign(key=part["v"].map(lambda v: v.tobytes())).drop_duplicates(["id", "key"])
         tree = KdTree(part["id"].to_numpy(np.int64), matrix(part["v"], np.int64))
         return pd.DataFrame({"cell": [int(part["cell"].iloc[0])], "slice": [int(part["slice"].iloc[0])], "tree": [tree.dump()], "low": [tree.low[0]], "high": [tree.high[0]]})
 
-    dealt = placed.withColumn("slice", F.pmod(F.xxhash64("id"), n_slices).cast("int"))
+    # dealt by the row, not by the id, so that rows that repeat an id spread; ``rows`` is a stored table, so a retry numbers them alike
+    dealt = placed.withColumn("slice", F.pmod(F.xxhash64(F.monotonically_increasing_id()), n_slices).cast("int"))
     trees = durable(dealt.groupBy("cell", "slice").applyInPandas(plant, "cell int, slice int, tree binary, low array<long>, high array<long>"), "kd-trees")
     sides = trees.select("cell", F.posexplode(F.arrays_zip("low", "high")).alias("i", "b")).groupBy("cell", "i").agg(F.min("b.low").alias("low"), F.max("b.high").alias("high")).toPandas()
     low, high = np.zeros((cells.n, dim), kind), np.zeros((cells.n, dim), kind)
@@ -199,10 +199,13 @@ def _search(rows: DataFrame, asked: DataFrame, have, wanted, k: int, id_col: str
         box[sides["cell"].to_numpy(), sides["i"].to_numpy()] = sides[column].to_numpy().astype(kind)
     filled = np.array([bool(s) for s in slices])
 
-    blocks = max(1, -(-wanted["n"] // BLOCK_QUERIES))
-    homes = asked.withColumn("cell", cells.of("v")).withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).cast("int"))
+    # queries go in blocks of one cell, so that a shard goes out once for many that look alike
+    asking = asked.withColumn("cell", cells.of("v"))
+    held = {r["cell"]: r["count"] for r in asking.groupBy("cell").count().collect()}  # a row a cell
+    blocks = F.get(F.array(*[F.lit(max(1, -(-held.get(c, 0) // BLOCK_QUERIES))) for c in range(cells.n)]), F.col("cell"))
+    homes = asking.withColumn("part", F.pmod(F.xxhash64("id", F.lit(1)), blocks)).withColumn("block", F.col("cell").cast("long") * (1 << 32) + F.col("part"))
     home_slices = F.get(F.array(*map(F.lit, slices)), F.col("cell"))
-    homes = durable(homes.where(home_slices > 0).withColumn("slice", F.pmod(F.col("block"), home_slices).cast("int")).unionByName(homes.where(home_slices == 0).withColumn("slice", F.lit(-1))), "query-homes")
+    homes = durable(homes.where(home_slices > 0).withColumn("slice", F.pmod(F.col("part"), home_slices).cast("int")).unionByName(homes.where(home_slices == 0).withColumn("slice", F.lit(-1))), "query-homes")
 
     def run(batches):
         for batch in batches:

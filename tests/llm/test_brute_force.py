@@ -1,7 +1,10 @@
 """Operators against plain loops, library encoders and held-out labels."""
 
 import hashlib
+import os
 import random
+import subprocess
+import sys
 from concurrent.futures import ThreadPoolExecutor
 
 import duckdb
@@ -177,6 +180,42 @@ def test_topk_against_numpy(spark):
     assert got == sorted(con.sql(queries.oracle_sql()["op8_exact_topk"]).fetchall())
 
 
+def test_long_texts_are_encoded_and_decoded_in_bounded_memory():
+    """50 MB of text in a process of its own: beside text, ids and decoded text little is held."""
+    code = """
+import resource, sys
+sys.path.insert(0, %r)
+from lectern.llm import bpe, queries
+made = bpe.ByteBpe(bpe.read_tokenizer(queries.tokenizer_path()))
+encoder, line = bpe.Encoder(made), "Some words of a longer text, 1234 of them; and so on.  \\n"
+text = line * (50_000_000 // len(line))
+packed = encoder.encode(text)
+assert made.decode_packed(packed) == text and packed[:4000] == encoder.encode(text[:20000])[:4000]
+print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)
+""" % os.path.dirname(os.path.dirname(bpe.__file__.replace("/llm/bpe.py", "/x")))
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr
+    assert int(done.stdout) < 1000
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sampled_from([" ", "  ", "a", "don't", "\n", " \n ", "é", "𝄞", "12", "<|endoftext|>", "\u00a0", "?!", "\x1c"]), max_size=60).map("".join))
+def test_blocks_change_no_id(text):
+    own = bpe.ByteBpe(bpe.read_tokenizer(queries.tokenizer_path())) if not _OWN else _OWN[0]
+    _OWN[:] = [own]
+    library = Tokenizer.from_file(queries.tokenizer_path())
+    for size in (1, 3, 1 << 18):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(bpe, "BLOCK_CHARS", size)
+            m.setattr(bpe, "BLOCK_IDS", size)
+            packed = bpe.Encoder(own).encode(text)
+            assert np.frombuffer(packed, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+            assert own.decode_packed(packed) == library.decode(np.frombuffer(packed, "<u4").tolist(), skip_special_tokens=False)
+
+
+_OWN: list = []
+
+
 def test_topk_over_many_shards_with_ties(spark):
     rng = np.random.default_rng(3)
     x = rng.integers(-2, 3, (900, 4)) / 4
@@ -189,6 +228,33 @@ def test_topk_over_many_shards_with_ties(spark):
     assert got == sorted(want)
 
 
+def test_topk_counts_every_row_that_repeats_an_id(spark):
+    rng = np.random.default_rng(7)
+    rows = [(i, list(map(float, rng.integers(-2, 3, 4) / 4))) for i in range(300)]
+    rows += rows[:40] + [(i, list(map(float, rng.integers(-2, 3, 4) / 4))) for i in range(60)] + [(77, [0.5, 0.5, 0.5, 0.5])] * 150
+    got = exact_topk.topk(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), spark.createDataFrame([r for r in rows if r[0] % 50 == 0], "vec_id long, embedding array<float>"), shard_rows=64)
+    whole, want = [(i, tuple(int(np.floor(256 * x)) for x in v)) for i, v in rows], []
+    for q in range(0, 300, 50):
+        asks = min(v for i, v in whole if i == q)
+        best = sorted((-sum(a * b for a, b in zip(asks, v)), i) for i, v in whole if i != q)[:5]
+        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_topk_sends_a_tree_once_for_many_queries(spark, monkeypatch):
+    """The home visit moves at most shards x ceil(queries of the cell / block) trees, however many queries there are in all."""
+    moved, plain = [], exact_topk.durable
+    monkeypatch.setattr(exact_topk, "BLOCK_QUERIES", 40)
+    monkeypatch.setattr(exact_topk, "durable", lambda df, name: moved.append((name, df)) or plain(df, name))
+    rng = np.random.default_rng(9)
+    v = spark.createDataFrame([(i, list(map(float, rng.normal(size=6)))) for i in range(3000)], "vec_id long, embedding array<float>")
+    exact_topk.topk(v, v.where("vec_id % 5 = 0"), shard_rows=200).collect()
+    homes = next(df for name, df in moved if name == "query-homes")
+    queries_of = {r["cell"]: r["count"] for r in homes.groupBy("cell").count().collect()}
+    groups = homes.groupBy("cell", "slice", "block").count().count()
+    assert len(queries_of) > 4 and groups <= sum(-(-n // 40) for n in queries_of.values())
+
+
 def accuracy(rows, threshold, key):
     return np.mean([(r["score"] >= threshold) == bool(r[key]) for r in rows])
 
