@@ -12,18 +12,17 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterable, Iterator
-from itertools import chain, groupby
+from itertools import chain, groupby, islice
 from operator import and_
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import durable, free_name, map_texts
-from .components import components
 from .linear import Adam, sample_labelled, sigmoid
-from .similar import links
 
 #: Symbols of the character model: 0 ends a word, 1 to 26 are a to z without accents, 27 is any other letter.
 SYMBOLS = 28
@@ -56,6 +55,9 @@ SAMPLE_PER_LABEL = 3000
 LEAST_SHARE, LEAST_Z, LEAST_LIFT, MOST_WORDS = 0.01, 3.0, 8.0, 256
 STEMS, END = range(3, 9), "$"
 STEPS, RATE, DECAY = 500, 0.1, 1e-5
+#: Min-hashes of a sampled text, those in a band, the share that near copies agree in, and the hashes' factors and addends (odd and any, from the square root of two).
+HASHES, BAND, AGREEMENT = 128, 4, 0.76
+FACTORS, ADDENDS = (np.cumsum(np.full(HASHES, x, np.uint64)) | np.uint64(1) for x in (0x6A09E667F3BCC908, 0xBB67AE8584CAA73B))
 ORNAMENTS = ("$$$", "!!!", "|||", "+++", "@@@")
 EDGE = ".,;:?\"'()[]{}<>“”‘’«»¿-–—_*#&%~^=`/\\"
 
@@ -461,14 +463,51 @@ def restorer(log_probs: np.ndarray) -> Restorer:
     return _restorers[key]
 
 
+def signature(words: list[str]) -> np.ndarray:
+    """The least of each of ``HASHES`` hashes over the five-word shingles of a text (a shorter one is one shingle)."""
+    each = (" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4)))
+    least = np.full(HASHES, np.iinfo(np.uint64).max)
+    while len(h := np.fromiter((xxhash.xxh64_intdigest(s) for s in islice(each, 1 << 12)), np.uint64)):
+        np.minimum(least, (h[:, None] * FACTORS + ADDENDS).min(axis=0), out=least)
+    return (least >> np.uint64(32)).astype(np.uint32)
+
+
+def alike(signatures: np.ndarray) -> np.ndarray:
+    """For each row the first row that it is a near copy of, over any number of steps; rows that agree in a band are compared with the first there."""
+    first = np.arange(len(signatures))
+
+    def root(i: int) -> int:
+        while first[i] != i:
+            first[i] = i = first[first[i]]
+        return i
+
+    for lo in range(0, HASHES, BAND):
+        seen: dict[bytes, int] = {}
+        for i, row in enumerate(signatures):
+            j = seen.setdefault(row[lo : lo + BAND].tobytes(), i)
+            if root(i) != root(j) and (row == signatures[j]).mean() >= AGREEMENT:
+                a, b = sorted((root(i), root(j)))
+                first[b] = a
+    return np.array([root(i) for i in range(len(signatures))], int)
+
+
 def weighted(bags: DataFrame) -> DataFrame:
-    """``bags`` (id, label, words, ...) with a weight: near copies of one label weigh as one together, all others 1 each.
+    """``bags`` (id, label, words, ...), a bounded sample, with a weight: near copies of one label weigh as one together, all others 1 each.
 
-    Near copies are what five-word shingle sets of similarity 0.8 or more connect.
+    Near copies are what min-hashes of five-word shingles estimate at a similarity of 0.8 or more; the driver sees these
+    hashes alone, half a kilobyte a document.
     """
-    group = components(links(bags.select("id", F.col("words").alias("text")))).select(F.col("node").alias("id"), "component")
-    bags = bags.join(group, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    return bags.join(bags.groupBy("label", "component").agg(F.count("*").alias("alike")), ["label", "component"]).withColumn("weight", 1 / F.col("alike"))
+
+    def make():
+        return lambda texts: {"signature": pa.array([signature((t or "").split()).tobytes() for t in texts], pa.binary())}
+
+    rows = map_texts(bags.select("id", "label", "words"), "words", make, "signature binary").orderBy("id").collect()
+    group = alike(np.array([np.frombuffer(r["signature"], np.uint32) for r in rows]).reshape(-1, HASHES))
+    size: dict[tuple, int] = {}
+    for r, g in zip(rows, group):
+        size[r["label"], g] = size.get((r["label"], g), 0) + 1
+    weights = bags.sparkSession.createDataFrame([(r["id"], 1 / size[r["label"], g]) for r, g in zip(rows, group)], f"id {bags.schema['id'].dataType.simpleString()}, weight double")
+    return bags.join(F.broadcast(weights), "id")
 
 
 def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col: str = "toxic", id_col: str = "doc_id", per_label: int = SAMPLE_PER_LABEL) -> ToxicityModel:
@@ -488,13 +527,14 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col: s
         read = restorer(shipped.value)
 
         def work(texts: list) -> dict:
-            words = [read.words(t)[0] for t in texts]
-            return {"words": pa.array([" ".join(w) for w in words]), "stems": pa.array([densities(w) for w in words], pa.list_(DENSITY))}
+            every = [read.words(t) for t in texts]
+            said = lambda part: pa.array([" ".join(e[part]) for e in every], pa.string())
+            return {"words": said(0), "runs": said(1), "stems": pa.array([densities(w) for w, _ in every], pa.list_(DENSITY))}
 
         return work
 
     picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id")
-    bags = durable(map_texts(picked, "text", make, "words string, stems array<struct<stem string, s double>>"), "toxicity-sample")
+    bags = durable(map_texts(picked, "text", make, "words string, runs string, stems array<struct<stem string, s double>>"), "toxicity-sample")
     bags = durable(weighted(bags), "toxicity-weights")
     n = {r[0]: r[1] for r in bags.groupBy("label").agg(F.sum("weight")).collect()}
     n1, n0 = n.get(1, 0), n.get(0, 0)
@@ -517,12 +557,17 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col: s
         model, memory = drafted.value, {}
 
         def work(texts: list) -> dict:
-            split = [t.split() for t in texts]
-            return {"found": pa.array([model.evidence(w, memory) for w in split], pa.list_(pa.string())), "n_words": pa.array([len(w) for w in split], pa.int64())}
+            found, n_words = [], []
+            for t in texts:  # what is scored: words, and what runs of spaced letters hold beyond them
+                words, runs = (part.split() for part in t.split("\n"))
+                seen = model.evidence(words, memory)
+                found.append(seen + model.inside(runs, seen))
+                n_words.append(len(words))
+            return {"found": pa.array(found, pa.list_(pa.string())), "n_words": pa.array(n_words, pa.int64())}
 
         return work
 
-    rows = map_texts(bags.select("label", "weight", "words"), "words", make_hits, "found array<string>, n_words long").collect()
+    rows = map_texts(bags.select("label", "weight", F.concat_ws("\n", "words", "runs").alias("words")), "words", make_hits, "found array<string>, n_words long").collect()
     # reading may miss disguised words, so a document also counts as if only one of its words had been found
     seen = [(r["label"], r["weight"], r["found"], r["n_words"]) for r in rows]
     seen += [(r["label"], r["weight"] / len(kinds), [w], r["n_words"]) for r in rows if len(kinds := sorted(set(r["found"]))) for w in kinds]
