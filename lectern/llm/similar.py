@@ -1,9 +1,10 @@
-"""Near copies by the similarity of their word sets: an exact join on prefixes, components. DataFrame functions only.
+"""Near copies by the similarity of their word sets: an exact join on prefixes, components.
 
 A text is the set of its five-word shingles. If two sets have a Jaccard similarity of 4/5 or more, each shares at
 least 4/5 of its members with the other, so in any one order of all shingles the first fifth (and one more) of either
 have a member in common; an equi-join on these prefixes finds every pair. The order puts shingles that a share of the
-documents shows to be frequent last, which keeps common lines out of the prefixes; it decides the work, not the result.
+documents shows to be frequent last, which keeps common lines and large groups of copies out of other prefixes; it decides
+the work, not the result.
 
 Many documents may share a shingle without being similar. Each such group has a pivot, its smallest set, with which all
 others are compared. Two sets that share no shingle beyond the pivot's are similar only if both are similar to the pivot, as
@@ -17,45 +18,90 @@ prefixes leave it open whether they are similar.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, durable, sweep
+from .common import discard, durable, map_texts, sweep
 from .components import components
-from .exact_dedup import normalised
 
 SHINGLE_WORDS = 5
 #: Least similarity, as a fraction.
 SIMILAR = (4, 5)
-#: One in so many documents is counted to order the shingles, by buckets of their hashes.
-COUNTED, BUCKETS = 8, 1 << 16
-SPACE = " \t\n\x0b\f\r"
+#: One in so many documents is counted to order the shingles. Buckets of their hashes have a level (4 MB in all); the most frequent shingles that fill an eighth of the buckets get one.
+COUNTED, BUCKETS = 8, 1 << 22
+#: Words whose hashes a worker remembers, and bytes of a text that are cut into words at once.
+CACHE_WORDS, BLOCK_BYTES = 300_000, 1 << 20
+#: Odd factors of the rolling hash over a shingle's words, and of its finish: from the golden ratio, the square roots of two and three.
+FACTOR, FINISH_A, FINISH_B = 0x9E3779B97F4A7C15, 0x6A09E667F3BCC909, 0xBB67AE8584CAA73B
 #: Up to so many documents outside its largest part a group is compared pair by pair; a fuller one goes on beyond its pivot.
 GROUP_LIMIT = 32
 #: Up to so many ids or shingles are broadcast to pick what belongs to them (8 MB); more are joined.
 BROADCAST_IDS = 1 << 20
-
-
-def shingles(text: Column) -> Column:
-    """The distinct hashed shingles of a text: A-Z lower-cased, cut at ASCII white space; a shorter text is one shingle."""
-    words = F.split(F.btrim(normalised(text), F.lit(SPACE)), f"[{SPACE}]+")
-    each = lambda a: F.transform(F.sequence(F.lit(0), F.size(a) - SHINGLE_WORDS), lambda i: F.xxhash64(*[F.get(a, i + k) for k in range(SHINGLE_WORDS)]))
-    # a one-element array binds the hashed words, so that they are computed once
-    found = F.transform(F.array(F.transform(words, lambda w: F.xxhash64(w))), lambda a: F.when(F.size(a) < SHINGLE_WORDS, F.array(F.xxhash64(a))).otherwise(each(a)))
-    return F.array_distinct(found[0])
-
-
-def bucket(shingle: Column) -> Column:
-    return F.shiftrightunsigned(shingle, 40).bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
-
-
-def frequent(rows: DataFrame) -> list[int]:
-    """For each bucket the logarithm of the highest count of a shingle in it, 0 for those seen once."""
-    counted = rows.where(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(COUNTED)) == 0).select(F.explode(shingles(F.col("text"))).alias("s"))
-    most = counted.groupBy("s").agg(F.count("*").alias("n")).where("n > 1").groupBy(bucket(F.col("s")).alias("b")).agg(F.max("n").alias("n"))
-    levels = [0] * BUCKETS
-    for b, n in most.collect():
-        levels[b] = int(n).bit_length()
+GAP = re.compile(rb"[ \t\n\x0b\f\r]")
+
+
+class WordHashes(dict):
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= CACHE_WORDS:
+            self.clear()
+        value = self[word] = xxhash.xxh64_intdigest(word)
+        return value
+
+
+def word_blocks(data: bytes) -> Iterator[list[bytes]]:
+    """The words of a text block by block: runs of anything but ASCII white space."""
+    start = 0
+    while len(data) - start > BLOCK_BYTES and (m := GAP.search(data, start + BLOCK_BYTES)):
+        yield data[start : m.start()].split()
+        start = m.start()
+    yield data[start:].split()
+
+
+def shingles(text: str | None, hashes: WordHashes) -> np.ndarray:
+    """The distinct hashed shingles of a text with A-Z lower-cased; a text of fewer words is one shingle. In 56 bits, ascending."""
+    data = (text or "").encode("utf-8", "surrogatepass").lower()  # of bytes, that is A-Z only
+    words = np.concatenate([np.fromiter(map(hashes.__getitem__, block), np.uint64, len(block)) for block in word_blocks(data)])
+    size = min(SHINGLE_WORDS, len(words))
+    n = max(1, len(words) - SHINGLE_WORDS + 1)
+    h = np.full(n, size + 1, np.uint64)
+    for k in range(size):
+        h *= np.uint64(FACTOR)
+        h += words[k : k + n]
+    for factor in (FINISH_A, FINISH_B):
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(factor)
+    return np.unique(h >> np.uint64(8))
+
+
+def bucket(shingle: np.ndarray) -> np.ndarray:
+    return (shingle & np.uint64(BUCKETS - 1)).astype(np.int64)
+
+
+def frequent(rows: DataFrame) -> np.ndarray:
+    """For each bucket the logarithm of the highest count of a frequent shingle in it, else 0."""
+
+    def make():
+        hashes = WordHashes()
+        return lambda texts: {"s": pa.array([shingles(t, hashes).view(np.int64) for t in texts], pa.list_(pa.int64()))}
+
+    counted = rows.where(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(COUNTED)) == 0)
+    several = durable(map_texts(counted, "text", make, "s array<long>").select(F.explode("s").alias("s")).groupBy("s").agg(F.count("*").alias("n")).where("n > 2"), "frequent-shingles")
+    held, least = 0, 3
+    for n, count in sorted(((r["n"], r["count"]) for r in several.groupBy("n").count().collect()), reverse=True):  # as many rows as there are counts
+        held += count
+        if held > BUCKETS // 8:
+            least = n + 1
+            break
+    found = several.where(F.col("n") >= least).groupBy(F.col("s").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("b")).agg(F.max("n").alias("n")).toArrow()
+    discard(several)
+    levels = np.zeros(BUCKETS, np.uint8)
+    levels[found["b"].to_numpy()] = np.log2(found["n"].to_numpy()).astype(np.uint8) + 1
     return levels
 
 
@@ -64,17 +110,28 @@ def least_shared(n_u: Column, n_v: Column) -> Column:
     return F.ceil((n_u + n_v) * SIMILAR[0] / sum(SIMILAR)).cast("int")
 
 
-def sets(rows: DataFrame, levels: list[int]) -> DataFrame:
-    """(id, n, set) of (id, text): the number of shingles, and all of them in the common order."""
-    level = F.split(F.lit(",".join(map(str, levels))), ",").cast("array<int>")
-    ranked = F.sort_array(F.transform("s", lambda h: F.shiftleft(F.get(level, bucket(h)).cast("long"), 56).bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1)))))
-    return rows.select("id", shingles(F.col("text")).alias("s")).select("id", F.size("s").alias("n"), ranked.alias("set"))
+def ordered(rows: DataFrame, levels, whole: bool) -> DataFrame:
+    """(id, n, set or prefix) of (id, text): the number of shingles, and all of them or a prefix in the common order.
+
+    ``levels`` is what ``frequent`` found, broadcast to the workers.
+    """
+    column = "set" if whole else "prefix"
+
+    def make():
+        hashes, level = WordHashes(), levels.value
+
+        def work(texts: list) -> dict:
+            sizes, held = [], []
+            for t in texts:
+                s = shingles(t, hashes)
+                s = np.sort((level[bucket(s)].astype(np.uint64) << np.uint64(56)) | s)
+                sizes.append(len(s))
+                held.append((s if whole else s[: len(s) - -(-len(s) * SIMILAR[0] // SIMILAR[1]) + 1]).view(np.int64))
+            return {"n": pa.array(sizes, pa.int32()), column: pa.array(held, pa.list_(pa.int64()))}
 
+        return work
 
-def prefixes(found: DataFrame) -> DataFrame:
-    """(id, n, prefix) of ``sets``."""
-    least = F.ceil(F.col("n") * SIMILAR[0] / SIMILAR[1]).cast("int")
-    return found.select("id", "n", F.slice("set", F.lit(1), F.col("n") - least + 1).alias("prefix"))
+    return map_texts(rows, "text", make, f"n int, {column} array<long>")
 
 
 class Scratch:
@@ -97,12 +154,12 @@ class Texts:
     """``rows`` (id, text) whose sets are made when they are asked for."""
 
     def __init__(self, rows: DataFrame):
-        self.rows, self.levels = rows, frequent(rows)
-        self.kept = durable(prefixes(sets(rows, self.levels)), "prefixes")
+        self.rows, self.levels = rows, rows.sparkSession.sparkContext.broadcast(frequent(rows))
+        self.kept = durable(ordered(rows, self.levels, False), "prefixes")
 
     def sets(self, ids: DataFrame) -> DataFrame:
         """(id, set) of ``ids`` (id, distinct)."""
-        return sets(self.rows.join(few(ids), "id", "left_semi"), self.levels).select("id", "set").dropDuplicates(["id"])
+        return ordered(self.rows.join(few(ids), "id", "left_semi"), self.levels, True).select("id", "set").dropDuplicates(["id"])
 
 
 def few(keys: DataFrame) -> DataFrame:
