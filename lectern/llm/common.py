@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -58,12 +59,15 @@ def discard(df: DataFrame) -> None:
 
 
 def sweep(spark: SparkSession) -> None:
-    """Let go of shuffle files that no plan needs any more: Spark deletes them when the driver collects its garbage.
+    """Let go of what no plan needs any more: shuffle files, which Spark deletes when the driver collects its garbage, and free memory of the driver.
 
     For operators of many steps, which else keep the shuffles of all steps on disk to the end.
     """
     gc.collect()
     spark._jvm.System.gc()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of the GNU C library
+        trim(0)
 
 
 def free_name(columns: list[str], want: str) -> str:

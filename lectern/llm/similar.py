@@ -35,6 +35,8 @@ SHINGLE_WORDS = 5
 SIMILAR = (4, 5)
 #: One in so many documents is counted to order the shingles. Buckets of their hashes have a level (4 MB in all); the most frequent shingles that fill an eighth of the buckets get one.
 COUNTED, BUCKETS = 8, 1 << 22
+#: Bits of the table that tells which shingles may be shared (8 MB), in maps of so many bits.
+SHARED_BITS, MAP_BITS = 1 << 26, 1 << 15
 #: Words whose hashes a worker remembers, and bytes of a text that are cut into words at once.
 CACHE_WORDS, BLOCK_BYTES = 300_000, 1 << 20
 #: Odd factors of the rolling hash over a shingle's words, and of its finish: from the golden ratio, the square roots of two and three.
@@ -167,6 +169,33 @@ def few(keys: DataFrame) -> DataFrame:
     return F.broadcast(keys) if keys.count() <= BROADCAST_IDS else keys
 
 
+def shared_bits(shared: DataFrame) -> np.ndarray:
+    """A table of bits, of fixed size, in which the bit of every one of ``shared`` (s) is set."""
+    bit = F.col("s").bitwiseAND(F.lit(SHARED_BITS - 1))
+    maps = shared.select((F.shiftright(bit, 15)).alias("map"), bit.bitwiseAND(F.lit(MAP_BITS - 1)).alias("at")).groupBy("map").agg(F.bitmap_construct_agg("at").alias("bits")).collect()
+    table = np.zeros(SHARED_BITS // 8, np.uint8)
+    for r in maps:  # at most SHARED_BITS // MAP_BITS
+        held = np.frombuffer(r["bits"], np.uint8)
+        table[r["map"] * (MAP_BITS // 8) :][: len(held)] = held
+    return table
+
+
+def shared_postings(kept: DataFrame, table) -> DataFrame:
+    """(s, id, n) of the prefixes in ``kept``, without shingles whose bit in the broadcast ``table`` is not set: these are of one document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = table.value
+        for batch in batches:
+            prefix = batch.column("prefix")
+            s, size = prefix.flatten().to_numpy(), np.diff(prefix.offsets.to_numpy())
+            at = s & (SHARED_BITS - 1)
+            may = np.flatnonzero(bits[at >> 3] >> (at & 7).astype(np.uint8) & 1)
+            row = np.repeat(np.arange(len(size)), size)[may]
+            yield pa.RecordBatch.from_arrays([pa.array(s[may]), batch.column("id").take(pa.array(row)), batch.column("n").take(pa.array(row))], ["s", "id", "n"])
+
+    return kept.select("id", "n", "prefix").mapInArrow(run, "s long, id long, n int")
+
+
 def ids_of(pairs: DataFrame, *sides: str) -> DataFrame:
     return pairs.select(F.explode(F.array(*sides)).alias("id")).distinct()
 
@@ -216,13 +245,14 @@ def links(rows: DataFrame) -> DataFrame:
     connected. Others go on beyond their pivots, as often as it takes.
     """
     texts, scratch, spark = Texts(rows), Scratch(), rows.sparkSession
-    postings = texts.kept.select(F.explode("prefix").alias("s"), "id", "n")
+    # most shingles are of one document: which are of several is found first, so that the others are not dealt out
+    several = texts.kept.select(F.explode("prefix").alias("s")).groupBy("s").agg(F.count("*").alias("held")).where("held > 1").select("s")
+    table = spark.sparkContext.broadcast(shared_bits(several))
+    postings = shared_postings(texts.kept, table)
     edges: DataFrame | None = None
     while True:
-        # most shingles are of one document: those of several are counted first, so that the others are not dealt out
-        shared = scratch.keep(postings.groupBy("s").agg(F.count("*").alias("held")).where("held > 1"), "shared")
-        found = scratch.keep(postings.join(few(shared), "s"), "postings-shared")
-        least = scratch.keep(found.groupBy("s").agg(F.min(F.struct("n", "id")).alias("p")).select("s", F.col("p.id").alias("pivot"), F.col("p.n").alias("n_pivot")), "pivots")
+        found = scratch.keep(postings, "postings-shared")
+        least = scratch.keep(found.groupBy("s").agg(F.min(F.struct("n", "id")).alias("p"), F.count("*").alias("held")).where("held > 1").select("s", F.col("p.id").alias("pivot"), F.col("p.n").alias("n_pivot"), "held"), "pivots")
         members = scratch.keep(found.join(few(least), "s"), "members")
         sweep(spark)
         star = members.where("id <> pivot").select(F.col("id").alias("u"), F.col("pivot").alias("v"), F.col("n").alias("n_u"), F.col("n_pivot").alias("n_v"))
