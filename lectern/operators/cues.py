@@ -165,10 +165,12 @@ def sentence_case(cues: DataFrame) -> DataFrame:
 def consolidate(segments: DataFrame, words: DataFrame | None = None, turns: DataFrame | None = None) -> DataFrame:
     """Cues of raw segments or, where a transcript has them, of its words, with speakers where it has turns.
 
-    To be run once: cues fed back in lose words. Without word times, turns are matched per segment, not per word.
+    To be run once: cues fed back in lose words. Without word times, turns are matched per segment, not per word. Words
+    without a time leave; a transcript none of whose words has one counts as without words.
     """
     base = _speaking(segments)
     if words is not None:
+        words = tokens.decoded_words(words)
         base = base.join(words.select("transcript_id").distinct(), "transcript_id", "left_anti")
     every = tokens_from_segments(base)
     if words is not None:
@@ -191,6 +193,7 @@ def rows_to_persist(chunks: DataFrame, words: DataFrame | None = None, turns: Da
     """What is stored of a worker's result: one row a word where it has words, else its chunks."""
     rows = _speaking(tokens.chunk_segments(chunks, duration))
     if words is not None:
+        words = tokens.decoded_words(words)
         rest = rows.join(words.select("transcript_id").distinct(), "transcript_id", "left_anti")
         rows = rest.unionByName(tokens.normalise_words(_speaking(words)))
     if turns is not None:

@@ -125,3 +125,10 @@ def test_lines_are_measured_in_utf16_units(spark):
     for r in got:
         assert r["w"] == scalar.wrap(texts[r["i"]]) and r["n"] == scalar.length(texts[r["i"]])
     assert "\n" in next(r["w"] for r in got if r["i"] == 0)
+
+
+def test_words_without_a_time_leave_and_segments_take_their_place(spark):
+    base = spark.createDataFrame([(1, 0, "from the segment", 0.0, 2.0, None), (2, 0, "from the segment", 0.0, 2.0, None)], SEG)
+    words = spark.createDataFrame([(1, 0, " timed", 0.0, 1.0, None), (1, 1, " lost", None, 1.5, None), (1, 2, " words", 1.0, 2.0, None), (2, 0, " never", None, None, None)], SEG)
+    assert [r["text"] for r in cues.consolidate(base, words).orderBy("transcript_id").collect()] == ["Timed words.", "From the segment."]
+    assert [(r["transcript_id"], r["text"]) for r in cues.rows_to_persist(base, words).orderBy("transcript_id", "pos").collect()] == [(1, "timed"), (1, "words"), (2, "from the segment")]
