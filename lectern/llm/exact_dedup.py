@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from .common import durable, free_name, scratch_path
 
+#: Up to so many rows that take part in a comparison are broadcast to the scan of the texts (about 25 MB); more are joined.
+BROADCAST_ROWS = 1 << 18
 #: Copies compared with one replica of the kept text; a hot group gets one replica for each such slice.
 COPIES_PER_REPLICA = 256
 #: Batches of arrivals; each is aggregated in memory and flushed as one sorted run, and as many runs are merged.
@@ -118,7 +120,8 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, keep: str, digest, ind
     copies = found.where("copies > 1 and keep_id <> id").select("id", "digest", "keep_id", F.ceil(F.col("copies") / COPIES_PER_REPLICA).cast("int").alias("replicas")).distinct()
     keepers = copies.groupBy("keep_id", "digest").agg(F.max("replicas").alias("replicas")).select(F.col("keep_id").alias("id"), "digest", F.lit(None).cast("long").alias("keep_id"), "replicas")
     # every text that takes part crosses once by its id, spread evenly; only those then meet the text that stays
-    texts = copies.unionByName(keepers).join(raw, "id").withColumn("norm", norm)
+    part = durable(copies.unionByName(keepers), "compared")
+    texts = raw.join(F.broadcast(part) if part.count() <= BROADCAST_ROWS else part, "id").withColumn("norm", norm)
     texts = texts.where(F.coalesce(digest(F.col("norm")) == F.col("digest"), F.lit(False)))  # no join key, so that only these texts are digested again
     left = texts.where("keep_id is not null").select("digest", F.pmod(F.xxhash64("id"), F.col("replicas")).cast("int").alias("slice"), "norm")
     right = texts.where("keep_id is null").select("digest", F.explode(F.sequence(F.lit(0), F.col("replicas") - 1)).alias("slice"), F.col("norm").alias("kept_norm"))
