@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, map_texts
+from .common import free_name, map_texts, sweep
 from .linear import Adam, sample_labelled, sigmoid, trigram_buckets
 
 BITS = 13
@@ -88,6 +88,8 @@ def fit(docs: DataFrame, text_col: str = "text", label_col: str = "lang", id_col
         adam.step({"w": x.T @ g + DECAY * w, "b": g.sum(axis=0)})
     right = np.mean(y * (x @ w + b) > 0, axis=0)
     trust = np.maximum(right - 0.5, 1e-3)
+    del rows, x, y  # what the sample took of the driver's memory goes before other operators run
+    sweep(docs.sparkSession)
     return LanguageModel(languages, code, w, b, trust / trust.sum() * len(trust))
 
 
