@@ -147,8 +147,8 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     gone_id, gone_key = free_name(docs.columns, "drop_id"), free_name(docs.columns, "drop_key")
     copied = durable(_grouped(docs, id_col, text_col, keep, sha256_digest, None).where("id is not null and size > 1"), "copied")
-    gone = copied.where("keep <> id").select(F.col("id").alias(gone_id), F.col("key").alias(gone_key)).distinct()
-    kept = docs.join(gone, (docs[id_col] == gone[gone_id]) & (text_key(docs[text_col]) == gone[gone_key]), "left_anti")
+    gone = durable(copied.where("keep <> id").select(F.col("id").alias(gone_id), F.col("key").alias(gone_key)).distinct(), "dropped")
+    kept = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, (docs[id_col] == gone[gone_id]) & (text_key(docs[text_col]) == gone[gone_key]), "left_anti")
     repeated = durable(copied.where("keep = id").groupBy("id", "sha").count().where("count > 1").select(F.col("id").alias(gone_id)).distinct(), "repeated-rows")
     if repeated.isEmpty():
         return kept

@@ -38,7 +38,7 @@ COUNTED, BUCKETS = 8, 1 << 22
 #: Bits of the table that tells which shingles may be shared (8 MB), in maps of so many bits.
 SHARED_BITS, MAP_BITS = 1 << 26, 1 << 15
 #: Words whose hashes a worker remembers, and bytes of a text that are cut into words at once.
-CACHE_WORDS, BLOCK_BYTES = 300_000, 1 << 20
+CACHE_WORDS, BLOCK_BYTES = 1 << 16, 1 << 20
 #: Odd factors of the rolling hash over a shingle's words, and of its finish: from the golden ratio, the square roots of two and three.
 FACTOR, FINISH_A, FINISH_B = 0x9E3779B97F4A7C15, 0x6A09E667F3BCC909, 0xBB67AE8584CAA73B
 #: Up to so many documents outside its largest part a group is compared pair by pair; a fuller one goes on beyond its pivot.
