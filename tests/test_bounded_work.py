@@ -60,3 +60,12 @@ def test_overlap_cuts_reads_segments_once(spark):
     assert found.columns == ["transcript_id", "given", "kept", "cut"]
     assert sorted(map(tuple, found.collect())) == [(1, 8, 6, 2), (3, 1, 1, 0)]
     assert exchanges(found) <= 2  # the windows and the fold; four and more when tokens were counted apart
+
+
+def test_wrapping_asks_no_break_about_the_whole_text(spark):
+    row = spark.range(1).select(F.repeat(F.lit("word and "), 1_500).alias("t"))
+    began = time.time()
+    wrapped = row.select(T.wrap("t").alias("w")).first()["w"]
+    assert time.time() - began < 15
+    first, second = wrapped.split("\n")
+    assert abs(len(first) - len(second)) < 9 and f"{first} {second}" == ("word and " * 1_500).strip()
