@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import scalar
 from lectern.functions import text as T
-from lectern.operators import cues
+from lectern.operators import cues, tokens
 
 
 def exchanges(df) -> int:
@@ -83,3 +83,15 @@ def test_whole_segments_are_labelled_before_they_are_cut(spark, monkeypatch):
     found = cues.consolidate(segments, turns=turns)
     assert sorted(map(str, found.collect())) == sorted(map(str, before.select(found.columns).collect()))
     assert {r["transcript_id"] for r in labelled[0].select("transcript_id").collect()} == {2, 7}  # a segment without an end, and word times
+
+
+def test_words_are_normalised_by_one_sort(spark):
+    rows = [(1, 0, "lead", 0.0, 0.2), (1, 1, "ing", 0.2, 0.5), (1, 2, " i", 0.4, 0.3), (1, 3, " ", 0.5, 0.6), (1, 4, " so,then go", 0.5, 1.7), (1, 5, "光", 1.6, 1.6), (1, 6, "合", 1.6, 1.9),
+            (2, 0, " late", 5.0, 4.0), (2, 1, "-ly", None, 6.0), (2, 2, " none", None, None), (2, 3, " x\U0001f600 y", 7.0, 8.0), (3, 0, None, 1.0, 2.0), (4, 0, " a.b", None, None), (4, 1, "", 1.0, 2.0), (4, 2, " c", 1.0, None)]
+    words = spark.createDataFrame(rows, "transcript_id long, pos int, text string, start double, end double").withColumn("speaker", F.concat(F.lit("s"), "pos"))
+    found = tokens.normalise_words(words)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [") == 1 and "Aggregate" not in plan and "Window" not in plan
+    parts = tokens.clamp(tokens.split_glued(tokens.fold_continuations(words)))
+    assert found.schema.simpleString() == parts.schema.simpleString()
+    assert sorted(map(str, found.collect())) == sorted(map(str, parts.collect())) and found.count() == 13
