@@ -82,7 +82,9 @@ def test_whole_segments_are_labelled_before_they_are_cut(spark, monkeypatch):
     monkeypatch.setattr(cues.align, "label_tokens", lambda tokens, turns: labelled.append(tokens) or label(tokens, turns))
     found = cues.consolidate(segments, turns=turns)
     assert sorted(map(str, found.collect())) == sorted(map(str, before.select(found.columns).collect()))
-    assert {r["transcript_id"] for r in labelled[0].select("transcript_id").collect()} == {2, 7}  # a segment without an end, and word times
+    rows = labelled[0].groupBy("transcript_id").count().collect()
+    # whole segments of two; tokens of a transcript with a segment without an end, and of one with word times
+    assert {r["transcript_id"]: r["count"] for r in rows} == {0: 4, 1: 4, 2: cues.tokens_from_segments(segments).where("transcript_id = 2").count(), 7: 6}
 
 
 def test_words_are_normalised_by_one_sort(spark):
