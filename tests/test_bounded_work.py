@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import scalar
 from lectern.functions import text as T
-from lectern.operators import cues, tokens
+from lectern.operators import align, cues, tokens
 
 
 def exchanges(df) -> int:
@@ -97,3 +97,21 @@ def test_words_are_normalised_by_one_sort(spark):
     parts = tokens.clamp(tokens.split_glued(tokens.fold_continuations(words)))
     assert found.schema.simpleString() == parts.schema.simpleString()
     assert sorted(map(str, found.collect())) == sorted(map(str, parts.collect())) and found.count() == 13
+
+
+def test_items_are_dealt_out_for_the_join_and_once_more(spark):
+    items = spark.createDataFrame([(1, i, f"w{i}", i * 1.0, i + 0.9) for i in range(50)] + [(2, 0, "far", 5.0, 6.0), (3, 0, "none", 0.0, 1.0)], "transcript_id long, pos long, text string, start double, end double")
+    turns = spark.createDataFrame([(1, 0, 0.0, 20.0, 4), (1, 1, 19.5, 30.0, 5), (1, 2, 40.2, 44.0, 6), (2, 0, 9.0, 9.5, 7)], "transcript_id long, idx int, start double, end double, speaker int")
+    wrong_end = spark.createDataFrame([(1, 3, 31.0, 9e6, 8), (2, 1, 5.5, 9e4, 9)], turns.schema)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = align.assign_speakers(items, turns)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("hashpartitioning(") == 3  # items and turns for the join, and what it finds; four when aggregate and windows dealt out apart
+        got = {(r["transcript_id"], r["text"]): r["speaker_id"] for r in found.collect()}
+        long = {(r["transcript_id"], r["text"]): r["speaker_id"] for r in align.assign_speakers(items, turns.union(wrong_end)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(got) == 52 and got[1, "w3"] == 4 and got[1, "w19"] == 4 and got[1, "w29"] == got[1, "w34"] == 5 and got[1, "w36"] == got[1, "w49"] == 6
+    assert got[2, "far"] == 7 and got[3, "none"] is None
+    assert len(long) == 52 and long[1, "w34"] == long[1, "w49"] == 8 and long[1, "w41"] == 6 and long[1, "w3"] == 4 and long[2, "far"] == 9
