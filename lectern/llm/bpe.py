@@ -133,14 +133,14 @@ class ByteBpe:
 class WordCache(dict):
     """From word to whatever ``make`` gives for it, bounded."""
 
-    def __init__(self, make):
+    def __init__(self, make, most: int = CACHE_WORDS):
         super().__init__()
-        self.make = make
+        self.make, self.most = make, most
 
     def __missing__(self, word: str):
         value = self.make(word)
         if len(word) <= CACHE_CHARS:
-            if len(self) >= CACHE_WORDS:
+            if len(self) >= self.most:
                 self.clear()
             self[word] = value
         return value

@@ -14,7 +14,7 @@ from __future__ import annotations
 import re
 from array import array
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import accumulate, pairwise
 from operator import sub
 
 import numpy as np
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import ByteBpe, WordCache, build, read_tokenizer
+from .bpe import NONE, ByteBpe, WordCache, build, read_tokenizer
 from .common import free_name, map_texts
 
 LIMIT = 512
@@ -34,6 +34,12 @@ BLOCK_CHARS = 1 << 18
 #: A space before anything but white space begins a word of the pre-tokenizer, whatever stands before it.
 OPENING = re.compile(r" (?=\S)")
 SEGMENT = re.compile(r"(?= \S)")
+#: Where cutting at every space would not do, and where a stretch that ends in white space may count otherwise.
+UNEVEN, BENDING = re.compile(r" (?:\s|\Z)"), re.compile(r"\s (?=\S)")
+#: Beginnings of words, in bytes, from which other words go on, and how many are remembered per worker; stretches remembered per worker.
+STEMS, CACHE_STEMS, CACHE_SEGMENTS = (10, 7, 4), 100_000, 500_000
+#: Marks that are words of their own behind a letter.
+MARKS = frozenset(".,;:!?")
 
 
 class Following(dict):
@@ -46,7 +52,7 @@ class Following(dict):
     def __missing__(self, data: bytes) -> Following | None:
         c, t = self.counter, self.counter.ids.get(data)
         c.remember()
-        fits = t is not None and (self.token is None or c.bpe.merge(c.bpe.token_bytes[self.token] + data) == [self.token, t])
+        fits = t is not None and (self.token is None or c.fits(self.token, t))
         found = self[data] = c.following(t) if fits else None
         return found
 
@@ -62,11 +68,17 @@ class PrefixCounter:
             lengths.setdefault(t[-2:], set()).add(len(t))
         single = {t for t in self.ids if len(t) == 1}
         self.lengths = {e: sorted(found | ({1} if e[-1:] in single else set())) for e, found in lengths.items()}
+        # the two parts of each merged token, where ids are in the order of the merges and no token has two; bytes are their own parts
+        merged, single_ids = bpe.merged, bpe.byte_ids
+        ordered = all(a < b for a, b in pairwise(merged)) and (not merged or max(single_ids) < merged[0])
+        self.parts = {m: (pair >> 32, pair & 0xFFFFFFFF) for pair, m in zip(bpe.ranks, merged)} | {i: (i, i) for i in single_ids} if ordered and len(bpe.ranks) == len(merged) else None
         self.tables: dict[int | None, Following] = {}
         self.known = 0
         self.counts = WordCache(lambda w: self.word(w.encode())[-1])
         self.word_steps = WordCache(self.steps_of_word)
-        self.segments = WordCache(self.segment)
+        self.segments = WordCache(lambda stretch: self.segment(stretch)[0], CACHE_SEGMENTS)
+        self.bent = WordCache(self.segment)
+        self.stems: dict[bytes, tuple[list[Following], list[int]]] = {}
 
     def remember(self) -> None:
         """One more answer; too many of them start anew."""
@@ -74,6 +86,30 @@ class PrefixCounter:
         if self.known > CACHE_PAIRS:
             self.known = 0
             self.tables.clear()
+            self.stems.clear()
+
+    def fits(self, a: int, b: int) -> bool:
+        """Whether encoding the joined bytes of two tokens gives these two again.
+
+        It does unless a part at the end of ``a`` and one at the start of ``b`` merge before the tokens they stand in are made:
+        the later token of the two is taken apart step by step, and the pair at the border looked up.
+        """
+        if self.parts is None:
+            return self.bpe.merge(self.bpe.token_bytes[a] + self.bpe.token_bytes[b]) == [a, b]
+        parts, ranks, merged = self.parts, self.bpe.ranks, self.bpe.merged
+        limit = NONE
+        while True:
+            rank = ranks.get(a << 32 | b)
+            if rank is not None and merged[rank] < limit:
+                return False
+            if a > b and parts[a][1] != a:
+                limit, a = a, parts[a][1]
+            elif parts[b][0] != b:
+                limit, b = b + 1, parts[b][0]
+            elif parts[a][1] != a:
+                limit, a = a, parts[a][1]
+            else:
+                return True
 
     def following(self, token: int | None) -> Following:
         if token not in self.tables:
@@ -81,10 +117,15 @@ class PrefixCounter:
         return self.tables[token]
 
     def word(self, word: bytes) -> list[int]:
-        """Counts at the prefixes of 0, 1, ... bytes of one word."""
+        """Counts at the prefixes of 0, 1, ... bytes of one word. They depend on what is before them alone, so words go on from where others began alike."""
         lengths = self.lengths.get
-        after, count = [self.following(None)], [0]
-        for k in range(1, len(word) + 1):
+        for n in STEMS:
+            if len(word) >= n and (stem := self.stems.get(word[:n])):
+                after, count = stem[0].copy(), stem[1].copy()
+                break
+        else:
+            after, count = [self.following(None)], [0]
+        for k in range(len(count), len(word) + 1):
             for n in lengths(word[k - 2 if k > 1 else 0 : k], ONE):
                 start = k - n
                 if start >= 0 and (found := after[start][word[start:k]]) is not None:
@@ -93,6 +134,10 @@ class PrefixCounter:
                     break
             else:
                 raise ValueError("no token ends here")
+            if k in STEMS:
+                if len(self.stems) >= CACHE_STEMS:
+                    self.stems.clear()
+                self.stems[word[:k]] = after.copy(), count.copy()
         return count
 
     def inside(self, before: str, word: str, base: int, base_before: int) -> list[int]:
@@ -132,6 +177,8 @@ class PrefixCounter:
         """
         if text[1:].isalpha() and (text[0] == " " or text[0].isalpha()):
             return self.word_steps[text], 0
+        if text[-1] in MARKS and text[1:-1].isalpha() and (text[0] == " " or text[0].isalpha()):
+            return self.word_steps[text[:-1]] + self.word_steps[text[-1]], 0
         words = self.bpe.words(text)
         if len(words) == 1:
             return self.word_steps[text], 0
@@ -152,9 +199,11 @@ class PrefixCounter:
         """The step to the count at each character, as little-endian 16-bit integers."""
         if any(s in text for s in self.bpe.special):
             return packed(np.diff(np.array(self.prefixes(text))))
+        if not BENDING.search(text):
+            return b"".join(map(self.segments.__getitem__, stretches(text)))
         parts, bends, at = [], [], 0
         for stretch in stretches(text):
-            steps, off = self.segments[stretch]
+            steps, off = self.bent[stretch] if stretch[-1].isspace() else (self.segments[stretch], 0)
             parts.append(steps)
             at += len(stretch)
             if off:
@@ -182,11 +231,12 @@ def stretches(text: str) -> Iterator[str]:
         space = OPENING.search(text, at + BLOCK_CHARS)
         end = space.start() if space else len(text)
         block = text[at:end]
-        pieces = (block[1:] if at else block).split(" ")
-        if any(not p or p[0].isspace() for p in pieces):
+        if UNEVEN.search(block):
             yield from filter(None, SEGMENT.split(block))
         else:
-            yield " " + pieces[0] if at else pieces[0]
+            pieces = block.split(" ")
+            if pieces[0]:
+                yield pieces[0]
             yield from [" " + p for p in pieces[1:]]
         at = end
 

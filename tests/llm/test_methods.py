@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lectern.llm import common, exact_dedup, exact_topk, language_id, mixing, quality, queries, simhash, toxicity
+from lectern.llm import bpe, common, exact_dedup, exact_topk, language_id, mixing, quality, queries, simhash, token_counts, toxicity
 
 SF = "/root/testdata/sf0.01"
 
@@ -214,3 +214,35 @@ def test_no_folder_of_this_machine_on_a_cluster():
 
     with pytest.raises(ValueError):
         common.shared_dir(Session())
+
+
+def test_words_go_on_from_where_others_began_alike():
+    text = bpe.read_tokenizer(queries.tokenizer_path())
+    counter, fresh = token_counts.PrefixCounter(bpe.ByteBpe(text)), token_counts.PrefixCounter(bpe.ByteBpe(text))
+    asked = []
+
+    class Asked(dict):
+        def get(self, key, default=None):
+            asked.append(key)
+            return super().get(key, default)
+
+    counter.lengths = Asked(counter.lengths)
+    assert counter.word(b" foundations")[-1] == len(counter.bpe.merge(b" foundations"))
+    asked.clear()
+    for word in (b" foundationx", b" foundry", b" found", b" fou", b" founding"):
+        assert counter.word(word) == [len(fresh.bpe.merge(word[:k])) for k in range(len(word) + 1)]
+    assert len(asked) == 2 + 4 + 2 + 0 + 5  # one a byte before, 39
+    for t in ("a, b. so  c\n d", " lead, the word.", "end ", "x\t y  z!? ok's it", "déjà, vu: 12. a;", "", " ", ",", "two  \n  gaps. here "):
+        assert [0, *np.cumsum(np.frombuffer(counter.steps(t), "<i2")).tolist()] == fresh.prefixes(t)
+
+
+def test_which_tokens_follow_is_told_from_their_parts():
+    b = bpe.ByteBpe(bpe.read_tokenizer(queries.tokenizer_path()))
+    counter = token_counts.PrefixCounter(b)
+    assert counter.parts
+    ids, rng = sorted(counter.ids.values()), np.random.default_rng(5)
+    merged, b.merge = b.merge, None  # not asked
+    pairs = [*zip(rng.choice(ids, 20_000).tolist(), rng.choice(ids, 20_000).tolist()), *((x, y) for x in ids[:80] for y in ids[:80])]
+    pairs += [(ids_of[0], ids_of[1]) for w in rng.choice(ids, 5_000).tolist() for k in (1, 2, 3) if len(ids_of := [counter.ids.get(part) for part in (b.token_bytes[w][:k], b.token_bytes[w][k:])]) and None not in ids_of]
+    fits = [counter.fits(x, y) for x, y in pairs]
+    assert fits == [merged(b.token_bytes[x] + b.token_bytes[y]) == [x, y] for x, y in pairs] and any(fits) and not all(fits)
