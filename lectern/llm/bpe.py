@@ -18,7 +18,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import free_name, map_texts
+from .common import free_name, map_texts, remembered
 
 #: Longer words are merged with a heap: the scan for the minimum takes quadratic time, so it is for short words.
 SHORT_WORD = 128
@@ -146,17 +146,9 @@ class WordCache(dict):
         return value
 
 
-_built: dict = {}
-
-
 def build(text: str, kind=None):
     """One set of tables and caches per worker and file: the tokenizer, or ``kind(tokenizer)``."""
-    key = (hash(text), kind)
-    if key not in _built:
-        if _built and next(iter(_built))[0] != key[0]:
-            _built.clear()
-        _built[key] = kind(build(text)) if kind else ByteBpe(text)
-    return _built[key]
+    return remembered((hash(text), kind), lambda: kind(build(text)) if kind else ByteBpe(text))
 
 
 def read_tokenizer(path: str) -> str:

@@ -58,6 +58,13 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def return_memory() -> None:
+    """Give memory that this Python process has freed back to the machine."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of the GNU C library
+        trim(0)
+
+
 def sweep(spark: SparkSession) -> None:
     """Let go of what no plan needs any more: shuffle files, which Spark deletes when the driver collects its garbage, and free memory of the driver.
 
@@ -65,9 +72,26 @@ def sweep(spark: SparkSession) -> None:
     """
     gc.collect()
     spark._jvm.System.gc()
-    pa.default_memory_pool().release_unused()
-    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of the GNU C library
-        trim(0)
+    return_memory()
+
+
+_held: dict = {}
+_asked: set = set()
+
+
+def remembered(key, make: Callable):
+    """``make()``, kept by this worker from task to task as long as the tasks that it runs ask for it."""
+    _asked.add(key)
+    if key not in _held:
+        _held[key] = make()
+    return _held[key]
+
+
+def forget_the_rest() -> None:
+    """Let go of what the task that begins has not asked for: workers outlive operators."""
+    for key in _held.keys() - _asked:
+        del _held[key]
+    _asked.clear()
 
 
 def free_name(columns: list[str], want: str) -> str:
@@ -95,23 +119,26 @@ def steps(lengths: list[int], limit: int = STEP_CHARS) -> Iterator[tuple[int, in
         yield start, len(lengths)
 
 
-def map_texts(df: DataFrame, text_col: str, make: Callable, schema: str) -> DataFrame:
+def map_texts(df: DataFrame, text_col: str, make: Callable, schema: str, keep_text: bool = False) -> DataFrame:
     """``mapInArrow`` that hands ``make()``'s function the texts and the other columns, in bounded steps.
 
-    ``make()`` runs once per task and returns ``f(texts) -> dict of new columns``; the columns of ``df``
-    other than ``text_col`` are carried along in front.
+    ``make()`` runs once per task and returns ``f(texts) -> dict of new columns``; the columns of ``df``, without
+    ``text_col`` unless ``keep_text``, are carried along in front. Workers outlive their tasks, so each task gives back
+    what it has freed.
     """
-    carried = [f for f in df.schema.fields if f.name != text_col]
+    carried = [f for f in df.schema.fields if keep_text or f.name != text_col]
     fields = ", ".join([f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in carried] + [schema])
     names = [f.name for f in carried]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
+        forget_the_rest()
         for batch in batches:
             for lo, hi in steps([n or 0 for n in pc.binary_length(batch.column(text_col)).to_pylist()]):
                 part = batch.slice(lo, hi - lo)
                 new = work(part.column(text_col).to_pylist())
                 columns = [part.column(n) for n in names] + list(new.values())
                 yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names + list(new))
+        return_memory()
 
     return df.mapInArrow(run, fields)

@@ -66,7 +66,7 @@ class LanguageModel:
 
 
 def fit(docs: DataFrame, text_col: str = "text", label_col: str = "lang", id_col: str = "doc_id", sample_docs: int = SAMPLE_DOCS) -> LanguageModel:
-    """Fit on a bounded sample of the labelled rows of ``docs``; the sample's trigram shares come to the driver."""
+    """Fit on a bounded sample of the labelled rows of ``docs``; the sample's trigram shares come to the driver, those that are not zero."""
     labelled = docs.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).alias("label"))
     n_labels = max(1, labelled.select("label").distinct().count())
     sample, counts = sample_labelled(labelled, "id", "label", max(1, sample_docs // n_labels))
@@ -77,10 +77,16 @@ def fit(docs: DataFrame, text_col: str = "text", label_col: str = "lang", id_col
         return LanguageModel(languages, code, w, b, np.ones(code.shape[1]))
 
     def make():
-        return lambda texts: {"x": pa.array([r.astype("<f2").tobytes() for r in features(texts)], pa.binary())}
+        def work(texts: list) -> dict:
+            found = [(np.flatnonzero(r), r) for r in (features([t])[0].astype("<f2") for t in texts)]
+            return {"at": pa.array([at.astype("<u2").tobytes() for at, _ in found], pa.binary()), "x": pa.array([r[at].tobytes() for at, r in found], pa.binary())}
+
+        return work
 
-    rows = map_texts(sample, "text", make, "x binary").select("label", "x").toArrow()
-    x = np.stack([np.frombuffer(v.as_buffer(), "<f2") for v in rows.column("x")]).astype(np.float32)
+    rows = map_texts(sample, "text", make, "at binary, x binary").select("label", "at", "x").toArrow()
+    x = np.zeros((len(rows), 1 << BITS), np.float32)
+    for row, at, v in zip(x, rows.column("at"), rows.column("x")):
+        row[np.frombuffer(at.as_buffer(), "<u2")] = np.frombuffer(v.as_buffer(), "<f2")
     y = code[[languages.index(v) for v in rows.column("label").to_pylist()]].astype(np.float32)
     adam = Adam({"w": w, "b": b}, RATE)
     for _ in range(STEPS):
@@ -102,8 +108,6 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", keep
     shipped = docs.sparkSession.sparkContext.broadcast(model)
     others = docs.columns if keep_text else [c for c in docs.columns if c != text_col]
     pred, score, vague = (free_name(others, c) for c in ("lang_pred", "score", "ambiguous"))
-    work_col = free_name(docs.columns, "text_to_read") if keep_text else text_col
-    source = docs.withColumn(work_col, F.col(text_col)) if keep_text else docs
 
     def make():
         model = shipped.value
@@ -122,7 +126,7 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", keep
 
         return work
 
-    return map_texts(source, work_col, make, f"`{pred}` string, `{score}` double, `{vague}` boolean")
+    return map_texts(docs, text_col, make, f"`{pred}` string, `{score}` double, `{vague}` boolean", keep_text)
 
 
 def confident(pred: Column, ambiguous: Column) -> Column:
