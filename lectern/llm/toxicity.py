@@ -12,8 +12,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterable, Iterator
-from itertools import chain, groupby, islice
-from operator import and_
+from itertools import chain, groupby, islice, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -58,7 +57,8 @@ STEPS, RATE, DECAY = 500, 0.1, 1e-5
 #: Min-hashes of a sampled text, those in a band, the share that near copies agree in, and the hashes' factors and addends (odd and any, from the square root of two).
 HASHES, BAND, AGREEMENT = 128, 4, 0.76
 FACTORS, ADDENDS = (np.cumsum(np.full(HASHES, x, np.uint64)) | np.uint64(1) for x in (0x6A09E667F3BCC908, 0xBB67AE8584CAA73B))
-ORNAMENTS = ("$$$", "!!!", "|||", "+++", "@@@")
+ORNAMENTS = {"$$$", "!!!", "|||", "+++", "@@@"}
+LOOKALIKE_CHARACTERS = frozenset(LOOKALIKES)
 EDGE = ".,;:?\"'()[]{}<>“”‘’«»¿-–—_*#&%~^=`/\\"
 
 
@@ -117,7 +117,42 @@ def with_last(items: Iterable) -> Iterator[tuple[bool, object]]:
 WORD_END = [("", 0.0, [0])]
 SPACED_GAP, PIECE_GAP = coded([("", GAP_DROP), (" ", GAP_KEEP)]), coded([(" ", 0.0), ("", SPLIT_DROP)])
 ORNAMENT = coded([("", 0.0), *((x, LOOKALIKE) for x in LOOKALIKES["!"])])
-GAP, DOUBLED = re.compile(r"\s"), re.compile(r"(.)\1", re.DOTALL)
+GAP, DOUBLED, REPEATED = re.compile(r"\s"), re.compile(r"(.)\1", re.DOTALL), re.compile(r"(.)\1+", re.DOTALL)
+
+
+#: Two or more tokens in a row that may be pieces, in a byte for each token.
+SHORT_ONES = re.compile(rb"\x01{2,}")
+
+
+class Unseen(dict):
+    """For ``str.translate``: characters of some categories go; filled as characters occur."""
+
+    def __init__(self, *categories: str):
+        super().__init__()
+        self.categories = categories
+
+    def __missing__(self, point: int) -> int | None:
+        found = self[point] = None if unicodedata.category(chr(point)) in self.categories else point
+        return found
+
+
+INVISIBLE, ACCENTS = Unseen("Cf", "Mn"), Unseen("Mn")
+
+
+class Remembered(dict):
+    """From a word to what ``make`` gives for it; of words longer than ``longest`` nothing is kept, a full memory starts anew."""
+
+    def __init__(self, make, longest: float = float("inf")):
+        super().__init__()
+        self.make, self.longest = make, longest
+
+    def __missing__(self, word: str):
+        found = self.make(word)
+        if len(word) <= self.longest:
+            if len(self) >= CACHE_TOKENS:
+                self.clear()
+            self[word] = found
+        return found
 
 
 def blocks(text: str) -> Iterator[str]:
@@ -178,11 +213,12 @@ class Restorer:
 
     def __init__(self, log_probs: np.ndarray):
         self.lp = (-log_probs).tolist()
-        self.known: dict[str, str] = {}
+        self.known = Remembered(self._token, CACHE_CHARS)
+        self.token = self.known.__getitem__  # the reading of one token without white space; plain words come back as they are
         self.stretches: dict[tuple, list[str]] = {}
         self.choices: dict[tuple[str, int], list] = {}
         self.edges: dict[str, tuple] = {}
-        self.hits: dict[int, dict] = {}  # what models find in words, kept as long as the readings
+        self.hits: dict[int, Remembered] = {}  # what models find in words, kept as long as the readings
 
     def options(self, c: str, n: int) -> list[tuple[str, float]]:
         """What a run of ``n`` equal characters inside a token may stand for, with costs."""
@@ -199,7 +235,7 @@ class Restorer:
     def nodes(self, characters: Iterable[str]) -> Iterator[list]:
         """The nodes of a lattice: one for each run of equal characters, its options with their symbols."""
         for c, run in groupby(characters):
-            n = min(sum(1 for _ in run), 3)
+            n = min(len(list(islice(run, 3))), 3)
             if (found := self.choices.get((c, n))) is None:
                 found = self.choices[c, n] = coded(self.options(c, n))
             yield found
@@ -239,28 +275,44 @@ class Restorer:
                 due = WINDOW + 2 * len(back)
         return "".join(settled + follow(back, min(costs, key=costs.__getitem__)))
 
-    def token(self, token: str) -> str:
-        """The reading of one token without white space; plain words come back as they are."""
-        found = self.known.get(token)
-        if found is None:
-            found = self._token(token)
-            if len(token) <= CACHE_CHARS:
-                if len(self.known) >= CACHE_TOKENS:
-                    self.known.clear()
-                self.known[token] = found
-        return found
+    def doubled(self, letters: str) -> str | None:
+        """What ``search`` reads in letters that stand for themselves, where each doubled one can be decided by itself; else None.
+
+        Reading it once or twice changes the costs of the next three symbols alone, the end of the word being one.
+        """
+        places = [m.span() for m in REPEATED.finditer(letters)]
+        if any(end - at > 2 for at, end in places) or any(b[0] - a[1] < 2 for a, b in pairwise(places)):
+            return None
+        lp, size, cut = self.lp, SYMBOLS, SYMBOLS**2
+        codes, once = [*map(symbol, letters), 0], []
+        for at, end in places:
+            g = 0
+            for s in codes[max(0, at - 2) : end - 1]:
+                g = g % cut * size + s
+            h = g % cut * size + codes[at]
+            twice, single = lp[g * size + codes[at]], DOUBLE_ONE
+            for s in codes[end : end + 3]:
+                twice, single = twice + lp[h * size + s], single + lp[g * size + s]
+                g, h = g % cut * size + s, h % cut * size + s
+            if single < twice:
+                once.append(at)
+        for at in reversed(once):
+            letters = letters[:at] + letters[at + 1 :]
+        return letters
 
     def _token(self, token: str) -> str:
-        t = token if token.isascii() else "".join(c for c in unicodedata.normalize("NFKC", token) if unicodedata.category(c) not in ("Cf", "Mn"))
+        t = token if token.isascii() else unicodedata.normalize("NFKC", token).translate(INVISIBLE)
         core = t.strip(EDGE)
-        for edge in (core[-3:], core[:3]):
-            if edge in ORNAMENTS:  # a run of three or more at an edge
-                core = core.strip(edge[0]).strip(EDGE)
-        if core.isascii() and core.isalpha() and not DOUBLED.search(core):
-            return core
+        if not core.isalpha():
+            for edge in (core[-3:], core[:3]):
+                if edge in ORNAMENTS:  # a run of three or more at an edge
+                    core = core.strip(edge[0]).strip(EDGE)
         plain = core.rstrip("!")  # after letters alone, exclamation marks are what they are
-        if plain.isalpha() and not any(c in LOOKALIKES for c in plain) and not DOUBLED.search(plain):
-            return plain
+        if plain.isalpha() and (plain.isascii() or LOOKALIKE_CHARACTERS.isdisjoint(plain)):
+            if not DOUBLED.search(plain):
+                return plain
+            if plain == core and (found := self.doubled(plain)) is not None:
+                return found
         if not any(c.isalpha() or c in LOOKALIKES for c in core) or core.isdigit():
             return core
         ending = [ORNAMENT] if plain != core else []  # at the end of other tokens they may also stand for letters
@@ -352,16 +404,12 @@ class Restorer:
             now, held = held + tokens[:end], tokens[end:]
             out: list[str] = []
             runs: list[str] = []
-            brief = [len(t) <= PIECE for t in now]
-            at = end = 0
-            for i in [i for i, both in enumerate(map(and_, brief, brief[1:])) if both]:
-                if i < end:
-                    continue
-                end = i + 2
-                while end < len(now) and brief[end]:
-                    end += 1
+            at = 0
+            for stretch in SHORT_ONES.finditer(bytes(map(PIECE.__ge__, map(len, now)))):
+                i, end = stretch.span()
                 out += map(self.token, now[at:i])
-                out += self.short(now[i:end], runs)
+                part = now[i:end]
+                out += self.short(part, runs) if len(part) > CACHE_PIECES or (known := self.stretches.get(tuple(part))) is None else known
                 at = end
             out += map(self.token, now[at:])
             yield " ".join(out).split(), runs
@@ -374,8 +422,8 @@ class Restorer:
 
 def plain_form(word: str) -> str:
     """Without accents and repeated letters, to compare readings of disguised words."""
-    base = "".join(c for c in unicodedata.normalize("NFD", word) if unicodedata.category(c) != "Mn")
-    return "".join(c for i, c in enumerate(base) if not i or c != base[i - 1])
+    base = word if word.isascii() else unicodedata.normalize("NFD", word).translate(ACCENTS)
+    return REPEATED.sub(r"\1", base)
 
 
 def stems(word: str) -> list[str]:
@@ -402,24 +450,26 @@ class ToxicityModel:
         self.log_probs, self.weights, self.bias, self.amount = log_probs, weights, bias, amount
         self.plain = {plain_form(w.rstrip(END)): w for w in weights if len(plain_form(w.rstrip(END))) >= 4}
         self.openings = {w[:n] for w in weights if w.endswith(END) for n in range(2, len(w) - 2)}
-
-    def hits(self, word: str, memory: dict) -> tuple[str, ...]:
-        hit = memory.get(word)
-        if hit is None:
-            hit = tuple(s for s in stems(word) if s in self.weights)
-            if not hit and (not word.isascii() or DOUBLED.search(word)) and (bare := plain_form(word)) != word:
-                hit = tuple(v for k, v in self.plain.items() if (bare == k if v.endswith(END) else bare.startswith(k) and len(k) > 5))
-            if len(memory) >= CACHE_TOKENS:
-                memory.clear()
-            memory[word] = hit
+        self.heads, self.plain_heads = {w[:3] for w in weights}, {k[:2] for k in self.plain}
+        self.lengths = sorted({len(k) for k, v in self.plain.items() if not v.endswith(END) and len(k) > 5})
+
+    def hits(self, word: str) -> tuple[str, ...]:
+        """The word and its stems as far as the model has them; of a word without any, those that its plain form is or begins with."""
+        hit = tuple(s for s in stems(word) if s in self.weights) if (word + END)[:3] in self.heads else ()
+        two = word[:2]
+        if hit or two.isascii() and two[:1] != two[1:] and two not in self.plain_heads:  # these two also begin the plain form
+            return hit
+        if (not word.isascii() or DOUBLED.search(word)) and (bare := plain_form(word)) != word:
+            begins = [v for n in self.lengths if n <= len(bare) and (v := self.plain.get(bare[:n], END))[-1:] != END]
+            hit = (*begins, v) if (v := self.plain.get(bare, "")).endswith(END) else tuple(begins)
         return hit
 
-    def evidence(self, words: list[str], memory: dict, known: int = 0) -> list[str]:
-        """Words and stems of the model in a restored text, as often as they occur.
+    def evidence(self, words: list[str], memory: Remembered, known: int = 0) -> list[str]:
+        """Words and stems of the model in a restored text, as often as they occur; ``memory`` remembers ``hits``.
 
         The first ``known`` words were looked at before and only begin words that are cut in two.
         """
-        found = [h for w in words[known:] if (hit := self.hits(w, memory)) for h in hit]
+        found = [*chain.from_iterable(map(memory.__getitem__, words[known:] if known else words))]
         for i in [i for i, w in enumerate(words[:-1]) if w in self.openings]:  # a word cut in two
             if (both := words[i] + words[i + 1] + END) in self.weights:
                 found.append(both)
@@ -554,7 +604,8 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col: s
     drafted = docs.sparkSession.sparkContext.broadcast(draft)
 
     def make_hits():
-        model, memory = drafted.value, {}
+        model = drafted.value
+        memory = Remembered(model.hits)
 
         def work(texts: list) -> dict:
             found, n_words = [], []
@@ -599,7 +650,7 @@ def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text", with_re
     def make():
         model = shipped.value
         read = restorer(model.log_probs)
-        memory = read.hits.setdefault(hash(tuple(model.weights)), {})
+        memory = read.hits.setdefault(hash(tuple(model.weights)), Remembered(model.hits))
 
         def work(texts: list) -> dict:
             scores, found, whole = [], [], []
