@@ -168,10 +168,12 @@ def drop_similar_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     texts = docs.where(F.col(id_col).isNotNull()).select(node(F.col(id_col).cast("long"), key).alias("id"), F.col(text_col).alias("text"))
     near = durable(grouped(rows.select(F.col("node").alias("id"), "key", "fp")).where("component_id <> id").select(F.col("id").alias("u"), F.col("component_id").alias("v")), "near-fingerprints")
     sweep(docs.sparkSession)
-    linked = components(near.unionByName(similar.links(texts)))
+    edges = similar.links(texts)
+    sweep(docs.sparkSession)
+    linked = components(near.unionByName(edges))
     placed = durable(linked.join(rows.select("node", "id", "key").distinct(), "node"), "placed-documents")
     lowest = placed.groupBy("component").agg(F.min(F.struct("id", "key"))["id"].alias("lowest"), F.min(F.struct("id", "key"))["key"].alias("lowest_key"))
     gone_id, gone_key = free_name(docs.columns, "drop_id"), free_name(docs.columns, "drop_key")
     sweep(docs.sparkSession)
-    gone = placed.join(lowest, "component").where("id <> lowest or key <> lowest_key").select(F.col("id").alias(gone_id), F.col("key").alias(gone_key)).distinct()
-    return docs.join(gone, (docs[id_col] == gone[gone_id]) & (text_key(docs[text_col]) == gone[gone_key]), "left_anti")
+    gone = durable(placed.join(lowest, "component").where("id <> lowest or key <> lowest_key").select(F.col("id").alias(gone_id), F.col("key").alias(gone_key)).distinct(), "dropped-documents")
+    return docs.join(similar.few(gone), (docs[id_col] == gone[gone_id]) & (text_key(docs[text_col]) == gone[gone_key]), "left_anti")

@@ -12,8 +12,10 @@ it is no larger than they are: then they are connected already. So what is left
 shingle that the pivot lacks, and is met by the same join on prefixes of what the sets have beyond it, and so on until no
 crowd is left. Every step compares each member with its pivot alone and leaves the pivot behind.
 
-Only sizes and prefixes of the sets are stored; whole sets are made again from the texts of those few documents whose
-prefixes leave it open whether they are similar.
+Only sizes, prefixes and parity bits of the sets are stored. Members fall into as many buckets as a set has members, rounded
+up to a power of two, and a bit tells whether a bucket holds an odd number. Whatever is in one of two sets only flips one bit, so
+sets differ in at least as many members as their bits; that rules out nearly all pairs that are not similar, at an eighth of a
+byte a member. Whole sets are made again from the texts of those few documents whose bits leave it open.
 """
 
 from __future__ import annotations
@@ -41,10 +43,12 @@ SHARED_BITS, MAP_BITS = 1 << 26, 1 << 15
 CACHE_WORDS, BLOCK_BYTES = 1 << 16, 1 << 20
 #: Odd factors of the rolling hash over a shingle's words, and of its finish: from the golden ratio, the square roots of two and three.
 FACTOR, FINISH_A, FINISH_B = 0x9E3779B97F4A7C15, 0x6A09E667F3BCC909, 0xBB67AE8584CAA73B
+#: The bits of a shingle from this one on choose its bucket in a parity; lower ones choose levels and shared bits.
+PARITY_SHIFT = 28
 #: Up to so many documents outside its largest part a group is compared pair by pair; a fuller one goes on beyond its pivot.
 GROUP_LIMIT = 32
-#: Up to so many ids or shingles are broadcast to pick what belongs to them (8 MB); more are joined.
-BROADCAST_IDS = 1 << 20
+#: Up to so many ids are broadcast to pick what belongs to them (8 MB), which saves dealing out texts; more are joined. Of rows with more columns, fewer are.
+BROADCAST_IDS, BROADCAST_PAIRS, BROADCAST_PIVOTS = 1 << 20, 1 << 18, 1 << 16
 GAP = re.compile(rb"[ \t\n\x0b\f\r]")
 
 
@@ -112,28 +116,44 @@ def least_shared(n_u: Column, n_v: Column) -> Column:
     return F.ceil((n_u + n_v) * SIMILAR[0] / sum(SIMILAR)).cast("int")
 
 
+def parity(s: np.ndarray) -> np.ndarray:
+    """Whether an odd number of a set's shingles is in each of its buckets, in longs; halves of twice as many buckets fold by exclusive or."""
+    bits = max(64, 1 << (len(s) - 1).bit_length())
+    at = (s >> np.uint64(PARITY_SHIFT)).astype(np.int64) & (bits - 1)
+    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def bits_apart(a: Column, b: Column) -> Column:
+    """In how many bits the parities of two sets differ, the longer one, of at most twice the length, being folded."""
+    size = F.least(F.size(a), F.size(b))
+    fold = lambda p: F.when(F.size(p) == size, p).otherwise(F.zip_with(F.slice(p, F.lit(1), size), F.slice(p, size + 1, size), lambda x, y: x.bitwiseXOR(y)))
+    return F.aggregate(F.zip_with(fold(a), fold(b), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda held, n: held + n)
+
+
 def ordered(rows: DataFrame, levels, whole: bool) -> DataFrame:
-    """(id, n, set or prefix) of (id, text): the number of shingles, and all of them or a prefix in the common order.
+    """(id, n, set) or (id, n, prefix, parity) of (id, text): the number of shingles, and all of them or a prefix in the common order.
 
     ``levels`` is what ``frequent`` found, broadcast to the workers.
     """
-    column = "set" if whole else "prefix"
 
     def make():
         hashes, level = WordHashes(), levels.value
 
         def work(texts: list) -> dict:
-            sizes, held = [], []
+            sizes, held, odd = [], [], []
             for t in texts:
                 s = shingles(t, hashes)
+                if not whole:
+                    odd.append(parity(s))
                 s = np.sort((level[bucket(s)].astype(np.uint64) << np.uint64(56)) | s)
                 sizes.append(len(s))
                 held.append((s if whole else s[: len(s) - -(-len(s) * SIMILAR[0] // SIMILAR[1]) + 1]).view(np.int64))
-            return {"n": pa.array(sizes, pa.int32()), column: pa.array(held, pa.list_(pa.int64()))}
+            found = {"n": pa.array(sizes, pa.int32()), "set" if whole else "prefix": pa.array(held, pa.list_(pa.int64()))}
+            return found if whole else found | {"parity": pa.array(odd, pa.list_(pa.int64()))}
 
         return work
 
-    return map_texts(rows, "text", make, f"n int, {column} array<long>")
+    return map_texts(rows, "text", make, "n int, set array<long>" if whole else "n int, prefix array<long>, parity array<long>")
 
 
 class Scratch:
@@ -157,16 +177,17 @@ class Texts:
 
     def __init__(self, rows: DataFrame):
         self.rows, self.levels = rows, rows.sparkSession.sparkContext.broadcast(frequent(rows))
+        sweep(rows.sparkSession)
         self.kept = durable(ordered(rows, self.levels, False), "prefixes")
 
     def sets(self, ids: DataFrame) -> DataFrame:
-        """(id, set) of ``ids`` (id, distinct)."""
-        return ordered(self.rows.join(few(ids), "id", "left_semi"), self.levels, True).select("id", "set").dropDuplicates(["id"])
+        """(id, set) of the rows of ``ids`` (id, distinct)."""
+        return ordered(self.rows.join(few(ids), "id", "left_semi"), self.levels, True).select("id", "set")
 
 
-def few(keys: DataFrame) -> DataFrame:
+def few(keys: DataFrame, limit: int = BROADCAST_IDS) -> DataFrame:
     """``keys``, to be broadcast if they are few."""
-    return F.broadcast(keys) if keys.count() <= BROADCAST_IDS else keys
+    return F.broadcast(keys) if keys.count() <= limit else keys
 
 
 def shared_bits(shared: DataFrame) -> np.ndarray:
@@ -201,24 +222,21 @@ def ids_of(pairs: DataFrame, *sides: str) -> DataFrame:
 
 
 def verified(pairs: DataFrame, texts: Texts) -> DataFrame:
-    """Those of ``pairs`` (u, v, n_u, n_v) whose sets are similar enough; sizes and prefixes rule most others out.
+    """Those of ``pairs`` (u, v, n_u, n_v) whose sets are similar enough; sizes and parities rule most others out.
 
-    What two sets share up to the end of the prefix that ends first is in both prefixes; beyond it they share no more
-    than what that set has left.
+    The sets of a pair meet once: each goes from the task that makes it to its pairs.
     """
     scratch = Scratch()
     sized = scratch.keep(pairs.where(F.least("n_u", "n_v") * SIMILAR[1] >= F.greatest("n_u", "n_v") * SIMILAR[0]).distinct(), "sized")
-    of = lambda side: texts.kept.select(F.col("id").alias(side), F.col("prefix").alias(f"prefix_{side}")).join(few(ids_of(sized, side).withColumnRenamed("id", side)), side, "left_semi")
+    of = lambda side: texts.kept.select(F.col("id").alias(side), F.col("parity").alias(f"parity_{side}")).join(few(ids_of(sized, side).withColumnRenamed("id", side)), side, "left_semi")
     both = sized.join(of("u"), "u").join(of("v"), "v")
-    last_u, last_v = F.element_at("prefix_u", -1), F.element_at("prefix_v", -1)
-    rest_u, rest_v = F.col("n_u") - F.size("prefix_u"), F.col("n_v") - F.size("prefix_v")
-    rest = F.when(last_u < last_v, rest_u).when(last_u > last_v, rest_v).otherwise(F.least(rest_u, rest_v))
-    enough = F.size(F.array_intersect("prefix_u", "prefix_v")) + rest >= least_shared(F.col("n_u"), F.col("n_v"))
-    open_ = scratch.keep(both.where(enough).select("u", "v", "n_u", "n_v"), "candidates")
-    held = scratch.keep(texts.sets(scratch.keep(ids_of(open_, "u", "v"), "candidate-ids")), "candidate-sets")
-    whole = open_.join(held.select(F.col("id").alias("u"), F.col("set").alias("set_u")), "u").join(held.select(F.col("id").alias("v"), F.col("set").alias("set_v")), "v")
-    similar = whole.where(F.size(F.array_intersect("set_u", "set_v")) >= least_shared(F.col("n_u"), F.col("n_v")))
-    out = durable(similar.select("u", "v"), "similar")
+    least = least_shared(F.col("n_u"), F.col("n_v"))
+    enough = bits_apart(F.col("parity_u"), F.col("parity_v")) <= F.col("n_u") + F.col("n_v") - 2 * least
+    open_ = scratch.keep(both.where(enough).select("u", "v", least.alias("least")).distinct(), "candidates")
+    sides = open_.select("u", "v", "least", F.explode(F.array("u", "v")).alias("id"))
+    held = texts.sets(scratch.keep(ids_of(open_, "u", "v"), "candidate-ids")).join(few(sides, BROADCAST_PAIRS), "id")
+    side = lambda c: F.first(F.when(F.col("id") == F.col(c), F.col("set")), ignorenulls=True).alias(f"set_{c}")
+    out = durable(held.groupBy("u", "v", "least").agg(side("u"), side("v")).where(F.size(F.array_intersect("set_u", "set_v")) >= F.col("least")).select("u", "v"), "similar")
     scratch.clear()
     return out
 
@@ -228,7 +246,7 @@ def beyond_pivots(crowd: DataFrame, texts: Texts, scratch: Scratch) -> DataFrame
 
     Such a pair shares at least what sets of its sizes have to share, less what either shares with the pivot.
     """
-    held = scratch.keep(texts.sets(scratch.keep(ids_of(crowd, "id", "pivot"), "crowd-ids")).withColumn("n", F.size("set")), "crowd-sets")
+    held = scratch.keep(texts.sets(scratch.keep(ids_of(crowd, "id", "pivot"), "crowd-ids")).dropDuplicates(["id"]).withColumn("n", F.size("set")), "crowd-sets")
     pivots = held.select(F.col("id").alias("pivot"), F.col("n").alias("n_pivot"), F.col("set").alias("of_pivot"))
     both = crowd.join(held.select("id", "set"), "id").join(pivots, "pivot").withColumn("beyond", F.array_except("set", "of_pivot"))
     smallest = F.greatest(F.ceil(F.col("n") * SIMILAR[0] / SIMILAR[1]).cast("int"), F.col("n_pivot"))
@@ -248,12 +266,13 @@ def links(rows: DataFrame) -> DataFrame:
     # most shingles are of one document: which are of several is found first, so that the others are not dealt out
     several = texts.kept.select(F.explode("prefix").alias("s")).groupBy("s").agg(F.count("*").alias("held")).where("held > 1").select("s")
     table = spark.sparkContext.broadcast(shared_bits(several))
+    sweep(spark)
     postings = shared_postings(texts.kept, table)
     edges: DataFrame | None = None
     while True:
         found = scratch.keep(postings, "postings-shared")
         least = scratch.keep(found.groupBy("s").agg(F.min(F.struct("n", "id")).alias("p"), F.count("*").alias("held")).where("held > 1").select("s", F.col("p.id").alias("pivot"), F.col("p.n").alias("n_pivot"), "held"), "pivots")
-        members = scratch.keep(found.join(few(least), "s"), "members")
+        members = scratch.keep(found.join(few(least, BROADCAST_PIVOTS), "s"), "members")
         sweep(spark)
         star = members.where("id <> pivot").select(F.col("id").alias("u"), F.col("pivot").alias("v"), F.col("n").alias("n_u"), F.col("n_pivot").alias("n_v"))
         near = verified(star, texts)

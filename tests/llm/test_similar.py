@@ -2,10 +2,12 @@
 
 import random
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from test_brute_force import one_of_each
 
-from lectern.llm import exact_dedup, simhash, similar
+from lectern.llm import components, exact_dedup, simhash, similar
 
 
 @pytest.mark.parametrize("limit", [32, 3])
@@ -55,3 +57,44 @@ def test_crowds_end_without_pairs_of_all_their_members(spark, monkeypatch):
     got = simhash.drop_similar_copies(spark.createDataFrame([*texts.items()], "doc_id long, text string"))
     assert sorted(r["doc_id"] for r in got.collect()) == one_of_each(texts)
     assert max(seen) < 120 * 119 / 2
+
+
+def test_parities_never_differ_in_more_bits_than_sets_in_members(spark):
+    rng = np.random.default_rng(3)
+    rows, apart = [], []
+    for n, gone, new in [(1, 0, 0), (1, 1, 1), (2, 0, 1), (60, 6, 7), (64, 0, 1), (64, 1, 0), (500, 20, 60), (1000, 0, 200), (3000, 300, 300), (3000, 3000, 3000)]:
+        a = rng.integers(0, 1 << 56, n, dtype=np.uint64)
+        b = np.concatenate([a[gone:], rng.integers(0, 1 << 56, new, dtype=np.uint64)])
+        rows.append((len(rows), similar.parity(a).tolist(), similar.parity(b).tolist()))
+        apart.append(gone + new)
+    pairs = spark.createDataFrame(rows, "i int, a array<long>, b array<long>")
+    for x, y in ("ab", "ba"):
+        bits = [r["d"] for r in pairs.select("i", similar.bits_apart(F.col(x), F.col(y)).alias("d")).orderBy("i").collect()]
+        assert all(d <= n and (n - d) % 2 == 0 for d, n in zip(bits, apart)) and bits[0] == 0
+        assert bits[-1] > 2 * 3000 / 9  # nothing in common: ruled out
+
+
+def test_texts_are_not_dealt_out_to_drop_a_few(spark):
+    """However small the tables are that Spark itself would broadcast."""
+    base = " ".join(f"word{i}" for i in range(60))
+    rows = [(1, base), (2, base.replace("word30 ", "other ")), (3, "alone in all respects and ways")]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = simhash.drop_similar_copies(spark.createDataFrame(rows, "doc_id long, text string"))
+        assert "Exchange hashpartitioning" not in got._jdf.queryExecution().executedPlan().toString()
+        assert sorted(r["doc_id"] for r in got.collect()) == [1, 3]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+@pytest.mark.parametrize("few", [1 << 16, 0])
+def test_few_edges_are_connected_without_shuffles(spark, few, monkeypatch):
+    monkeypatch.setattr(components, "FEW_EDGES", few)
+    plans, plain = [], components.durable
+    monkeypatch.setattr(components, "durable", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or plain(df, name))
+    edges = [(i, i + 1) for i in range(0, 40) if i % 10] + [(100, 200), (300, 200), (7, 7), (-5, 100)]
+    got = components.components(spark.createDataFrame(edges, "u long, v long"))
+    want = {i: 10 * ((i - 1) // 10) + 1 for i in range(1, 41)} | {n: -5 for n in (-5, 100, 200, 300)}
+    assert dict(map(tuple, got.collect())) == want and got.count() == len(want)
+    assert len(plans) > 2 and all(("Exchange hashpartitioning" in p) == (few == 0) for p in plans[1:])
